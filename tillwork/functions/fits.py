@@ -1,0 +1,35 @@
+"""Least-squares fits of one series at a time, run inside Spark tasks.
+
+Each function takes the rows of one series as a pandas frame and returns a
+small frame. A series is bounded by the calendar; Spark groups and spreads them.
+"""
+
+from __future__ import annotations
+
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+
+# Send these functions with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def augmented_dickey_fuller(pdf: pd.DataFrame, lags: int) -> pd.DataFrame:
+    """t-statistic of the level in a regression of differences on it and ``lags`` differences."""
+    y = pdf.sort_values("t")["y"].to_numpy()
+    d = np.diff(y)
+    n = max(len(d) - lags, 0)
+    statistic = None
+    if n > lags + 2:
+        columns = [np.ones(n), y[lags:-1]]
+        columns += [d[lags - j: len(d) - j] for j in range(1, lags + 1)]
+        x, target = np.column_stack(columns), d[lags:]
+        beta, *_ = np.linalg.lstsq(x, target, rcond=None)
+        residual = target - x @ beta
+        variance = residual @ residual / (n - x.shape[1])
+        error = np.sqrt(variance * np.linalg.pinv(x.T @ x)[1, 1])
+        statistic = float(beta[1] / error) if error > 0 else None
+    return pd.DataFrame(
+        {"series_id": [pdf["series_id"].iloc[0]], "n_obs": [n], "statistic": [statistic]})

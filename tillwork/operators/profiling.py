@@ -37,10 +37,15 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    """Name and type of each column."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(
-        rows, "position BIGINT, column_name STRING, data_type STRING")
+    """Position, name, type and number of values of each column."""
+    fields = df.schema.fields
+    position = F.array_position(F.array(*[F.lit(f.name) for f in fields]), F.col("column_name"))
+    types = F.array(*[F.lit(f.dataType.simpleString()) for f in fields])
+    counted = df.agg(*[F.count(F.col(f.name)).alias(f.name) for f in fields])
+    return counted.unpivot([], df.columns, "column_name", "non_null_count").select(
+        (position - 1).alias("position"), "column_name",
+        F.element_at(types, position.cast("int")).alias("data_type"), "non_null_count",
+    )
 
 
 def describe_numeric(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillwork.plans.registry import DIGITS
+from tillwork.plans.registry import DIGITS, OFFSET
 
 AS_OF = "2001-08-02"
 
@@ -55,9 +55,9 @@ def on_events(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([_EVENT_SALES, *ctes]) + "\n" + body
 
 
-def rounded(expression: str) -> str:
+def rounded(expression: str, digits: int = DIGITS) -> str:
     """The rounding of ``registry.comparable``."""
-    return f"floor(CAST({expression} AS DOUBLE) * 1e{DIGITS} + 0.5) / 1e{DIGITS}"
+    return f"floor(CAST({expression} AS DOUBLE) * 1e{digits} + {OFFSET}) / 1e{digits}"
 
 
 def total(column: str) -> str:

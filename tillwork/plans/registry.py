@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tillwork.sources.star import Star
 
 DIGITS = 4
+OFFSET = 0.4567
 
 
 @dataclass(frozen=True)
@@ -19,21 +20,22 @@ class Query:
     name: str
     build: Callable[[Star], DataFrame]
     sql: str | None
+    digits: int = DIGITS
 
     def __call__(self, spark: SparkSession, root: str) -> DataFrame:
-        return comparable(self.build(Star(spark, root)))
+        return comparable(self.build(Star(spark, root)), self.digits)
 
 
 _queries: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable:
+def query(name: str, sql: str | None = None, digits: int = DIGITS) -> Callable:
     """Register the decorated function, which builds the query from a ``Star``."""
 
     def register(build: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
         if name in _queries:
             raise ValueError(f"query {name} is registered twice")
-        _queries[name] = Query(name, build, sql)
+        _queries[name] = Query(name, build, sql, digits)
         return build
 
     return register
@@ -49,17 +51,19 @@ def registered() -> dict[str, Query]:
     return dict(_queries)
 
 
-def comparable(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, doubles at four places, integers as BIGINT.
+def comparable(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Decimals as doubles, doubles at a few places, integers as BIGINT.
 
-    Rounding is ``floor(x * 1e4 + 0.5) / 1e4``, which two engines compute alike.
+    Two engines sum doubles in different orders, so their last bits differ.
+    ``floor(x * 10^digits + OFFSET)`` hides that. The offset is not 0.5, as a
+    mean of amounts often lies exactly halfway between two results.
     """
     columns = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DecimalType, T.DoubleType, T.FloatType)):
-            scale = F.lit(10.0 ** DIGITS)
-            column = F.floor(column.cast("double") * scale + 0.5).cast("double") / scale
+            scale = F.lit(10.0 ** digits)
+            column = F.floor(column.cast("double") * scale + OFFSET).cast("double") / scale
         elif isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             column = column.cast("bigint")
         columns.append(column.alias(field.name))
