@@ -33,3 +33,57 @@ def augmented_dickey_fuller(pdf: pd.DataFrame, lags: int) -> pd.DataFrame:
         statistic = float(beta[1] / error) if error > 0 else None
     return pd.DataFrame(
         {"series_id": [pdf["series_id"].iloc[0]], "n_obs": [n], "statistic": [statistic]})
+
+
+def additive_forecast(
+    pdf: pd.DataFrame,
+    periods: int,
+    changepoints: int,
+    changepoint_range: float,
+    changepoint_scale: float,
+    seasonality_scale: float,
+    seasons: tuple[tuple[float, int], ...],
+) -> pd.DataFrame:
+    """Trend with slope changes plus Fourier seasons, by ridge least squares.
+
+    A prior scale s on a coefficient is the ridge weight noise variance / s^2;
+    the noise variance comes from a first fit. The forecast keeps the last slope.
+    """
+    pdf = pdf.sort_values("t")
+    day = pd.to_datetime(pdf["t"]).to_numpy().astype("datetime64[D]").astype("int64")
+    y = pdf["y"].to_numpy(dtype="float64")
+    ahead = np.arange(1, periods + 1)
+    origin, span = day[0], max(day[-1] - day[0], 1)
+    scale = np.abs(y).max() or 1.0
+    count = min(changepoints, max(int(len(y) * changepoint_range) - 1, 0))
+    places = np.linspace(0, int(len(y) * changepoint_range) - 1, count + 1)[1:].round().astype(int)
+    changes = (day[places] - origin) / span
+
+    def design(days: np.ndarray) -> np.ndarray:
+        s = (days - origin) / span
+        columns = [np.ones(len(days)), s]
+        columns += [np.maximum(s - c, 0.0) for c in changes]
+        for period, order in seasons:
+            for k in range(1, order + 1):
+                angle = 2 * np.pi * k * days / period
+                columns += [np.sin(angle), np.cos(angle)]
+        return np.column_stack(columns)
+
+    x, target = design(day), y / scale
+    prior = np.full(x.shape[1], seasonality_scale, dtype="float64")
+    prior[:2] = 5.0
+    prior[2:2 + count] = changepoint_scale
+    gram, moment = x.T @ x, x.T @ target
+    noise = 0.0025
+    for _ in range(3):
+        beta = np.linalg.solve(gram + np.diag(noise / prior**2 + 1e-10), moment)
+        residual = target - x @ beta
+        noise = max(float(residual @ residual) / len(y), 1e-8)
+    sigma = float(residual.std() * scale)
+    return pd.DataFrame({
+        "series_id": pdf["series_id"].iloc[0],
+        "t": (day[-1] + ahead).astype("datetime64[D]").astype("datetime64[ns]"),
+        "h": ahead,
+        "yhat": design(day[-1] + ahead) @ beta * scale,
+        "sigma": sigma,
+    }).assign(t=lambda f: f["t"].dt.date)

@@ -136,21 +136,26 @@ def rolling_stats(series: DataFrame, window: int = 30) -> DataFrame:
         "series_id", "t", "y", average.alias("rolling_mean"), deviation.alias("rolling_std"))
 
 
-def autocovariances(series: DataFrame, lags: int) -> DataFrame:
-    """Per series: mean, number of points and the sums of lagged products, lag 0 to ``lags``."""
-    centred = series.withColumn("mean", F.avg("y").over(whole())).withColumn("d", F.col("y") - F.col("mean"))
-    lagged = centred.select(
-        "series_id", "mean", "d", *[F.lag("d", k).over(in_time()).alias(f"d{k}") for k in range(1, lags + 1)])
+def lagged_products(series: DataFrame, lags: int) -> DataFrame:
+    """Per series: sums of products of ``y`` less its mean with itself, lag 0 to ``lags``."""
+    centred = series.withColumn("d", F.col("y") - F.avg("y").over(whole()))
+    return sum_lagged_products(centred, "d", lags)
+
+
+def sum_lagged_products(series: DataFrame, column: str, lags: int) -> DataFrame:
+    """Per series: ``products``, the sums of products of a column with itself, lag 0 to ``lags``."""
+    lagged = series.select(
+        "series_id", F.col(column).alias("d"),
+        *[F.lag(column, k).over(in_time()).alias(f"d{k}") for k in range(1, lags + 1)])
     products = [F.sum(F.col("d") * F.col("d")), *[
         F.coalesce(F.sum(F.col("d") * F.col(f"d{k}")), F.lit(0.0)) for k in range(1, lags + 1)]]
-    return lagged.groupBy("series_id").agg(
-        F.first("mean").alias("mean"), F.count("d").alias("n"), F.array(*products).alias("products"))
+    return lagged.groupBy("series_id").agg(F.array(*products).alias("products"))
 
 
 def autocorrelation(series: DataFrame, lags: int = 40) -> DataFrame:
     """Autocorrelation of each series at lags 0 to ``lags``."""
     products = F.col("products")
-    return autocovariances(series, lags).select(
+    return lagged_products(series, lags).select(
         "series_id", F.posexplode(F.transform(
             products, lambda p: F.try_divide(p, F.get(products, F.lit(0))))).alias("lag", "acf"))
 
@@ -159,7 +164,7 @@ def partial_autocorrelation(series: DataFrame, lags: int = 40) -> DataFrame:
     """Partial autocorrelation of each series at lags 0 to ``lags``."""
     partial = durbin_levinson(F.col("products"), lags)["pacf"]
     with_zero = F.concat(F.array(F.lit(1.0)), partial)
-    return autocovariances(series, lags).select(
+    return lagged_products(series, lags).select(
         "series_id", F.posexplode(with_zero).alias("lag", "pacf"))
 
 
