@@ -1 +1,81 @@
-"""Queries."""
+"""Streams over the event files, run to the end of what is there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillwork.plans.oracle import rounded
+from tillwork.plans.registry import query
+from tillwork.sources.star import Star
+from tillwork.streaming import ingest, kpis
+from tillwork.streaming.events import drained, read_events, with_event_time
+
+WATERMARK = "1 hour"
+
+# Days that the watermark, the last event less an hour, has passed.
+CLOSED_DAYS = f"""
+closed AS (
+  SELECT CAST(ts AS DATE) AS day,
+         COALESCE(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,4)) END), 0)
+           AS revenue,
+         COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases,
+         COUNT(*) FILTER (WHERE event_type = 'view') AS views,
+         COUNT(*) FILTER (WHERE event_type = 'error') AS errors
+  FROM events
+  WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL {WATERMARK} FROM events)
+  GROUP BY 1
+)"""
+
+
+def _rules():
+    return {**ingest.default_rules(), "value_in_range": F.col("value") <= 100}
+
+
+@query("validated_ingest", f"""
+SELECT event_id, event_type, user_id, {rounded('value')} AS value,
+       CASE WHEN value <= 100 THEN '' ELSE 'value_in_range' END AS broken_rules
+FROM events""")
+def validated_ingest(star: Star):
+    events = read_events(star.spark, star.root)
+    columns = ["event_id", "event_type", "user_id", "value"]
+    accepted = drained(ingest.valid_events(events, _rules(), WATERMARK), "valid")
+    rejected = drained(ingest.rejected_events(events, _rules()), "rejected")
+    return accepted.select(*columns, F.lit("").alias("broken_rules")).unionByName(
+        rejected.select(*columns, F.array_join("broken_rules", ",").alias("broken_rules")))
+
+
+@query("stream_kpis", f"""WITH {CLOSED_DAYS}
+SELECT day, {rounded('revenue')} AS revenue, purchases, views, errors FROM closed""")
+def stream_kpis(star: Star):
+    return drained(kpis.daily_kpis(read_events(star.spark, star.root), WATERMARK), "kpis")
+
+
+_LONG = "\n  UNION ALL ".join(
+    f"SELECT day, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM closed" for m in kpis.METRICS)
+
+
+@query("kpi_alerts", f"""WITH {CLOSED_DAYS}, long AS ({_LONG})
+SELECT day, metric, {rounded('value')} AS value, {rounded('z_score')} AS z_score,
+       CASE WHEN z_score > 0 THEN 'high' ELSE 'low' END AS direction
+FROM (
+  SELECT day, metric, value, (value - mean) / NULLIF(std, 0) AS z_score
+  FROM long JOIN (SELECT metric, AVG(value) AS mean, STDDEV_SAMP(value) AS std
+                  FROM (SELECT * FROM long) AS history GROUP BY 1) AS expected USING (metric)
+) AS scored WHERE abs(z_score) >= 1.5""")
+def kpi_alerts(star: Star):
+    # The days so far are the history the same days are held against.
+    history = drained(kpis.daily_kpis(read_events(star.spark, star.root), WATERMARK), "history")
+    live = kpis.daily_kpis(read_events(star.spark, star.root), WATERMARK)
+    return drained(kpis.kpi_alerts(live, kpis.baseline(history), 1.5), "alerts")
+
+
+@query("batch_kpis", f"""
+SELECT CAST(ts AS DATE) AS day,
+       {rounded("COALESCE(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,4)) END), 0)")}
+         AS revenue,
+       COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases,
+       COUNT(*) FILTER (WHERE event_type = 'view') AS views,
+       COUNT(*) FILTER (WHERE event_type = 'error') AS errors
+FROM events GROUP BY 1""")
+def batch_kpis(star: Star):
+    return kpis.daily_kpis(with_event_time(star.table("events")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tillwork.functions.dates import month_of
 
@@ -21,7 +22,7 @@ def read_sales(
     spark: SparkSession,
     path: str,
     fmt: str = "parquet",
-    schema: str | None = SALES_SCHEMA,
+    schema: str | StructType | None = SALES_SCHEMA,
     renames: dict[str, str] | None = None,
 ) -> DataFrame:
     """Read a sales table. ``renames`` maps file column names to ours.
