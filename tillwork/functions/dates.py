@@ -29,7 +29,9 @@ def weekday_sunday0(ts: Column) -> Column:
 
 def day_name(weekday: Column) -> Column:
     """Name of a weekday counted from Sunday = 0."""
-    return F.element_at(F.array(*[F.lit(name) for name in DAY_NAMES]), weekday + 1)
+    # element_at answers with some element for a NULL position, hence the test.
+    names = F.array(*[F.lit(name) for name in DAY_NAMES])
+    return F.when(weekday.isNotNull(), F.element_at(names, weekday + 1))
 
 
 def elapsed_days(start: Column, end: Column) -> Column:

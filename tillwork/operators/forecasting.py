@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from tillwork.functions import fits
 from tillwork.functions.measures import ratio
 from tillwork.functions.recursions import durbin_levinson
-from tillwork.operators.series import holdout_split, in_time, sum_lagged_products, whole
+from tillwork.operators.series import (
+    holdout_split, in_time, lagged_products, past_values, product_arrays, whole,
+)
 
 FORECAST_COLUMNS = ("series_id", "model", "t", "h", "yhat", "sigma")
 PERIODS = "periods"
@@ -35,15 +37,14 @@ def _forecast_days(last: Column, periods: Column) -> Column:
 
 def _autoregressive_residuals(steps: DataFrame, order: int) -> DataFrame:
     """Add ``e``, the residual of a long autoregression of ``w`` per series."""
-    coefficients = sum_lagged_products(steps, "w", order).select(
+    coefficients = product_arrays(lagged_products(steps, "w", order), order).select(
         "series_id", durbin_levinson(F.col("products"), order)["ar"].alias("ar"))
-    past = F.array(*[F.lag("w", k).over(in_time()) for k in range(1, order + 1)])
     explained = F.aggregate(
         F.zip_with("ar", "past", lambda a, w: a * w), F.lit(0.0), lambda x, y: x + y)
-    # ``explained`` is NULL, and so is ``e``, until the row has all its lags.
     return (
-        steps.withColumn("past", past).join(coefficients, "series_id")
-        .withColumn("e", F.col("w") - explained).drop("past", "ar")
+        steps.withColumn("past", past_values("w", order)).join(coefficients, "series_id")
+        .withColumn("e", F.when(F.size("past") == order, F.col("w") - explained))
+        .drop("past", "ar")
     )
 
 

@@ -80,7 +80,8 @@ def ntile_columns(
     ]
     payload = [c for c in df.columns if c != id_col]
     long = df.select("*", F.inline(F.array(*entries)))
-    placed = _placed(long, "score", [F.col("null_rank"), F.col("value"), F.col(id_col)])
+    placed = _placed(
+        long, "score", [F.col("null_rank"), F.col("value"), F.col(id_col).asc_nulls_last()])
     offsets = _offsets(placed, "score", F.lit(1))
     position = F.col("_before") + F.col(_PLACE) - F.col("_first") + 1
     tile = tile_of(position, F.col("group_rows"), tiles).cast("bigint")

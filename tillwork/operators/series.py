@@ -136,36 +136,49 @@ def rolling_stats(series: DataFrame, window: int = 30) -> DataFrame:
         "series_id", "t", "y", average.alias("rolling_mean"), deviation.alias("rolling_std"))
 
 
-def lagged_products(series: DataFrame, lags: int) -> DataFrame:
-    """Per series: sums of products of ``y`` less its mean with itself, lag 0 to ``lags``."""
-    centred = series.withColumn("d", F.col("y") - F.avg("y").over(whole()))
-    return sum_lagged_products(centred, "d", lags)
+def past_values(column: str, lags: int) -> Column:
+    """The values of a column one to ``lags`` rows earlier, latest first; fewer at the start."""
+    return F.reverse(F.collect_list(column).over(in_time().rowsBetween(-lags, -1)))
 
 
-def sum_lagged_products(series: DataFrame, column: str, lags: int) -> DataFrame:
-    """Per series: ``products``, the sums of products of a column with itself, lag 0 to ``lags``."""
-    lagged = series.select(
-        "series_id", F.col(column).alias("d"),
-        *[F.lag(column, k).over(in_time()).alias(f"d{k}") for k in range(1, lags + 1)])
-    products = [F.sum(F.col("d") * F.col("d")), *[
-        F.coalesce(F.sum(F.col("d") * F.col(f"d{k}")), F.lit(0.0)) for k in range(1, lags + 1)]]
-    return lagged.groupBy("series_id").agg(F.array(*products).alias("products"))
+def lagged_products(series: DataFrame, column: str, lags: int) -> DataFrame:
+    """Per series and lag 0 to ``lags``: the sum of products of a column with its earlier self.
+
+    Rows stay with their series' window partition, so this needs no shuffle.
+    """
+    past = F.concat(F.array(column), past_values(column, lags))
+    return (
+        series.select("series_id", F.col(column).alias("value"), past.alias("past"))
+        .select("series_id", "value", F.posexplode("past").alias("lag", "earlier"))
+        .groupBy("series_id", "lag").agg(F.sum(F.col("value") * F.col("earlier")).alias("product"))
+    )
+
+
+def centred(series: DataFrame) -> DataFrame:
+    """Add ``d``, the value less the series' mean."""
+    return series.withColumn("d", F.col("y") - F.avg("y").over(whole()))
+
+
+def product_arrays(products: DataFrame, lags: int) -> DataFrame:
+    """``lagged_products`` as one array per series; lags a series is too short for are zero."""
+    by_lag = F.map_from_entries(F.collect_list(F.struct("lag", "product")))
+    filled = F.transform(
+        F.sequence(F.lit(0), F.lit(lags)), lambda k: F.coalesce(by_lag[k], F.lit(0.0)))
+    return products.groupBy("series_id").agg(filled.alias("products"))
 
 
 def autocorrelation(series: DataFrame, lags: int = 40) -> DataFrame:
     """Autocorrelation of each series at lags 0 to ``lags``."""
-    products = F.col("products")
-    return lagged_products(series, lags).select(
-        "series_id", F.posexplode(F.transform(
-            products, lambda p: F.try_divide(p, F.get(products, F.lit(0))))).alias("lag", "acf"))
+    variance = F.max(F.when(F.col("lag") == 0, F.col("product"))).over(whole())
+    return lagged_products(centred(series), "d", lags).select(
+        "series_id", "lag", F.try_divide("product", variance).alias("acf"))
 
 
 def partial_autocorrelation(series: DataFrame, lags: int = 40) -> DataFrame:
     """Partial autocorrelation of each series at lags 0 to ``lags``."""
-    partial = durbin_levinson(F.col("products"), lags)["pacf"]
-    with_zero = F.concat(F.array(F.lit(1.0)), partial)
-    return lagged_products(series, lags).select(
-        "series_id", F.posexplode(with_zero).alias("lag", "pacf"))
+    products = product_arrays(lagged_products(centred(series), "d", lags), lags)
+    with_zero = F.concat(F.array(F.lit(1.0)), durbin_levinson(F.col("products"), lags)["pacf"])
+    return products.select("series_id", F.posexplode(with_zero).alias("lag", "pacf"))
 
 
 def seasonal_decompose(series: DataFrame, period: int = 365, model: str = "additive") -> DataFrame:

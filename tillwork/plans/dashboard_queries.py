@@ -45,11 +45,13 @@ def filter_sales(star: Star):
 
 
 @query("filter_options", on_sales("""
+SELECT * FROM (
 SELECT DISTINCT 'product_category' AS option, product_category AS value FROM sales
 UNION ALL SELECT DISTINCT 'region', region FROM sales
 UNION ALL SELECT DISTINCT 'sales_channel', sales_channel FROM sales
 UNION ALL SELECT 'first_date', CAST(CAST(MIN(transaction_date) AS DATE) AS VARCHAR) FROM sales
-UNION ALL SELECT 'last_date', CAST(CAST(MAX(transaction_date) AS DATE) AS VARCHAR) FROM sales"""))
+UNION ALL SELECT 'last_date', CAST(CAST(MAX(transaction_date) AS DATE) AS VARCHAR) FROM sales
+) AS options WHERE value IS NOT NULL"""))
 def filter_options(star: Star):
     return dashboard.filter_options(star.sales(FILTER_COLUMNS))
 

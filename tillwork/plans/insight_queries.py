@@ -93,13 +93,14 @@ active AS (
 
 @query("retention_cohorts", cohort_sql(""))
 def retention_cohorts(star: Star):
-    return customers.retention_cohorts(star.sales(["customer_id", "transaction_date"]))
+    return customers.retention_cohorts(star.sales(["customer_id", "transaction_date"], partial=True))
 
 
 @query("retention_cohorts_by_segment", cohort_sql("customer_segment"))
 def retention_cohorts_by_segment(star: Star):
     return customers.retention_cohorts(
-        star.sales(["customer_segment", "customer_id", "transaction_date"]), ["customer_segment"])
+        star.sales(["customer_segment", "customer_id", "transaction_date"], partial=True),
+        ["customer_segment"])
 
 
 @query("segment_retention", on_sales(f"""
@@ -114,7 +115,7 @@ FROM (
 ) AS spans GROUP BY 1"""))
 def segment_retention(star: Star):
     return customers.segment_retention(
-        star.sales(["customer_segment", "customer_id", "transaction_date"]))
+        star.sales(["customer_segment", "customer_id", "transaction_date"], partial=True))
 
 
 @query("revenue_growth", on_sales(f"""
@@ -220,7 +221,7 @@ FROM (
   WHERE customer_id IS NOT NULL GROUP BY 1
 ) AS counted"""))
 def customer_density(star: Star):
-    return regions.customer_density(star.sales(["region", "customer_id"]))
+    return regions.customer_density(star.sales(["region", "customer_id"], partial=True))
 
 
 @query("kpi_drilldown", on_sales(f"""

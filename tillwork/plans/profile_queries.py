@@ -12,8 +12,8 @@ COLUMN_LIST = ", ".join(SALES_COLUMNS)
 # The types of the sales columns, by position.
 COLUMN_TYPES = (
     "bigint", "bigint", "timestamp_ntz", "bigint", "string", "string", "bigint", "double",
-    "decimal(8,2)", "decimal(18,4)", "string", "string", "string", "decimal(6,4)",
-    "decimal(24,8)", "timestamp_ntz",
+    "decimal(5,2)", "decimal(18,4)", "string", "string", "string", "decimal(6,4)",
+    "decimal(18,8)", "timestamp_ntz",
 )
 
 
@@ -127,7 +127,7 @@ SELECT sales_channel, COUNT(*) AS transactions,
        {rounded(quotient('COUNT(*) * 100', 'SUM(COUNT(*)) OVER ()'))} AS share
 FROM sales WHERE sales_channel IS NOT NULL GROUP BY 1"""))
 def channel_share(star: Star):
-    return profiling.channel_share(star.sales(["sales_channel"], ["transaction_id"]))
+    return profiling.channel_share(star.sales(["sales_channel"], partial=True))
 
 
 @query("order_value_histogram", on_sales(f"""

@@ -71,9 +71,9 @@ rfm AS (
   FROM sales GROUP BY customer_id
 )""", """
 scored AS (
-  SELECT *, NTILE(5) OVER (ORDER BY recency_days DESC, customer_id) AS recency_score,
-         NTILE(5) OVER (ORDER BY frequency, customer_id) AS frequency_score,
-         NTILE(5) OVER (ORDER BY monetary_value, customer_id) AS monetary_score
+  SELECT *, NTILE(5) OVER (ORDER BY recency_days DESC NULLS FIRST, customer_id NULLS LAST) AS recency_score,
+         NTILE(5) OVER (ORDER BY frequency NULLS LAST, customer_id NULLS LAST) AS frequency_score,
+         NTILE(5) OVER (ORDER BY monetary_value NULLS LAST, customer_id NULLS LAST) AS monetary_score
   FROM rfm
 )""")
 

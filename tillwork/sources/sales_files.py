@@ -12,7 +12,7 @@ SALES_SCHEMA = (
     "transaction_id BIGINT, transaction_date TIMESTAMP_NTZ, customer_id BIGINT, "
     "product_category STRING, product_name STRING, quantity BIGINT, unit_price DOUBLE, "
     "discount_percent DOUBLE, total_amount DECIMAL(18,4), sales_channel STRING, region STRING, "
-    "customer_segment STRING, profit_margin DOUBLE, profit DECIMAL(24,8)"
+    "customer_segment STRING, profit_margin DOUBLE, profit DECIMAL(18,8)"
 )
 
 MONTH_PARTITION = "sales_month"
@@ -47,7 +47,7 @@ def with_amounts(df: DataFrame) -> DataFrame:
     if "profit_margin" not in df.columns:
         return df
     return df.withColumn(
-        "profit", F.expr("CAST(total_amount * CAST(profit_margin AS DECIMAL(6,4)) AS DECIMAL(24,8))")
+        "profit", F.expr("CAST(total_amount * CAST(profit_margin AS DECIMAL(6,4)) AS DECIMAL(18,8))")
     )
 
 
