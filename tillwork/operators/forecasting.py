@@ -1,7 +1,8 @@
 """Forecasts for many series in one job, their error and their interval.
 
-Input is a series frame (``series_id``, ``t``, ``y``) without gaps. Forecast
-frames have ``series_id``, ``model``, ``t``, ``h`` (steps ahead), ``yhat`` and
+Input is a series frame (``series_id``, ``t``, ``y``) without gaps. It is read
+several times, so pass a written table where it comes from a large job: the
+queries use ``materialise``. Forecast frames have ``series_id``, ``model``, ``t``, ``h`` (steps ahead), ``yhat`` and
 ``sigma`` (deviation of the one-step error in the history).
 """
 

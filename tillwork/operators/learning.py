@@ -70,6 +70,8 @@ def model_selection(
     ``parallelism`` fits are submitted to Spark at the same time.
     """
     params = params or {}
+    # The fits read the rows many times, so write them once.
+    features = materialise(features, "features")
     split = materialise(time_series_split(features, folds), "folds")
     evaluator = RegressionEvaluator(labelCol="y", metricName="mae")
 

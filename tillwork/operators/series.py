@@ -88,6 +88,7 @@ def future_days(series: DataFrame, periods: int) -> DataFrame:
 
 def dickey_fuller_critical(n: Column) -> Column:
     b0, b1, b2, b3 = MACKINNON_5_PERCENT
+    n = F.nullif(n, F.lit(0.0))
     return F.lit(b0) + F.lit(b1) / n + F.lit(b2) / (n * n) + F.lit(b3) / (n * n * n)
 
 
