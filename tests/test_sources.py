@@ -169,3 +169,30 @@ def test_clusters_cover_every_customer(spark):
     assert found.count() == rows.select("customer_id").distinct().count()
     profile = customers.cluster_profile(found).collect()
     assert len(profile) == 3 and sum(r["customers"] for r in profile) == found.count()
+
+
+def test_a_hot_join_key_is_split_over_tasks(spark, skewed_root):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        # A partition is split between map tasks, so there must be several.
+        "spark.sql.files.maxPartitionBytes": "16KB",
+        "spark.sql.files.openCostInBytes": "0",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        # Single sales, which cannot be summed first: a third of them share one order and part.
+        df = Star(spark, skewed_root).sales(["transaction_date", "product_name", "total_amount"])
+        result = df.groupBy("product_name").agg(F.sum("total_amount").alias("revenue"))
+        rows = {r["product_name"]: r["revenue"] for r in result.collect()}
+        assert "skew=true" in plan(result)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert rows == {r["product_name"]: r["revenue"] for r in Star(spark, skewed_root).sales(
+        ["product_name"], ["total_amount"]).groupBy("product_name").agg(
+            F.sum("total_amount").alias("revenue")).collect()}

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from tillwork.operators import forecasting, learning, series
+from tillwork.plans.oracle import on_sales, rounded
 from tillwork.plans.registry import query
-from tillwork.plans.series_queries import by_region
+from tillwork.plans.series_queries import SERIES, W, by_region, levinson_ctes, recursive
 from tillwork.sources.scratch import materialise
 from tillwork.sources.star import Star
 
@@ -24,7 +25,48 @@ def features(star: Star):
         series.series_from_sales(star.sales(["transaction_date"], ["total_amount"])))
 
 
-@query("arima_forecast")
+ARIMA = (*SERIES, f"""
+steps AS (
+  SELECT * FROM (SELECT series_id, t, y, y - LAG(y) OVER {W} AS w FROM series) AS d
+  WHERE w IS NOT NULL
+)""", *levinson_ctes("steps", "w", 20), """
+residuals AS (
+  SELECT a.series_id, a.t, a.pos, a.v AS w, a.v - SUM(ar[CAST(a.pos - b.pos AS INTEGER)] * b.v) AS e
+  FROM at_row AS a
+  JOIN (SELECT series_id, ar FROM levinson WHERE k = 20) AS long_fit
+    ON long_fit.series_id = a.series_id
+  JOIN at_row AS b ON b.series_id = a.series_id AND b.pos BETWEEN a.pos - 20 AND a.pos - 1
+  WHERE a.pos > 20
+  GROUP BY a.series_id, a.t, a.pos, a.v
+)""", f"""
+paired AS (
+  SELECT *, LAG(w) OVER {W} AS w1, LAG(e) OVER {W} AS e1 FROM residuals
+)""", """
+sums AS (
+  SELECT series_id, SUM(w1 * w1) AS aa, SUM(w1 * e1) AS ab, SUM(e1 * e1) AS bb, SUM(w * w1) AS wa,
+         SUM(w * e1) AS wb, COUNT(e1) AS points, SUM(CASE WHEN e1 IS NOT NULL THEN w * w END) AS ww,
+         arg_max(w, t) AS last_w, arg_max(e, t) AS last_e
+  FROM paired GROUP BY 1
+)""", """
+fitted AS (
+  SELECT *, least(greatest((bb * wa - ab * wb) / (aa * bb - ab * ab), -0.99), 0.99) AS phi,
+         least(greatest((aa * wb - ab * wa) / (aa * bb - ab * ab), -0.99), 0.99) AS theta
+  FROM sums
+)""")
+_SQUARES = """ww + phi * phi * aa + theta * theta * bb - 2 * phi * wa - 2 * theta * wb
+                + 2 * phi * theta * ab"""
+
+
+@query("arima_forecast", recursive(on_sales(f"""
+SELECT fitted.series_id, 'arima' AS model, CAST(last_t + CAST(h AS INTEGER) AS DATE) AS t,
+       CAST(h AS BIGINT) AS h,
+       {rounded('last_y + (phi * last_w + theta * last_e) * (1 - pow(phi, h)) / (1 - phi)', 2)}
+         AS yhat,
+       {rounded(f'sqrt(({_SQUARES}) / points)', 2)} AS sigma
+FROM fitted
+JOIN (SELECT series_id, MAX(t) AS last_t, arg_max(y, t) AS last_y FROM series GROUP BY 1) AS ends_of
+  ON ends_of.series_id = fitted.series_id
+CROSS JOIN (SELECT unnest(generate_series(1, 30)) AS h) AS horizon""", *ARIMA)), digits=2)
 def arima_forecast(star: Star):
     return forecasting.arima_forecast(daily(star))
 

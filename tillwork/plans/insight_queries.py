@@ -11,7 +11,31 @@ from tillwork.plans.report_queries import MONTH, RFM_CTES
 from tillwork.sources.star import Star
 
 
-@query("market_basket_rules")
+# Item sets of up to four items; larger ones are rarer than the least support.
+_SETS = "\n  UNION ALL ".join(
+    "SELECT list_value({items}) AS items, COUNT(*) AS times FROM {tables} GROUP BY ALL "
+    "HAVING COUNT(*) >= (SELECT ceil(0.003 * n - 1e-9) FROM everyone)".format(
+        items=", ".join(f"b{i}.item" for i in range(size)),
+        tables="bought AS b0" + "".join(
+            f" JOIN bought AS b{i} ON b{i}.basket = b0.basket AND b{i}.item > b{i - 1}.item"
+            for i in range(1, size)))
+    for size in (1, 2, 3, 4))
+
+
+@query("market_basket_rules", on_sales(f"""
+SELECT array_to_string(b.items, ' + ') AS antecedent, consequent,
+       {rounded(quotient('whole.times', 'n'))} AS support,
+       {rounded(quotient('whole.times', 'b.times'))} AS confidence,
+       {rounded(quotient('whole.times', 'b.times') + ' / ' + quotient('c.times', 'n'))} AS lift
+FROM (SELECT items, times, unnest(items) AS consequent FROM sets WHERE len(items) > 1) AS whole
+JOIN sets AS b ON b.items = list_filter(whole.items, lambda x: x <> consequent)
+JOIN sets AS c ON c.items = [consequent]
+CROSS JOIN everyone
+WHERE {quotient('whole.times', 'b.times')} >= 0.05""", """
+bought AS (
+  SELECT DISTINCT order_id AS basket, product_name AS item FROM sales
+  WHERE order_id IS NOT NULL AND product_name IS NOT NULL
+)""", "everyone AS (SELECT COUNT(DISTINCT basket) AS n FROM bought)", f"sets AS ({_SETS})"))
 def market_basket_rules(star: Star):
     return basket.market_basket_rules(star.sales(["order_id", "product_name"]))
 

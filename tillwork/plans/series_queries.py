@@ -119,7 +119,47 @@ def autocorrelation(star: Star):
     return series.autocorrelation(by_region(star))
 
 
-@query("partial_autocorrelation")
+def levinson_ctes(rows: str, column: str, lags: int) -> tuple[str, ...]:
+    """CTEs that end in ``levinson``: per series and order, coefficients and the last of them."""
+    return (f"""
+at_row AS (
+  SELECT series_id, t, row_number() OVER {W} AS pos, {column} AS v FROM {rows}
+)""", f"""
+lag_products AS (
+  SELECT a.series_id, k, SUM(a.v * b.v) AS product
+  FROM at_row AS a CROSS JOIN (SELECT unnest(generate_series(0, {lags})) AS k) AS ks
+  JOIN at_row AS b ON b.series_id = a.series_id AND b.pos = a.pos - k
+  GROUP BY 1, 2
+)""", """
+product_list AS (
+  SELECT series_id, list(product ORDER BY k) AS r FROM lag_products GROUP BY 1
+)""", f"""
+levinson AS (
+  SELECT series_id, 0 AS k, CAST([] AS DOUBLE[]) AS ar, r[1] AS rest, CAST(1 AS DOUBLE) AS phi
+  FROM product_list
+  UNION ALL
+  SELECT series_id, k + 1,
+         list_append(list_transform(range(1, k + 1), lambda j: ar[j] - new_phi * ar[k + 1 - j]), new_phi),
+         rest * (1 - new_phi * new_phi), new_phi
+  FROM (
+    SELECT levinson.series_id, k, ar, rest,
+           (r[k + 2] - COALESCE(list_sum(list_transform(
+              range(1, k + 1), lambda j: ar[j] * r[k + 2 - j])), 0)) / rest AS new_phi
+    FROM levinson JOIN product_list ON product_list.series_id = levinson.series_id
+    WHERE k < {lags}
+  ) AS solved
+)""")
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("partial_autocorrelation", recursive(on_sales(
+    f"SELECT series_id, CAST(k AS BIGINT) AS lag, {rounded_to('phi')} AS pacf FROM levinson",
+    *SERIES, """
+deviations AS (SELECT series_id, t, y - AVG(y) OVER (PARTITION BY series_id) AS d FROM series)""",
+    *levinson_ctes("deviations", "d", 40))))
 def partial_autocorrelation(star: Star):
     return series.partial_autocorrelation(by_region(star))
 

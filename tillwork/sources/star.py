@@ -149,20 +149,15 @@ class Star:
         line_keys = [name for name in keys if name in LINE_COLUMNS]
 
         partial = bool(sums) if partial is None else partial
-        if partial and not line_keys and needs_order != needs_part:
-            link, table = ("l_orderkey", "orders") if needs_order else ("l_partkey", "part")
-            if self._is_large(table):
-                facts = self._summed_lines(link, sums)
-                facts = self._with_part(facts) if needs_part else self._with_order(
-                    facts, needs_customer, customer_first=False)
-                partials = [F.col(name) for name in sums]
-                partials += [F.col(value_rows(name)) for name in sums]
-                return facts.select(
-                    *[self._column(name) for name in keys], *partials, F.col(ROW_COUNT))
+        one_chain = needs_order != needs_part and not line_keys
+        if partial and one_chain and self._is_large("orders" if needs_order else "part"):
+            facts = self._partial_sums(keys, sums, needs_order, needs_customer)
+            names = [*sums, *[value_rows(name) for name in sums], ROW_COUNT]
+            return facts.select(*[self._column(name) for name in keys], *names)
 
         facts = self.table("lineitem")
         if needs_order:
-            facts = self._with_order(facts, needs_customer, needs_customer and self._is_large("orders"))
+            facts = self._with_order(facts, needs_customer)
         if needs_part:
             facts = self._with_part(facts)
         return facts.select(*[self._column(name) for name in [*keys, *sums]])
@@ -184,21 +179,35 @@ class Star:
     def _column(name: str) -> Column:
         return F.expr(_EXPRESSIONS[name]).alias(name)
 
-    def _summed_lines(self, link: str, sums: Sequence[str]) -> DataFrame:
+    def _partial_sums(
+        self, keys: Sequence[str], sums: Sequence[str], order: bool, customer: bool
+    ) -> DataFrame:
+        """Line items summed per order or part, with the columns of that dimension chain."""
+        link = "l_orderkey" if order else "l_partkey"
         lines = self.table("lineitem").select(link, *[self._column(name) for name in sums])
-        return lines.groupBy(link).agg(
+        facts = lines.groupBy(link).agg(
             *[F.sum(name).alias(name) for name in sums],
             *[F.count(name).alias(value_rows(name)) for name in sums],
             F.count(F.lit(1)).alias(ROW_COUNT),
         )
+        if not order:
+            return self._with_part(facts)
+        facts = self._with_order(facts, customer=False)
+        if not customer:
+            return facts
+        if not any(name in ORDER_COLUMNS for name in keys if name != "customer_id"):
+            # Nothing else of the order is needed, so one row per customer will do.
+            names = [*sums, *[value_rows(name) for name in sums], ROW_COUNT]
+            facts = facts.groupBy("o_custkey").agg(*[F.sum(name).alias(name) for name in names])
+        return self._with_customer(facts)
 
     def _with_part(self, facts: DataFrame) -> DataFrame:
         return facts.join(self.table("part"), F.expr("l_partkey = p_partkey"), "left")
 
-    def _with_order(self, facts: DataFrame, customer: bool, customer_first: bool) -> DataFrame:
+    def _with_order(self, facts: DataFrame, customer: bool) -> DataFrame:
         orders = self.table("orders")
         on_order = F.expr("l_orderkey = o_orderkey")
-        if customer and customer_first:
+        if customer and self._is_large("orders"):
             # Orders are fewer than line items, so look customers up there.
             return facts.join(self._with_customer(orders), on_order, "left")
         joined = facts.join(orders, on_order, "left")
