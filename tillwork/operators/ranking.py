@@ -70,16 +70,15 @@ def ntile_columns(
     is sorted once per score, keyed by the score's name.
     """
     names = list(scores)
-    entries = [
-        F.struct(
-            F.lit(name).alias("score"),
-            (F.when(F.col(column).isNull(), 1 if ascending else -1).otherwise(0)).alias("null_rank"),
-            (F.col(column) if ascending else -F.col(column)).alias("value"),
-        )
-        for name, (column, ascending) in scores.items()
-    ]
     payload = [c for c in df.columns if c != id_col]
-    long = df.select("*", F.inline(F.array(*entries)))
+    signed = df.select("*", *[
+        (F.col(column) if ascending else -F.col(column)).alias(name)
+        for name, (column, ascending) in scores.items()
+    ])
+    rising = F.col("score").isin([name for name in names if scores[name][1]])
+    long = signed.unpivot(df.columns, names, "score", "value").withColumn(
+        "null_rank",
+        F.when(F.col("value").isNotNull(), 0).when(rising, 1).otherwise(-1))
     placed = _placed(
         long, "score", [F.col("null_rank"), F.col("value"), F.col(id_col).asc_nulls_last()])
     offsets = _offsets(placed, "score", F.lit(1))
@@ -99,12 +98,9 @@ def describe(df: DataFrame, columns: Sequence[str], probabilities: Sequence[floa
     counted per (column, value), so a frequent value is one row from there on
     and no task collects a column's values.
     """
-    entries = [
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value"))
-        for c in columns
-    ]
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     counts = (
-        df.select(F.inline(F.array(*entries)))
+        values.unpivot([], list(columns), "column_name", "value")
         .where(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     )
