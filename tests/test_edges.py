@@ -164,7 +164,7 @@ def test_top_products_break_ties_by_name(spark):
 
 def test_rfm_other_segment(spark):
     triple = spark.createDataFrame([(3, 3, 2), (5, 5, 5), (3, 4, 4), (5, 1, 5), (1, 5, 5), (1, 1, 1)], "r INT, f INT, m INT")
-    labels = triple.select(customers.rfm_label(F.col("r"), F.col("f"), F.col("m"))).collect()
+    labels = triple.select(customers.rfm_label({"recency": F.col("r"), "frequency": F.col("f"), "monetary": F.col("m")})).collect()
     assert [r[0] for r in labels] == [
         "Others", "Champions", "Loyal Customers", "Potential Loyalists", "At Risk", "Lost Customers"]
 

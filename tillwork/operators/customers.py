@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,24 +66,30 @@ def rfm_scores(sales: DataFrame, as_of: Column | None = None) -> DataFrame:
     )
 
 
-def rfm_label(recency: Column, frequency: Column, monetary: Column) -> Column:
-    """Segment name for a triple of scores; the first rule that holds wins."""
-    # Segment names and the scores that define them.
-    return first_match(
-        [
-            ((recency >= 4) & (frequency >= 4) & (monetary >= 4), "Champions"),
-            ((recency >= 3) & (frequency >= 3) & (monetary >= 3), "Loyal Customers"),
-            ((recency >= 3) & (frequency <= 2), "Potential Loyalists"),
-            ((recency <= 2) & (frequency >= 3), "At Risk"),
-            ((recency <= 2) & (frequency <= 2), "Lost Customers"),
-        ],
-        "Others",
-    )
+# Segment names with the lowest and highest score each asks for.
+# The first segment whose ranges hold all its scores is taken.
+RFM_SEGMENTS = (
+    ("Champions", {"recency": (4, 5), "frequency": (4, 5), "monetary": (4, 5)}),
+    ("Loyal Customers", {"recency": (3, 5), "frequency": (3, 5), "monetary": (3, 5)}),
+    ("Potential Loyalists", {"recency": (3, 5), "frequency": (1, 2)}),
+    ("At Risk", {"recency": (1, 2), "frequency": (3, 5)}),
+    ("Lost Customers", {"recency": (1, 2), "frequency": (1, 2)}),
+)
+OTHER_SEGMENT = "Others"
+
+
+def rfm_label(scores: dict[str, Column], segments=RFM_SEGMENTS, otherwise: str = OTHER_SEGMENT) -> Column:
+    """Segment name for the scores of a customer, given by measure."""
+    rules = [
+        (reduce(and_, [scores[m].between(low, high) for m, (low, high) in ranges.items()]), name)
+        for name, ranges in segments
+    ]
+    return first_match(rules, otherwise)
 
 
 def rfm_segments(sales: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Number of customers and their mean spend, sales and recency per RFM segment."""
-    label = rfm_label(F.col("recency_score"), F.col("frequency_score"), F.col("monetary_score"))
+    label = rfm_label({m: F.col(f"{m}_score") for m in ("recency", "frequency", "monetary")})
     return (
         rfm_scores(sales, as_of).groupBy(label.alias("customer_segment"))
         .agg(

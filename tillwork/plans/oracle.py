@@ -79,3 +79,9 @@ def half_even_cents(amount: str, count: str = "1") -> str:
     down, rest = f"({units} // {per_cent})", f"(2 * ({units} % {per_cent}))"
     up = f"({rest} > {per_cent} OR ({rest} = {per_cent} AND {down} % 2 = 1))"
     return f"CAST({down} + CASE WHEN {up} THEN 1 ELSE 0 END AS DOUBLE) / 100"
+
+
+def case(rules: list[tuple[str, str]], otherwise: str) -> str:
+    """The label of the first condition that holds."""
+    arms = " ".join(f"WHEN {condition} THEN '{label}'" for condition, label in rules)
+    return f"CASE {arms} ELSE '{otherwise}' END"

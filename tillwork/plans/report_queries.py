@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillwork.functions.dates import DAY_NAMES
 from tillwork.operators import customers, products, regions, sales
-from tillwork.plans.oracle import AS_OF, average, on_events, on_sales, quotient, rounded, total
+from tillwork.plans.oracle import AS_OF, average, case, on_events, on_sales, quotient, rounded, total
 from tillwork.plans.registry import query
 from tillwork.sources.star import Star
 
@@ -46,9 +47,8 @@ def channel_performance(star: Star):
 
 
 @query("customer_ltv_segments", on_sales(f"""
-SELECT CASE WHEN spent >= {SPEND_TIERS[0][0]} THEN 'High Value'
-            WHEN spent >= {SPEND_TIERS[1][0]} THEN 'Medium Value'
-            ELSE 'Low Value' END AS customer_segment,
+SELECT {case([(f'spent >= {b}', label) for b, label in SPEND_TIERS], customers.LOWEST_TIER)}
+         AS customer_segment,
        COUNT(*) AS customer_count, {average('spent')} AS avg_lifetime_value,
        {average('orders')} AS avg_orders, {average('lifetime_days')} AS avg_lifetime_days
 FROM per_customer GROUP BY 1""", """
@@ -78,15 +78,13 @@ scored AS (
 )""")
 
 
+SEGMENT = case(
+    [(" AND ".join(f"{m}_score BETWEEN {low} AND {high}" for m, (low, high) in ranges.items()), name)
+     for name, ranges in customers.RFM_SEGMENTS], customers.OTHER_SEGMENT)
+
+
 @query("rfm_segments", on_sales(f"""
-SELECT CASE WHEN recency_score >= 4 AND frequency_score >= 4 AND monetary_score >= 4
-              THEN 'Champions'
-            WHEN recency_score >= 3 AND frequency_score >= 3 AND monetary_score >= 3
-              THEN 'Loyal Customers'
-            WHEN recency_score >= 3 AND frequency_score <= 2 THEN 'Potential Loyalists'
-            WHEN recency_score <= 2 AND frequency_score >= 3 THEN 'At Risk'
-            WHEN recency_score <= 2 AND frequency_score <= 2 THEN 'Lost Customers'
-            ELSE 'Others' END AS customer_segment,
+SELECT {SEGMENT} AS customer_segment,
        COUNT(*) AS customer_count, {average('monetary_value')} AS avg_monetary_value,
        {average('frequency')} AS avg_frequency, {average('recency_days')} AS avg_recency_days
 FROM scored GROUP BY 1""", *RFM_CTES))
@@ -130,10 +128,7 @@ def inventory_turnover(star: Star):
 
 @query("day_of_week_sales", on_sales(f"""
 SELECT CAST(EXTRACT(DOW FROM transaction_date) AS BIGINT) AS day_of_week,
-       CASE EXTRACT(DOW FROM transaction_date)
-         WHEN 0 THEN 'Sunday' WHEN 1 THEN 'Monday' WHEN 2 THEN 'Tuesday'
-         WHEN 3 THEN 'Wednesday' WHEN 4 THEN 'Thursday' WHEN 5 THEN 'Friday'
-         WHEN 6 THEN 'Saturday' END AS day_name,
+       ({list(DAY_NAMES)})[EXTRACT(DOW FROM transaction_date) + 1] AS day_name,
        {total('total_amount')} AS revenue, COUNT(*) AS transactions,
        {average('total_amount')} AS avg_order_value
 FROM sales GROUP BY 1, 2"""))
@@ -176,11 +171,16 @@ def regional_category_rank(star: Star):
         star.sales(["region", "product_category"], ["total_amount"]))
 
 
+_LOW, _MEDIUM = DISCOUNT_BOUNDS
+DISCOUNT_TIER = case(
+    [("discount_percent = 0", "No Discount"),
+     (f"discount_percent <= {_LOW}", f"Low Discount (1-{_LOW}%)"),
+     (f"discount_percent <= {_MEDIUM}", f"Medium Discount ({_LOW + 1}-{_MEDIUM}%)")],
+    f"High Discount (>{_MEDIUM}%)")
+
+
 @query("discount_tiers", on_sales(f"""
-SELECT CASE WHEN discount_percent = 0 THEN 'No Discount'
-            WHEN discount_percent <= 3 THEN 'Low Discount (1-3%)'
-            WHEN discount_percent <= 6 THEN 'Medium Discount (4-6%)'
-            ELSE 'High Discount (>6%)' END AS discount_tier,
+SELECT {DISCOUNT_TIER} AS discount_tier,
        COUNT(*) AS transaction_count, {total('total_amount')} AS revenue,
        {average('total_amount')} AS avg_order_value, {average('quantity')} AS avg_quantity,
        {average('discount_percent')} AS avg_discount_rate
@@ -192,8 +192,8 @@ def discount_tiers(star: Star):
 
 @query("price_tiers", on_sales(f"""
 SELECT product_category,
-       CASE WHEN unit_price <= 1000 THEN 'Low Price' WHEN unit_price <= 3000 THEN 'Medium Price'
-            ELSE 'High Price' END AS price_tier,
+       {case([(f'unit_price <= {b}', label) for b, label in PRICE_TIERS], products.HIGHEST_PRICE_TIER)}
+         AS price_tier,
        COUNT(*) AS transaction_count, CAST(SUM(quantity) AS BIGINT) AS total_quantity,
        {average('unit_price')} AS avg_price, {total('total_amount')} AS revenue
 FROM sales GROUP BY 1, 2"""))
