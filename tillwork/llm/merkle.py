@@ -35,15 +35,19 @@ def warc_record(url: Column, payload: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit(b"\r\n\r\n").cast("binary"))
 
 
-def manifest(pages: DataFrame) -> DataFrame:
+def manifest(pages: DataFrame, **also: Column) -> DataFrame:
     """``record_no, page_id, offset, size, hash`` of every page, in a written table.
 
+    ``also`` are further columns to compute from the page, such as the hash of what
+    another store holds of it.
+
     The order is by page id, then by the record's hash; records are numbered and
     their sizes added up over all tasks by the totals of each.
     """
     record = warc_record(F.col("url"), F.col("html"))
     rows = pages.select(
-        F.col("page_id"), F.octet_length(record).cast("long").alias("size"), F.sha2(record, 256).alias("hash"))
+        F.col("page_id"), F.octet_length(record).cast("long").alias("size"), F.sha2(record, 256).alias("hash"),
+        *(column.alias(name) for name, column in also.items()))
     ranged = materialise(
         rows.orderBy(F.col("page_id").asc_nulls_first(), "hash")
         .withColumn("task", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()),
@@ -67,7 +71,7 @@ def manifest(pages: DataFrame) -> DataFrame:
     inside = Window.partitionBy("task", "block").orderBy("record_no").rowsBetween(Window.unboundedPreceding, -1)
     numbered = sized.join(starts, ["task", "block"]).select(
         "record_no", "page_id", (F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("offset"),
-        "size", "hash")
+        "size", "hash", *also)
     return materialise(numbered, "manifest")
 
 

@@ -5,18 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillwork.llm.decontamination import contamination
 from tillwork.llm.hyperminhash import near_duplicates
 from tillwork.llm.language_id import identify, learn_languages
+from tillwork.llm.license_scan import scan as scan_licenses
+from tillwork.llm.merkle import audit, manifest, warc_record
 from tillwork.llm.packing import cut_documents, pack
 from tillwork.llm.secret_scan import scan
+from tillwork.llm.training_order import read_shards, write_shards
+from tillwork.sources.scratch import new_path
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, root: str) -> DataFrame:
+    return scan_licenses(_table(spark, root, "documents")).drop("spans")
+
+
 def op2_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return pack(cut_documents(_table(spark, root, "documents"))).drop("ids")
 
@@ -26,6 +35,18 @@ def op4_language_id(spark: SparkSession, root: str) -> DataFrame:
     return identify(docs, learn_languages(docs))
 
 
+def op6_merkle_audit(spark: SparkSession, root: str) -> DataFrame:
+    """The pages against a replica in which some have lost their last character and some are gone."""
+    damaged = F.concat(F.expr("substr(html, 1, char_length(html) - 1)"), F.lit("~"))
+    held = F.when(F.col("page_id") % 97 == 13, damaged).otherwise(F.col("html"))
+    both = manifest(
+        _table(spark, root, "pages"), replica_hash=F.sha2(warc_record(F.col("url"), held), 256))
+    replica = both.where("page_id % 389 <> 7 OR page_id IS NULL").select(
+        "record_no", "offset", "size", F.col("replica_hash").alias("hash"))
+    faults = audit(both.drop("replica_hash"), replica)
+    return faults.join(both.select("record_no", "page_id"), "record_no")
+
+
 def op7_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     return scan(_table(spark, root, "documents"))
 
@@ -35,16 +56,113 @@ def op8_hyperminhash(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates(_table(spark, root, "documents"), words=4)
 
 
+def op9_training_order(spark: SparkSession, root: str) -> DataFrame:
+    path = new_path(spark, "shards")
+    write_shards(_table(spark, root, "documents"), path)
+    return read_shards(spark.read.parquet(path))
+
+
 def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return contamination(_table(spark, root, "documents"), _table(spark, root, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_language_id": op4_language_id,
+    "op6_merkle_audit": op6_merkle_audit,
     "op7_secret_scan": op7_secret_scan,
     "op8_hyperminhash": op8_hyperminhash,
+    "op9_training_order": op9_training_order,
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+_PAGES = """
+WITH page AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         CASE WHEN page_id % 97 = 13 THEN left(html, length(html) - 1) || '~' ELSE html END AS held
+  FROM pages),
+record AS (
+  SELECT page_id,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+           || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' AS head,
+         chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, held
+  FROM page),
+hashed AS (
+  SELECT page_id, strlen(head || strlen(html) || gap || html || gap) AS size,
+         sha256(head || strlen(html) || gap || html || gap) AS primary_hash,
+         sha256(head || strlen(held) || gap || held || gap) AS replica_hash
+  FROM record),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY page_id, primary_hash) - 1 AS record_no,
+         coalesce(sum(size) OVER (ORDER BY page_id, primary_hash
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM hashed)
+SELECT record_no, "offset", size, page_id, primary_hash,
+       CASE WHEN page_id % 389 = 7 THEN NULL ELSE replica_hash END AS replica_hash,
+       CASE WHEN page_id % 389 = 7 THEN 'missing' ELSE 'corrupt' END AS status
+FROM numbered
+WHERE page_id % 389 = 7 OR primary_hash <> replica_hash
+"""
+
+_DECONTAMINATION = """
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k,
+         array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS s FROM item WHERE len(w) > 0)),
+width AS (SELECT DISTINCT k FROM win),
+place AS (
+  SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM doc, width WHERE len(w) >= k),
+found AS (
+  SELECT doc_id, item_id, s, win.k
+  FROM place JOIN win ON win.k = place.k AND win.phrase = array_to_string(w[s:s + place.k - 1], ' ')),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM found) GROUP BY doc_id),
+ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+_NEAR_DUPLICATES = """
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS s FROM doc WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingle x JOIN shingle y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (
+  SELECT a, b FROM common JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b
+  WHERE 100 * c >= 80 * (s.n + t.n - c)),
+reach AS (
+  SELECT a AS doc_id, a AS other FROM link
+  UNION
+  SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other),
+component AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(low, doc_id) AS component_id,
+       coalesce(low, doc_id) = doc_id AS kept
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN component USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op6_merkle_audit": _PAGES,
+    "op8_hyperminhash": _NEAR_DUPLICATES,
+    "op10_decontamination": _DECONTAMINATION,
+}
