@@ -24,11 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwork.llm.text import documents_of, slices
+from tillwork.llm.text import documents_of, slices, split_number
 
 DIMENSIONS = 1024
 SEED = 20240229
@@ -44,11 +44,6 @@ _SCALE = 1 << 20
 _CACHED = 40_000
 
 
-def split_number(folds: int) -> Column:
-    """crc32 of the id's digits, modulo ``folds``."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
-
-
 class Profiler:
     """Three-gram counts and vectors of texts; one per task."""
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwork.llm.decontamination import contamination
+from tillwork.llm.embedding_join import similar_vectors
+from tillwork.llm.hmm import score
 from tillwork.llm.hyperminhash import near_duplicates
 from tillwork.llm.language_id import identify, learn_languages
 from tillwork.llm.license_scan import scan as scan_licenses
@@ -30,11 +32,19 @@ def op2_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
     return pack(cut_documents(_table(spark, root, "documents"))).drop("ids")
 
 
+def op3_embedding_join(spark: SparkSession, root: str) -> DataFrame:
+    return similar_vectors(_table(spark, root, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, root: str) -> DataFrame:
     docs = _table(spark, root, "documents")
     return identify(docs, learn_languages(docs))
 
 
+def op5_hidden_markov(spark: SparkSession, root: str) -> DataFrame:
+    return score(_table(spark, root, "documents"))
+
+
 def op6_merkle_audit(spark: SparkSession, root: str) -> DataFrame:
     """The pages against a replica in which some have lost their last character and some are gone."""
     damaged = F.concat(F.expr("substr(html, 1, char_length(html) - 1)"), F.lit("~"))
@@ -69,7 +79,9 @@ def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_embedding_join": op3_embedding_join,
     "op4_language_id": op4_language_id,
+    "op5_hidden_markov": op5_hidden_markov,
     "op6_merkle_audit": op6_merkle_audit,
     "op7_secret_scan": op7_secret_scan,
     "op8_hyperminhash": op8_hyperminhash,
@@ -161,7 +173,28 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(low, doc_id) AS co
 FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN component USING (doc_id)
 """
 
+_VECTORS = """
+WITH RECURSIVE vec AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vec x JOIN vec y
+  ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_dot_product(x.v, y.v)
+    / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.9),
+reach AS (
+  SELECT a AS vec_id, a AS other FROM link
+  UNION
+  SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.other),
+component AS (SELECT vec_id, min(other) AS low FROM reach GROUP BY vec_id),
+degree AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low, vec_id) AS component_id,
+       coalesce(low, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN degree USING (vec_id) LEFT JOIN component USING (vec_id)
+"""
+
 SQL: dict[str, str] = {
+    "op3_embedding_join": _VECTORS,
     "op6_merkle_audit": _PAGES,
     "op8_hyperminhash": _NEAR_DUPLICATES,
     "op10_decontamination": _DECONTAMINATION,
