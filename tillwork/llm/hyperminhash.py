@@ -146,17 +146,18 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """``band, id``: a row for each band value of a class that is not empty."""
+    """``band, place, id``: a row for each band value of a class that is not empty."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = _band_values(_matrix(batch.column("registers")))
-            row, _ = np.nonzero(values)
+            row, place = np.nonzero(values)
             ids = batch.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values[values != 0].view(np.int64)), pa.array(ids[row])], names=["band", "id"])
+                [pa.array(values[values != 0].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(ids[row])],
+                names=["band", "place", "id"])
 
-    return classes.select("id", "registers").mapInArrow(emit, "band long, id long")
+    return classes.select("id", "registers").mapInArrow(emit, "band long, place int, id long")
 
 
 def _band_values(sketch: np.ndarray) -> np.ndarray:
@@ -218,7 +219,8 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a band value, compared block by block.
 
     A value's classes are dealt into parts of about 256; two parts meet in one
-    cell, so a cell's rows are bounded however many classes the value has.
+    cell, so a cell's rows are bounded however many classes the value has. A pair
+    that shares several values is given by the first of them only.
     """
     parts = F.ceil(F.col("n") / _BLOCK).cast("int")
     part = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
@@ -227,7 +229,7 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
         rest.withColumn("parts", parts).withColumn("part", part)
         .withColumn("other", F.explode(others))
         .select(
-            "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+            "band", "place", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
             "part", "id", "component", "n_shingles", "registers")
     )
 
@@ -268,10 +270,15 @@ def _cell_pairs(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     if len(ids) < 2 or (component == component[0]).all():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sketch = _matrix(cell.column("registers").combine_chunks())
+    values = np.ascontiguousarray(sketch).view("<u8")
+    place = cell.column("place")[0].as_py()
+    earlier = values[:, :place]
     left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
     found_a, found_b = [], []
     for x in left:
         y = right[(component[right] != component[x]) & ((ids[right] > ids[x]) if i == j else True)]
+        if len(y) and place:
+            y = y[~((earlier[y] == earlier[x]) & (earlier[x] != 0)).any(1)]
         if len(y):
             y = y[_may_link(sketch[x], sketch[y], size[x], size[y], percent)]
             found_a.append(np.full(len(y), ids[x]))
@@ -303,7 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     known = components(links)
 
     labelled = bands.join(known, "id", "left").select(
-        "band", "id", F.coalesce("component", "id").alias("component"))
+        "band", "place", "id", F.coalesce("component", "id").alias("component"))
     open_ = labelled.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
     ).where("low < high").select("band", "n")
