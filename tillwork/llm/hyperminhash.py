@@ -1,23 +1,26 @@
 """Near-duplicate documents by HyperMinHash sketches.
 
-A document's distinct word shingles are hashed to 64 bits. Seven bits choose one
-of 128 buckets; a bucket keeps its lowest hash as 16 bits, the count of leading
-zeros (6 bits) and the next bits as mantissa (10 bits). Four registers side by
-side are one 64-bit band value, so 32 values per document find the candidates.
-Sketches then estimate the similarity, less the matches that chance explains,
-and what may reach the threshold is confirmed on the full shingle sets.
+A document's distinct word shingles are hashed to 64 bits. Some bits choose a
+bucket; a bucket keeps its lowest hash as 16 bits, the count of leading zeros (6
+bits) and the next bits as mantissa (10 bits). A coarse sketch of 128 buckets finds
+candidates: four registers side by side are one 64-bit band value, so a document
+has 32. A fine sketch of 512 buckets estimates the similarity of candidates, less
+the matches that chance explains, and what may reach the threshold is confirmed on
+the full shingle sets.
 
-Only links that change a component are looked for, so a group of thousands of
-copies costs as many comparisons as it has members:
+Only links that change a component are looked for:
 
 1. Documents with the same set are one class, whatever their number.
-2. Each class is compared with the smallest one of every band value it has.
+2. Each class is compared with three leaders of every band value it has: the
+   smallest id and two by hash. That joins nearly all that belongs together.
 3. Where a band value still holds several components, classes of different ones
-   are compared in blocks of bounded size.
+   are compared in blocks of bounded size; only pairs whose fine sketches allow a
+   link leave the block.
 
 Chance of missing a pair: a pair of similarity 0.8 agrees in a band of four
-registers with 0.41 and so in none of 32 with 5e-8; the estimate is five standard
-deviations below 0.8 with 3e-7.
+registers with 0.41 and so in none of 32 with 5e-8; the estimates may be five
+standard deviations too low. A bucket's lowest hash is a draw without replacement
+from the union, so for small sets the deviation is small.
 
 Defined cases: with fewer words than a shingle has, the whole sequence is the one
 shingle. Without words or text the set is empty and links with nothing. Rows of
@@ -38,9 +41,10 @@ from pyspark.sql import functions as F
 
 from tillwork.llm.components import components
 from tillwork.llm.text import documents_of, slices, spaced_words
+from tillwork.llm.wanted import with_ids
 from tillwork.sources.scratch import materialise
 
-BUCKETS = 128
+COARSE, FINE = 7, 9
 MANTISSA = 10
 BAND = 4
 WORDS = 5
@@ -86,14 +90,14 @@ class Shingler:
         return np.unique(shingles)
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
-    """128 registers of 16 bits; 0 is an empty bucket, larger is a lower hash."""
+def registers(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """2 ** bits registers of 16 bits; 0 is an empty bucket, larger is a lower hash."""
     mixed = _mixed(shingles + _MIX[0])
-    bucket = (mixed >> np.uint64(57)).astype(np.int64)
-    rest = (mixed << np.uint64(7)) | np.uint64(127)
-    lowest = np.full(BUCKETS, np.iinfo(np.uint64).max, np.uint64)
+    bucket = (mixed >> np.uint64(64 - bits)).astype(np.int64)
+    rest = (mixed << np.uint64(bits)) | np.uint64((1 << bits) - 1)
+    lowest = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(lowest, bucket, rest)
-    used = np.zeros(BUCKETS, bool)
+    used = np.zeros(1 << bits, bool)
     used[bucket] = True
     # The exponent of the top 53 bits gives the leading zeros without a loop.
     zeros = np.minimum(53 - np.frexp((lowest >> np.uint64(11)).astype(np.float64))[1], 62)
@@ -108,39 +112,47 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
     larger, smaller = np.maximum(size_a, size_b), np.maximum(np.minimum(size_a, size_b), 1)
     ratio = larger / smaller
     # Published constant: matches to be expected of unrelated sets, per bucket and mantissa value.
-    chance = 0.169919 * BUCKETS / 2 ** MANTISSA * 4 * ratio / (1 + ratio) ** 2
+    chance = 0.169919 * a.shape[-1] / 2 ** MANTISSA * 4 * ratio / (1 + ratio) ** 2
     return np.clip((equal - chance) / used, 0, 1), used
 
 
+def _sizes_allow(size_a, size_b, percent: int) -> np.ndarray:
+    return 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+
+
 def _may_link(a, b, size_a, size_b, percent: int) -> np.ndarray:
     estimate, used = similarity(a, b, size_a, size_b)
     wanted = percent / 100
-    sizes = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
-    return sizes & (estimate >= wanted - 5 * np.sqrt(wanted * (1 - wanted) / used))
+    # The union of a pair at the threshold, and how much of it the buckets do not show.
+    union = np.maximum((size_a + size_b) / (1 + wanted), used + 1)
+    unseen = (union - used) / (union - 1)
+    margin = 5 * np.sqrt(wanted * (1 - wanted) / used * unseen) + 2 / used
+    return _sizes_allow(size_a, size_b, percent) & (estimate >= wanted - margin)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BUCKETS)
+def _matrix(column: pa.Array, bits: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, 1 << bits)
 
 
-SKETCHES = "doc_id long, n_shingles long, set_key binary, registers binary"
+SKETCHES = "doc_id long, n_shingles long, set_key binary, coarse binary, fine binary"
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Set size, a 128-bit key of the set and the registers of every row."""
+    """Set size, a 128-bit key of the set and both sketches of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in slices(batches, "text"):
-            sizes, keys, rows = [], [], []
+            sizes, keys, coarse, fine = [], [], [], []
             for found in shingler(batch.column("text").to_pylist()):
                 sizes.append(len(found))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                rows.append(registers(found).tobytes())
+                coarse.append(registers(found, COARSE).tobytes())
+                fine.append(registers(found, FINE).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(rows, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "registers"])
+                 pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())],
+                names=["doc_id", "n_shingles", "set_key", "coarse", "fine"])
 
     return materialise(documents_of(docs).mapInArrow(sketch, SKETCHES), "sketches")
 
@@ -150,14 +162,14 @@ def _bands(classes: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = _band_values(_matrix(batch.column("registers")))
+            values = _band_values(_matrix(batch.column("coarse"), COARSE))
             row, place = np.nonzero(values)
             ids = batch.column("id").to_numpy()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values[values != 0].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(ids[row])],
                 names=["band", "place", "id"])
 
-    return classes.select("id", "registers").mapInArrow(emit, "band long, place int, id long")
+    return classes.select("id", "coarse").mapInArrow(emit, "band long, place int, id long")
 
 
 def _band_values(sketch: np.ndarray) -> np.ndarray:
@@ -171,13 +183,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def side(name: str) -> DataFrame:
         return classes.select(
             F.col("id").alias(name), F.col("n_shingles").alias(f"n_{name}"),
-            F.col("registers").alias(f"r_{name}"))
+            F.col("fine").alias(f"r_{name}"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 good = _may_link(
-                    _matrix(batch.column("r_a")), _matrix(batch.column("r_b")),
+                    _matrix(batch.column("r_a"), FINE), _matrix(batch.column("r_b"), FINE),
                     batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
@@ -185,8 +197,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(keep, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Texts of other documents are left behind."""
+def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``id, shingles`` of the documents in ``ids`` (``doc_id``), in a written table."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -195,6 +207,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found, pa.binary())], names=["id", "shingles"])
 
+    chosen = with_ids(documents_of(docs), ids, "doc_id")
+    return materialise(chosen.mapInArrow(sets, "id long, shingles binary"), "shingle-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -206,11 +225,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     pairs = materialise(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    full = materialise(
-        documents_of(docs).join(wanted, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary"),
-        "shingle-sets")
-    a, b = (full.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+    a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     tested = pairs.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b")
     return materialise(tested.mapInArrow(test, "a long, b long"), "links")
 
@@ -230,7 +245,7 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
         .withColumn("other", F.explode(others))
         .select(
             "band", "place", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-            "part", "id", "component", "n_shingles", "registers")
+            "part", "id", "component", "n_shingles", "coarse", "fine")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,18 +284,21 @@ def _cell_pairs(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
     if len(ids) < 2 or (component == component[0]).all():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    sketch = _matrix(cell.column("registers").combine_chunks())
-    values = np.ascontiguousarray(sketch).view("<u8")
+    coarse = _matrix(cell.column("coarse").combine_chunks(), COARSE)
+    fine = _matrix(cell.column("fine").combine_chunks(), FINE)
+    values = np.ascontiguousarray(coarse).view("<u8")
     place = cell.column("place")[0].as_py()
     earlier = values[:, :place]
     left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
     found_a, found_b = [], []
     for x in left:
         y = right[(component[right] != component[x]) & ((ids[right] > ids[x]) if i == j else True)]
+        y = y[_sizes_allow(size[x], size[y], percent)]
         if len(y) and place:
             y = y[~((earlier[y] == earlier[x]) & (earlier[x] != 0)).any(1)]
         if len(y):
-            y = y[_may_link(sketch[x], sketch[y], size[x], size[y], percent)]
+            for sketch in (coarse, fine):
+                y = y[_may_link(sketch[x], sketch[y], size[x], size[y], percent)]
             found_a.append(np.full(len(y), ids[x]))
             found_b.append(ids[y])
     if not found_a:
@@ -295,7 +313,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = materialise(
         rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
             F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"),
-            F.first("registers").alias("registers")),
+            F.first("coarse").alias("coarse"), F.first("fine").alias("fine")),
         "classes")
     # A document id may stand in several rows, and so for several sets.
     alike = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").join(
@@ -303,10 +321,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         F.col("id").alias("a"), F.col("doc_id").alias("b"))
     
     bands = materialise(_bands(classes), "bands")
-    values = bands.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    near = bands.join(values, "band").where("id <> first").select(
-        F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(_estimated(near, classes, percent), docs, words, percent)
+    leaders = [F.min("id").alias("smallest"), *(
+        F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("rank"), F.col("id").alias("id")))["id"].alias(f"by_hash_{k}")
+        for k in (1, 2))]
+    values = materialise(bands.groupBy("band").agg(F.count("*").alias("n"), *leaders).where("n > 1"), "leaders")
+    shared = bands.join(values, "band")
+    wanted = materialise(shared.select(F.col("id").alias("doc_id")).distinct(), "candidates")
+    sets = _shingle_sets(docs, wanted, words)
+    near = shared.select(
+        "id", F.explode(F.array("smallest", "by_hash_1", "by_hash_2")).alias("leader")).where("id <> leader").select(
+        F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    links = _confirmed(_estimated(near, classes, percent), sets, percent)
     known = components(links)
 
     labelled = bands.join(known, "id", "left").select(
@@ -314,8 +339,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     open_ = labelled.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
     ).where("low < high").select("band", "n")
-    rest = labelled.join(open_, "band").join(classes.select("id", "n_shingles", "registers"), "id")
-    more = _confirmed(_across(rest, percent), docs, words, percent)
+    rest = labelled.join(open_, "band").join(classes.select("id", "n_shingles", "coarse", "fine"), "id")
+    more = _confirmed(_across(rest, percent), sets, percent)
 
     found = components(links.union(more).union(alike))
     labels = rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
