@@ -70,8 +70,8 @@ def skewed_root(spark, tmp_path_factory):
     for table in TABLES:
         spark.read.parquet(f"{SMALL}/{table}.parquet").createOrReplaceTempView("source")
         rows = spark.sql(changes.get(table, "SELECT * FROM source"))
-        # The sales come in many files, as they would; the stream reads one batch.
-        rows.repartition(12 if table == "lineitem" else 1).write.parquet(f"{root}/{table}.parquet")
+        # Sales and events come in many files, as they would.
+        rows.repartition({"lineitem": 12, "events": 6}.get(table, 1)).write.parquet(f"{root}/{table}.parquet")
     return root
 
 

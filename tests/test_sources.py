@@ -26,14 +26,14 @@ def tables_read(df):
 def test_only_needed_tables_are_joined(spark):
     star = Star(spark, SMALL)
     assert tables_read(star.sales(["total_amount"])) == {"lineitem"}
-    assert tables_read(star.sales(["transaction_date"], ["total_amount"])) == {"lineitem", "orders"}
-    assert tables_read(star.sales(["product_name"], ["quantity"])) == {"lineitem", "part"}
+    assert tables_read(star.summed(["transaction_date"], ["total_amount"])) == {"lineitem", "orders"}
+    assert tables_read(star.summed(["product_name"], ["quantity"])) == {"lineitem", "part"}
     assert tables_read(star.sales(["customer_segment"])) >= {"lineitem", "orders", "customer"}
 
 
 def test_only_needed_columns_are_read(spark):
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan(sales.monthly_revenue(
-        Star(spark, SMALL).sales(["transaction_date"], ["total_amount"]))))
+        Star(spark, SMALL).summed(["transaction_date"], ["total_amount"]))))
     columns = {c.split(":")[0] for s in schemas for c in s.split(",")}
     assert columns == {"l_orderkey", "l_extendedprice", "l_discount", "o_orderkey", "o_orderdate"}
 
@@ -54,7 +54,7 @@ def test_summing_before_the_join_shuffles_once_per_key(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        df = Star(spark, SMALL).sales(["transaction_date"], ["total_amount"])
+        df = Star(spark, SMALL).summed(["transaction_date"], ["total_amount"])
         physical = plan(df).split("== Physical Plan ==")[1]
         # One exchange for the summed lines and one for the orders, none between sum and join.
         assert physical.count("Exchange hashpartitioning") == 2
@@ -64,8 +64,8 @@ def test_summing_before_the_join_shuffles_once_per_key(spark):
 
 
 def test_summed_rows_carry_counts(spark):
-    summed = Star(spark, SMALL, presum=True).sales(["transaction_date"], ["total_amount"])
-    single = Star(spark, SMALL, presum=False).sales(["transaction_date"], ["total_amount"])
+    summed = Star(spark, SMALL).summed(["transaction_date"], ["total_amount"])
+    single = Star(spark, SMALL).sales(["transaction_date", "total_amount"])
     assert {"row_count", "total_amount_rows"} <= set(summed.columns)
     assert summed.agg(F.sum("row_count")).first()[0] == single.count()
     assert sales.monthly_revenue(summed).collect() == sales.monthly_revenue(single).collect()
@@ -164,7 +164,7 @@ def test_pairs_with_a_basket_that_holds_most_sales(spark):
 
 
 def test_clusters_cover_every_customer(spark):
-    rows = Star(spark, SMALL).sales(["customer_id", "transaction_date"], ["total_amount"])
+    rows = Star(spark, SMALL).summed(["customer_id", "transaction_date"], ["total_amount"])
     found = customers.customer_clusters(rows, k=3, as_of=F.lit("2001-08-02").cast("date"))
     assert found.count() == rows.select("customer_id").distinct().count()
     profile = customers.cluster_profile(found).collect()
@@ -193,6 +193,25 @@ def test_a_hot_join_key_is_split_over_tasks(spark, skewed_root):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    assert rows == {r["product_name"]: r["revenue"] for r in Star(spark, skewed_root).sales(
+    assert rows == {r["product_name"]: r["revenue"] for r in Star(spark, skewed_root).summed(
         ["product_name"], ["total_amount"]).groupBy("product_name").agg(
             F.sum("total_amount").alias("revenue")).collect()}
+
+
+def test_csv_keeps_quotes_commas_and_line_breaks(spark):
+    names = ['a "quoted" name', "with, comma", "two\nlines", 'back\\slash']
+    path = scratch.new_path(spark, "csv")
+    export_csv(spark.createDataFrame([(n,) for n in names], "product_name STRING"), path)
+    assert sorted(r[0] for r in read_sales(spark, path, "csv", schema="product_name STRING").collect()) == sorted(names)
+
+
+def test_keys_of_both_chains_are_summed_between_the_joins(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = Star(spark, SMALL).summed(["region", "product_category"], ["total_amount"])
+        physical = plan(df).split("== Physical Plan ==")[1]
+        upper = physical.split("HashAggregate")[0]
+        assert "p_partkey" in upper and "o_orderkey" not in upper
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

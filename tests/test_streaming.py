@@ -10,7 +10,7 @@ from conftest import SMALL, day
 from tillwork.sources.scratch import new_path
 from tillwork.sources.star import TABLE_SCHEMAS, Star
 from tillwork.streaming import ingest, kpis
-from tillwork.streaming.events import drain, drained, read_events, with_event_time
+from tillwork.streaming.events import drain, drained, read_events, snapshot, with_event_time
 
 
 def write_events(spark, path, *rows):
@@ -30,6 +30,23 @@ def test_stream_is_batch_for_the_closed_days(spark):
     assert all(batch[row[0]] == row for row in streamed)
 
 
+def test_snapshot_has_open_days_and_every_file(spark):
+    path = new_path(spark, "parts")
+    for hour in (10, 12, 11):
+        write_events(spark, f"{path}/events.parquet", (hour, f"2024-01-0{hour - 9} {hour}:00:00", "purchase", 1.0))
+    for per_trigger in (1, 1000):
+        rows = snapshot(kpis.daily_kpis(read_events(spark, path, files_per_trigger=per_trigger)), "days").collect()
+        assert sorted(str(r["day"]) for r in rows) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+
+
+def test_days_are_held_against_earlier_ones_only(spark):
+    rows = [(datetime.date(2024, 1, d), float(d % 2), 1, 1, 1) for d in range(1, 10)]
+    rows.append((datetime.date(2024, 1, 10), 100.0, 1, 1, 1))
+    days = spark.createDataFrame(rows, "day DATE, revenue DOUBLE, purchases BIGINT, views BIGINT, errors BIGINT")
+    (alert,) = kpis.alerts_against_earlier_days(days, 3.0).collect()
+    assert alert["day"] == datetime.date(2024, 1, 10) and alert["z_score"] > 100
+
+
 def test_days_are_utc_days_in_any_session_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:

@@ -82,10 +82,13 @@ def cross_sell_pairs(
     sales: DataFrame,
     basket: str = "customer_id",
     item: str = "product_category",
-    min_support: float = 0.01,
+    *,
+    min_support: float,
 ) -> DataFrame:
     """For items A and B: the share of A's buyers who buy B, and its lift.
 
+    Pairs of less support than ``min_support`` are left out; it also bounds their number.
+
     Buyers with the same set of items are counted together first, and only the
     distinct sets are turned into pairs.
     """

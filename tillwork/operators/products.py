@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,6 @@ from tillwork.functions.dates import day_of, month_of
 from tillwork.functions.measures import mean, percent, ratio, sale_count
 from tillwork.sources.scratch import materialise
 
-# Standard normal quantiles for service levels.
-NORMAL_QUANTILES = {0.90: 1.282, 0.95: 1.645, 0.975: 1.960, 0.99: 2.326}
-
-
 def category_growth(sales: DataFrame) -> DataFrame:
     """Per category: mean monthly revenue, mean month-on-month growth and its deviation.
 
@@ -126,7 +123,7 @@ def reorder_points(
     the whole table. They are not made as rows: sums and squares over the days
     with sales, and the number of days, are enough.
     """
-    z = NORMAL_QUANTILES[service_level] if z is None else z
+    z = NormalDist().inv_cdf(service_level) if z is None else z
     daily = (
         sales.where(F.col("transaction_date").isNotNull())
         .groupBy("product_category", "product_name", day_of(F.col("transaction_date")).alias("day"))

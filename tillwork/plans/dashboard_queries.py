@@ -18,7 +18,11 @@ SPEC = dashboard.FilterSpec(
     categories=("ECONOMY", "PROMO", "STANDARD"), regions=("ASIA", "EUROPE", "AMERICA"),
     channels=("Online", "In-Store"),
 )
-NOTHING = dashboard.FilterSpec(categories=())
+# A year without sales, and one with: known only once the table is read.
+FILTERS = {
+    "none": dashboard.FilterSpec(start=datetime.date(2049, 1, 1), end=datetime.date(2049, 12, 31)),
+    "some": dashboard.FilterSpec(start=datetime.date(1997, 1, 1), end=datetime.date(1997, 12, 31)),
+}
 FILTER_COLUMNS = ("transaction_date", "product_category", "region", "sales_channel")
 
 FILTERED = """
@@ -71,11 +75,18 @@ def kpi_summary(star: Star):
     return dashboard.kpi_summary(filtered(star, "customer_id", "total_amount", "profit"))
 
 
-@query("empty_guard", on_sales(kpi_sql(
-    "(SELECT * FROM sales WHERE FALSE) AS none", ", COUNT(*) > 0 AS has_data")))
+def _guard_sql(name: str, year: int) -> str:
+    table = f"""(SELECT * FROM sales WHERE transaction_date >= TIMESTAMP '{year}-01-01'
+                 AND transaction_date < TIMESTAMP '{year + 1}-01-01') AS part"""
+    return kpi_sql(table, f", COUNT(*) > 0 AS has_data, '{name}' AS filter")
+
+
+@query("empty_guard", on_sales(f"{_guard_sql('none', 2049)} UNION ALL {_guard_sql('some', 1997)}"))
 def empty_guard(star: Star):
-    return dashboard.empty_guard(
-        star.sales([*FILTER_COLUMNS, "customer_id", "total_amount", "profit"]), NOTHING)
+    rows = star.sales([*FILTER_COLUMNS, "customer_id", "total_amount", "profit"])
+    none, some = (
+        dashboard.empty_guard(rows, spec).withColumn("filter", F.lit(name)) for name, spec in FILTERS.items())
+    return none.unionByName(some)
 
 
 @query("daily_trend", on_sales(f"""

@@ -58,12 +58,12 @@ bought AS (
   WHERE customer_id IS NOT NULL AND product_category IS NOT NULL
 )""", "buyers AS (SELECT item, COUNT(*) AS buyers FROM bought GROUP BY 1)"))
 def cross_sell_pairs(star: Star):
-    return basket.cross_sell_pairs(star.sales(["customer_id", "product_category"]))
+    return basket.cross_sell_pairs(star.sales(["customer_id", "product_category"]), min_support=0.01)
 
 
 @query("customer_clusters")
 def customer_clusters(star: Star):
-    rows = star.sales(["customer_id", "transaction_date"], ["total_amount"])
+    rows = star.summed(["customer_id", "transaction_date"], ["total_amount"])
     return customers.customer_clusters(rows, as_of=F.lit(AS_OF).cast("date"))
 
 
@@ -72,7 +72,7 @@ SELECT customer_id, recency_days, frequency, {rounded('monetary_value')} AS mone
        recency_score, frequency_score, monetary_score
 FROM scored""", *RFM_CTES))
 def rfm_scores(star: Star):
-    rows = star.sales(["customer_id", "transaction_date"], ["total_amount"])
+    rows = star.summed(["customer_id", "transaction_date"], ["total_amount"])
     return customers.rfm_scores(rows, F.lit(AS_OF).cast("date"))
 
 
@@ -90,7 +90,7 @@ tiled AS (
   SELECT spent, CAST(NTILE(5) OVER (ORDER BY spent DESC, customer_id) AS BIGINT) AS tile FROM spend
 )""", "tiles AS (SELECT tile, COUNT(*) AS customers, SUM(spent) AS revenue FROM tiled GROUP BY 1)"))
 def customer_concentration(star: Star):
-    return customers.customer_concentration(star.sales(["customer_id"], ["total_amount"]))
+    return customers.customer_concentration(star.summed(["customer_id"], ["total_amount"]))
 
 
 def cohort_sql(by: str) -> str:
@@ -117,13 +117,13 @@ active AS (
 
 @query("retention_cohorts", cohort_sql(""))
 def retention_cohorts(star: Star):
-    return customers.retention_cohorts(star.sales(["customer_id", "transaction_date"], partial=True))
+    return customers.retention_cohorts(star.summed(["customer_id", "transaction_date"]))
 
 
 @query("retention_cohorts_by_segment", cohort_sql("customer_segment"))
 def retention_cohorts_by_segment(star: Star):
     return customers.retention_cohorts(
-        star.sales(["customer_segment", "customer_id", "transaction_date"], partial=True),
+        star.summed(["customer_segment", "customer_id", "transaction_date"]),
         ["customer_segment"])
 
 
@@ -139,7 +139,7 @@ FROM (
 ) AS spans GROUP BY 1"""))
 def segment_retention(star: Star):
     return customers.segment_retention(
-        star.sales(["customer_segment", "customer_id", "transaction_date"], partial=True))
+        star.summed(["customer_segment", "customer_id", "transaction_date"]))
 
 
 @query("revenue_growth", on_sales(f"""
@@ -154,7 +154,7 @@ FROM (
   ) AS quarters
 ) AS lagged"""))
 def revenue_growth(star: Star):
-    return sales.revenue_growth(star.sales(["transaction_date"], ["total_amount"]))
+    return sales.revenue_growth(star.summed(["transaction_date"], ["total_amount"]))
 
 
 @query("seasonal_index", on_sales(f"""
@@ -175,7 +175,7 @@ FROM (
 ) AS means"""))
 def seasonal_index(star: Star):
     return sales.seasonal_index(
-        star.sales(["product_category", "transaction_date"], ["total_amount"]))
+        star.summed(["product_category", "transaction_date"], ["total_amount"]))
 
 
 @query("gross_margin_by_category", on_sales(f"""
@@ -184,7 +184,7 @@ SELECT product_category, {total('total_amount')} AS revenue, {total('profit')} A
 FROM sales GROUP BY 1"""))
 def gross_margin_by_category(star: Star):
     return sales.gross_margin_by_category(
-        star.sales(["product_category"], ["total_amount", "profit"]))
+        star.summed(["product_category"], ["total_amount", "profit"]))
 
 
 @query("reorder_points", on_sales(f"""
@@ -213,7 +213,7 @@ FROM (
 ) AS stats"""))
 def reorder_points(star: Star):
     return products.reorder_points(
-        star.sales(["product_category", "product_name", "transaction_date"], ["quantity"]))
+        star.summed(["product_category", "product_name", "transaction_date"], ["quantity"]), z=1.645)
 
 
 @query("conversion_rate", f"""
@@ -245,7 +245,7 @@ FROM (
   WHERE customer_id IS NOT NULL GROUP BY 1
 ) AS counted"""))
 def customer_density(star: Star):
-    return regions.customer_density(star.sales(["region", "customer_id"], partial=True))
+    return regions.customer_density(star.summed(["region", "customer_id"]))
 
 
 @query("kpi_drilldown", on_sales(f"""
@@ -255,5 +255,5 @@ SELECT CAST(3 - bit_count(GROUPING(region, product_category, product_name)) AS B
        {rounded(quotient('SUM(profit) * 100', 'SUM(total_amount)'))} AS margin
 FROM sales GROUP BY ROLLUP (region, product_category, product_name)"""))
 def kpi_drilldown(star: Star):
-    return sales.kpi_drilldown(star.sales(
+    return sales.kpi_drilldown(star.summed(
         ["region", "product_category", "product_name"], ["total_amount", "profit"]))

@@ -111,7 +111,7 @@ SELECT {total('total_amount')} AS total_revenue, {average('total_amount')} AS av
        {average('discount_percent')} AS avg_discount, COUNT(*) AS total_transactions
 FROM sales"""))
 def business_metrics(star: Star):
-    return profiling.business_metrics(star.sales(
+    return profiling.business_metrics(star.summed(
         ["customer_id", "product_name"], ["total_amount", "discount_percent"]))
 
 
@@ -119,7 +119,7 @@ def business_metrics(star: Star):
 SELECT product_category, {total('total_amount')} AS revenue
 FROM sales WHERE product_category IS NOT NULL GROUP BY 1"""))
 def category_revenue(star: Star):
-    return profiling.category_revenue(star.sales(["product_category"], ["total_amount"]))
+    return profiling.category_revenue(star.summed(["product_category"], ["total_amount"]))
 
 
 @query("channel_share", on_sales(f"""
@@ -127,7 +127,7 @@ SELECT sales_channel, COUNT(*) AS transactions,
        {rounded(quotient('COUNT(*) * 100', 'SUM(COUNT(*)) OVER ()'))} AS share
 FROM sales WHERE sales_channel IS NOT NULL GROUP BY 1"""))
 def channel_share(star: Star):
-    return profiling.channel_share(star.sales(["sales_channel"], partial=True))
+    return profiling.channel_share(star.summed(["sales_channel"]))
 
 
 @query("order_value_histogram", on_sales(f"""
@@ -154,14 +154,14 @@ def order_value_histogram(star: Star):
 SELECT region, {total('total_amount')} AS revenue
 FROM sales WHERE region IS NOT NULL GROUP BY 1"""))
 def region_revenue(star: Star):
-    return profiling.region_revenue(star.sales(["region"], ["total_amount"]))
+    return profiling.region_revenue(star.summed(["region"], ["total_amount"]))
 
 
 @query("daily_revenue", on_sales(f"""
 SELECT CAST(transaction_date AS DATE) AS sale_date, {total('total_amount')} AS revenue
 FROM sales WHERE transaction_date IS NOT NULL GROUP BY 1"""))
 def daily_revenue(star: Star):
-    return sales.daily_revenue(star.sales(["transaction_date"], ["total_amount"]))
+    return sales.daily_revenue(star.summed(["transaction_date"], ["total_amount"]))
 
 
 BEHAVIOUR = f"""
@@ -180,7 +180,7 @@ behaviour AS (
 
 def _behaviour(star: Star):
     return customers.customer_behaviour(
-        star.sales(["customer_id", "transaction_date"], ["total_amount"]))
+        star.summed(["customer_id", "transaction_date"], ["total_amount"]))
 
 
 @query("customer_behaviour", on_sales(f"""

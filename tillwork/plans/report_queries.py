@@ -23,7 +23,7 @@ SELECT {MONTH} AS month, {total('total_amount')} AS monthly_revenue,
        COUNT(*) AS transaction_count, {average('total_amount')} AS avg_order_value
 FROM sales GROUP BY {MONTH}"""))
 def monthly_revenue(star: Star):
-    return sales.monthly_revenue(star.sales(["transaction_date"], ["total_amount"]))
+    return sales.monthly_revenue(star.summed(["transaction_date"], ["total_amount"]))
 
 
 @query("top_products", on_sales(f"""
@@ -32,7 +32,7 @@ SELECT product_name, product_category, {total('total_amount')} AS total_revenue,
 FROM sales GROUP BY product_name, product_category
 ORDER BY SUM(total_amount) DESC, product_name, product_category LIMIT 20"""))
 def top_products(star: Star):
-    return sales.top_products(star.sales(
+    return sales.top_products(star.summed(
         ["product_name", "product_category"], ["total_amount", "quantity", "unit_price"]))
 
 
@@ -43,7 +43,7 @@ SELECT sales_channel, {total('total_amount')} AS revenue, COUNT(*) AS transactio
          AS revenue_percentage
 FROM sales GROUP BY sales_channel"""))
 def channel_performance(star: Star):
-    return sales.channel_performance(star.sales(["sales_channel"], ["total_amount"]))
+    return sales.channel_performance(star.summed(["sales_channel"], ["total_amount"]))
 
 
 @query("customer_ltv_segments", on_sales(f"""
@@ -60,7 +60,7 @@ per_customer AS (
 )"""))
 def customer_ltv_segments(star: Star):
     return customers.customer_ltv_segments(
-        star.sales(["customer_id", "transaction_date"], ["total_amount"]), SPEND_TIERS)
+        star.summed(["customer_id", "transaction_date"], ["total_amount"]), SPEND_TIERS)
 
 
 RFM_CTES = (f"""
@@ -90,7 +90,7 @@ SELECT {SEGMENT} AS customer_segment,
 FROM scored GROUP BY 1""", *RFM_CTES))
 def rfm_segments(star: Star):
     return customers.rfm_segments(
-        star.sales(["customer_id", "transaction_date"], ["total_amount"]),
+        star.summed(["customer_id", "transaction_date"], ["total_amount"]),
         F.lit(AS_OF).cast("date"))
 
 
@@ -112,7 +112,7 @@ growth AS (
 )"""))
 def category_growth(star: Star):
     return products.category_growth(
-        star.sales(["product_category", "transaction_date"], ["total_amount"]))
+        star.summed(["product_category", "transaction_date"], ["total_amount"]))
 
 
 @query("inventory_turnover", on_sales(f"""
@@ -122,7 +122,7 @@ SELECT product_category, product_name, CAST(SUM(quantity) AS BIGINT) AS total_un
        {rounded(quotient('SUM(total_amount)', 'SUM(quantity)'))} AS avg_selling_price
 FROM sales GROUP BY product_category, product_name HAVING COUNT(DISTINCT {MONTH}) >= 3"""))
 def inventory_turnover(star: Star):
-    return products.inventory_turnover(star.sales(
+    return products.inventory_turnover(star.summed(
         ["product_category", "product_name", "transaction_date"], ["quantity", "total_amount"]))
 
 
@@ -133,7 +133,7 @@ SELECT CAST(EXTRACT(DOW FROM transaction_date) AS BIGINT) AS day_of_week,
        {average('total_amount')} AS avg_order_value
 FROM sales GROUP BY 1, 2"""))
 def day_of_week_sales(star: Star):
-    return sales.day_of_week_sales(star.sales(["transaction_date"], ["total_amount"]))
+    return sales.day_of_week_sales(star.summed(["transaction_date"], ["total_amount"]))
 
 
 @query("hourly_sales", on_events(f"""
@@ -153,7 +153,7 @@ SELECT region, {total('total_amount')} AS total_revenue, COUNT(*) AS total_trans
          AS revenue_per_customer
 FROM sales GROUP BY region"""))
 def regional_performance(star: Star):
-    return regions.regional_performance(star.sales(["region", "customer_id"], ["total_amount"]))
+    return regions.regional_performance(star.summed(["region", "customer_id"], ["total_amount"]))
 
 
 @query("regional_category_rank", on_sales(f"""
@@ -168,7 +168,7 @@ by_category AS (
 )"""))
 def regional_category_rank(star: Star):
     return regions.regional_category_rank(
-        star.sales(["region", "product_category"], ["total_amount"]))
+        star.summed(["region", "product_category"], ["total_amount"]))
 
 
 _LOW, _MEDIUM = DISCOUNT_BOUNDS
@@ -187,7 +187,7 @@ SELECT {DISCOUNT_TIER} AS discount_tier,
 FROM sales GROUP BY 1"""))
 def discount_tiers(star: Star):
     return products.discount_tiers(
-        star.sales(["discount_percent"], ["total_amount", "quantity"]), DISCOUNT_BOUNDS)
+        star.sales(["discount_percent", "total_amount", "quantity"]), DISCOUNT_BOUNDS)
 
 
 @query("price_tiers", on_sales(f"""
@@ -199,4 +199,4 @@ SELECT product_category,
 FROM sales GROUP BY 1, 2"""))
 def price_tiers(star: Star):
     return products.price_tiers(
-        star.sales(["product_category", "unit_price"], ["quantity", "total_amount"]), PRICE_TIERS)
+        star.sales(["product_category", "unit_price", "quantity", "total_amount"]), PRICE_TIERS)

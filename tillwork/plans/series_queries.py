@@ -39,7 +39,7 @@ W = "(PARTITION BY series_id ORDER BY t)"
 
 def by_region(star: Star, fill: bool = True):
     return series.series_from_sales(
-        star.sales(["region", "transaction_date"], ["total_amount"]), "region", fill=fill)
+        star.summed(["region", "transaction_date"], ["total_amount"]), "region", fill=fill)
 
 
 @revenue_query("prepare_series", on_sales(f"SELECT series_id, t, {rounded('y')} AS y FROM daily", DAILY))

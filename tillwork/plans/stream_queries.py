@@ -8,22 +8,19 @@ from tillwork.plans.oracle import rounded
 from tillwork.plans.registry import query
 from tillwork.sources.star import Star
 from tillwork.streaming import ingest, kpis
-from tillwork.streaming.events import drained, read_events, with_event_time
+from tillwork.streaming.events import drained, read_events, snapshot, with_event_time
 
 WATERMARK = "1 hour"
 
-# Days that the watermark, the last event less an hour, has passed.
-CLOSED_DAYS = f"""
-closed AS (
+DAYS = """
+days AS (
   SELECT CAST(ts AS DATE) AS day,
          COALESCE(SUM(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(18,4)) END), 0)
            AS revenue,
          COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases,
          COUNT(*) FILTER (WHERE event_type = 'view') AS views,
          COUNT(*) FILTER (WHERE event_type = 'error') AS errors
-  FROM events
-  WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL {WATERMARK} FROM events)
-  GROUP BY 1
+  FROM events GROUP BY 1
 )"""
 
 
@@ -44,29 +41,29 @@ def validated_ingest(star: Star):
         rejected.select(*columns, F.array_join("broken_rules", ",").alias("broken_rules")))
 
 
-@query("stream_kpis", f"""WITH {CLOSED_DAYS}
-SELECT day, {rounded('revenue')} AS revenue, purchases, views, errors FROM closed""")
+@query("stream_kpis", f"""WITH {DAYS}
+SELECT day, {rounded('revenue')} AS revenue, purchases, views, errors FROM days""")
 def stream_kpis(star: Star):
-    return drained(kpis.daily_kpis(read_events(star.spark, star.root), WATERMARK), "kpis")
+    return snapshot(kpis.daily_kpis(read_events(star.spark, star.root), WATERMARK), "kpis")
 
 
 _LONG = "\n  UNION ALL ".join(
-    f"SELECT day, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM closed" for m in kpis.METRICS)
+    f"SELECT day, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM days"
+    for m in ("revenue", "purchases", "views", "errors"))
 
 
-@query("kpi_alerts", f"""WITH {CLOSED_DAYS}, long AS ({_LONG})
+@query("kpi_alerts", f"""WITH {DAYS}, long AS ({_LONG})
 SELECT day, metric, {rounded('value')} AS value, {rounded('z_score')} AS z_score,
        CASE WHEN z_score > 0 THEN 'high' ELSE 'low' END AS direction
 FROM (
-  SELECT day, metric, value, (value - mean) / NULLIF(std, 0) AS z_score
-  FROM long JOIN (SELECT metric, AVG(value) AS mean, STDDEV_SAMP(value) AS std
-                  FROM (SELECT * FROM long) AS history GROUP BY 1) AS expected USING (metric)
+  SELECT day, metric, value, (value - AVG(value) OVER before) / NULLIF(STDDEV_SAMP(value) OVER before, 0)
+           AS z_score
+  FROM long
+  WINDOW before AS (PARTITION BY metric ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ) AS scored WHERE abs(z_score) >= 1.5""")
 def kpi_alerts(star: Star):
-    # The days so far are the history the same days are held against.
-    history = drained(kpis.daily_kpis(read_events(star.spark, star.root), WATERMARK), "history")
-    live = kpis.daily_kpis(read_events(star.spark, star.root), WATERMARK)
-    return drained(kpis.kpi_alerts(live, kpis.baseline(history), 1.5), "alerts")
+    days = snapshot(kpis.daily_kpis(read_events(star.spark, star.root), WATERMARK), "days")
+    return kpis.alerts_against_earlier_days(days, 1.5)
 
 
 @query("batch_kpis", f"""

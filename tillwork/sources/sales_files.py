@@ -33,7 +33,7 @@ def read_sales(
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
     df = reader.load(path)
     return df.withColumnsRenamed(renames) if renames else df
 
@@ -65,5 +65,5 @@ def write_sales(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write rows as CSV part files, each with a header."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """Write rows as CSV part files, each with a header; quotes in values are doubled."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)

@@ -13,9 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from tillwork.functions.measures import ROW_COUNT, value_rows
@@ -90,77 +89,66 @@ SALES_COLUMNS = (
 _EXPRESSIONS = {**LINE_COLUMNS, **ORDER_COLUMNS, **CUSTOMER_COLUMNS, **PART_COLUMNS}
 
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for ``df``; None where the session gives none."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
 @dataclass(frozen=True)
 class Star:
     """The star-schema tables in one folder, one parquet table each."""
 
     spark: SparkSession
     root: str
-    # Sum line items per order (or part) before joining: True, False, or None
-    # to do so whenever the joined table is too large to broadcast.
-    presum: bool | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{self.root}/{name}.parquet")
 
-    @cached_property
-    def _broadcast_limit(self) -> int:
-        value = self.spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-        if value.startswith("-"):  # broadcasts are off
-            return -1
-        return int(self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value))
-
-    def _is_large(self, name: str) -> bool:
-        if self.presum is not None:
-            return self.presum
-        size = planned_bytes(self.table(name))
-        return size is None or size > self._broadcast_limit
-
-    def sales(
-        self,
-        keys: Iterable[str] | None = None,
-        sums: Sequence[str] = (),
-        partial: bool | None = None,
-    ) -> DataFrame:
-        """Sales with the columns ``keys`` and ``sums`` (all columns by default).
+    def sales(self, columns: Iterable[str] | None = None) -> DataFrame:
+        """One row per sale, with ``columns`` (all by default)."""
+        columns = list(SALES_COLUMNS if columns is None else dict.fromkeys(columns))
+        return self._joined(columns).select(*[self._column(name) for name in columns])
+
+    def summed(self, keys: Iterable[str], sums: Sequence[str] = ()) -> DataFrame:
+        """Sales added up by ``keys`` or finer, at every size of the tables.
 
-        ``sums`` names columns the caller only adds up, counts or averages;
-        with ``partial``, the default where there are any, a row may stand for
-        several sales, as its ``row_count`` says.
+        ``sums`` names columns to add up; each comes with the number of its values
+        (``<name>_rows``), and ``row_count`` is the number of sales in a row.
 
-        When the other columns come from one dimension chain and its table is
-        too large to broadcast, line items are first summed per foreign key:
-        map tasks then combine rows before the shuffle, the join handles one
-        row per key however many sales a key has, and both share one shuffle.
+        Line items are summed before they are joined: by order or part where the
+        keys come from that chain, so map tasks combine rows, the join handles one
+        row per key however many sales a key has, and both share one shuffle. With
+        keys of both chains, sales are summed again between the two joins, by the
+        order's columns and the part.
         """
-        keys = list(SALES_COLUMNS if keys is None else dict.fromkeys(keys))
+        keys = list(dict.fromkeys(keys))
         sums = [name for name in dict.fromkeys(sums) if name not in keys]
         needs_part = any(name in PART_COLUMNS for name in keys)
         needs_customer = any(name in CUSTOMER_COLUMNS for name in keys)
         needs_order = needs_customer or any(name in ORDER_COLUMNS for name in keys)
-        line_keys = [name for name in keys if name in LINE_COLUMNS]
-
-        partial = bool(sums) if partial is None else partial
-        one_chain = needs_order != needs_part and not line_keys
-        if partial and one_chain and self._is_large("orders" if needs_order else "part"):
+        added = [*sums, *[value_rows(name) for name in sums], ROW_COUNT]
+        if needs_order != needs_part and not any(name in LINE_COLUMNS for name in keys):
             facts = self._partial_sums(keys, sums, needs_order, needs_customer)
-            names = [*sums, *[value_rows(name) for name in sums], ROW_COUNT]
-            return facts.select(*[self._column(name) for name in keys], *names)
-
+            return facts.select(*[self._column(name) for name in keys], *added)
+
+        fact_keys = [name for name in keys if name not in PART_COLUMNS]
+        facts = self._with_order(self.table("lineitem"), needs_customer) if needs_order else self.table("lineitem")
+        rows = facts.select(
+            *[self._column(name) for name in [*fact_keys, *sums]], *(["l_partkey"] if needs_part else []))
+        grouped = self._added_up(rows.groupBy(*fact_keys, *(["l_partkey"] if needs_part else [])), sums)
+        if not needs_part:
+            return grouped.select(*keys, *added)
+        parts = [self._column(name) for name in keys if name in PART_COLUMNS]
+        return self._with_part(grouped).select(*fact_keys, *parts, *added).select(*keys, *added)
+
+    def _joined(self, columns: Sequence[str]) -> DataFrame:
         facts = self.table("lineitem")
-        if needs_order:
+        needs_customer = any(name in CUSTOMER_COLUMNS for name in columns)
+        if needs_customer or any(name in ORDER_COLUMNS for name in columns):
             facts = self._with_order(facts, needs_customer)
-        if needs_part:
-            facts = self._with_part(facts)
-        return facts.select(*[self._column(name) for name in [*keys, *sums]])
+        return self._with_part(facts) if any(name in PART_COLUMNS for name in columns) else facts
+
+    @staticmethod
+    def _added_up(groups: GroupedData, sums: Sequence[str]) -> DataFrame:
+        return groups.agg(
+            *[F.sum(name).alias(name) for name in sums],
+            *[F.count(name).alias(value_rows(name)) for name in sums],
+            F.count(F.lit(1)).alias(ROW_COUNT))
 
     def event_sales(self) -> DataFrame:
         """Purchases from the event table, the only sales with a time of day."""
@@ -185,11 +173,7 @@ class Star:
         """Line items summed per order or part, with the columns of that dimension chain."""
         link = "l_orderkey" if order else "l_partkey"
         lines = self.table("lineitem").select(link, *[self._column(name) for name in sums])
-        facts = lines.groupBy(link).agg(
-            *[F.sum(name).alias(name) for name in sums],
-            *[F.count(name).alias(value_rows(name)) for name in sums],
-            F.count(F.lit(1)).alias(ROW_COUNT),
-        )
+        facts = self._added_up(lines.groupBy(link), sums)
         if not order:
             return self._with_part(facts)
         facts = self._with_order(facts, customer=False)
@@ -207,11 +191,8 @@ class Star:
     def _with_order(self, facts: DataFrame, customer: bool) -> DataFrame:
         orders = self.table("orders")
         on_order = F.expr("l_orderkey = o_orderkey")
-        if customer and self._is_large("orders"):
-            # Orders are fewer than line items, so look customers up there.
-            return facts.join(self._with_customer(orders), on_order, "left")
-        joined = facts.join(orders, on_order, "left")
-        return self._with_customer(joined) if customer else joined
+        # Orders are fewer than line items, so customers are looked up there.
+        return facts.join(self._with_customer(orders) if customer else orders, on_order, "left")
 
     def _with_customer(self, facts: DataFrame) -> DataFrame:
         return (

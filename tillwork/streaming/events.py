@@ -12,11 +12,16 @@ from tillwork.sources.star import TABLE_SCHEMAS
 EVENT_TIME = "event_time"
 
 
-def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
-    """A stream of the event files in ``folder`` whose names match ``pattern``."""
+def read_events(
+    spark: SparkSession, folder: str, pattern: str = "events.parquet*", files_per_trigger: int = 1000,
+) -> DataFrame:
+    """A stream of the event table, be it one file or a folder of part files.
+
+    A backlog is taken in batches of at most ``files_per_trigger`` files.
+    """
     stream = (
         spark.readStream.schema(TABLE_SCHEMAS["events"])
-        .option("pathGlobFilter", pattern).parquet(folder)
+        .option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{pattern}")
     )
     return with_event_time(stream)
 
@@ -38,6 +43,30 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
     )
 
 
+def snapshot(stream: DataFrame, label: str) -> DataFrame:
+    """The whole result of an aggregation after all that has arrived, open groups included.
+
+    Each batch replaces the table before it, so only for results of bounded size,
+    such as a row per day.
+    """
+    spark = stream.sparkSession
+    path = new_path(spark, label)
+
+    def replace(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch-{batch}")
+        last[0] = f"{path}/batch-{batch}"
+
+    last = [f"{path}/none"]
+    (
+        stream.writeStream.outputMode("complete").foreachBatch(replace)
+        .option("checkpointLocation", new_path(spark, f"{label}-checkpoint"))
+        .trigger(availableNow=True).start().awaitTermination()
+    )
+    if last[0].endswith("none"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(last[0])
+
+
 def drained(stream: DataFrame, label: str) -> DataFrame:
     """``drain`` into a fresh intermediate table and return the table."""
     spark = stream.sparkSession

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwork.functions.dates import utc_day
@@ -15,8 +15,10 @@ METRICS = ("revenue", "purchases", "views", "errors")
 def daily_kpis(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Revenue and counts per UTC day.
 
-    On a stream a day is emitted once, when the watermark passes its end; events
-    later than the watermark are dropped. State is one row per open day.
+    In append mode a day is emitted once, when the watermark passes its end; events
+    later than the watermark are dropped and state is one row per open day. In
+    complete mode (``events.snapshot``) all days are there, open ones too, and late
+    events are counted; state is one row per day.
     """
     purchase = F.col("event_type") == "purchase"
     return (
@@ -63,6 +65,22 @@ def kpi_alerts(kpis: DataFrame, expected: DataFrame, z: float = 2.0) -> DataFram
     )
 
 
+def alerts_against_earlier_days(kpis: DataFrame, z: float = 2.0) -> DataFrame:
+    """As ``kpi_alerts``, each day held against the days before it and no others."""
+    # One row per day and metric.
+    earlier = Window.partitionBy("metric").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    scored = by_metric(kpis).select(
+        "day", "metric", "value", F.avg("value").over(earlier).alias("mean"),
+        F.stddev_samp("value").over(earlier).alias("std"))
+    return (
+        scored.withColumn("z_score", ratio(F.col("value") - F.col("mean"), F.col("std")))
+        .where(F.abs("z_score") >= z)
+        .select(
+            "day", "metric", "value", "z_score",
+            F.when(F.col("z_score") > 0, "high").otherwise("low").alias("direction"))
+    )
+
+
 def threshold_alerts(kpis: DataFrame, metric: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Days on which one metric is below ``low`` or above ``high``."""
     value = F.col(metric).cast("double")
