@@ -211,7 +211,7 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return materialise(chosen.mapInArrow(sets, "id long, shingles binary"), "shingle-sets")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +225,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     pairs = materialise(pairs.distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = _shingle_sets(docs, materialise(ids, "pair-ids"), words)
     a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     tested = pairs.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b")
     return materialise(tested.mapInArrow(test, "a long, b long"), "links")
@@ -326,12 +328,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         for k in (1, 2))]
     values = materialise(bands.groupBy("band").agg(F.count("*").alias("n"), *leaders).where("n > 1"), "leaders")
     shared = bands.join(values, "band")
-    wanted = materialise(shared.select(F.col("id").alias("doc_id")).distinct(), "candidates")
-    sets = _shingle_sets(docs, wanted, words)
     near = shared.select(
         "id", F.explode(F.array("smallest", "by_hash_1", "by_hash_2")).alias("leader")).where("id <> leader").select(
         F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    links = _confirmed(_estimated(near, classes, percent), sets, percent)
+    links = _confirmed(_estimated(near, classes, percent), docs, words, percent)
     known = components(links)
 
     labelled = bands.join(known, "id", "left").select(
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
     ).where("low < high").select("band", "n")
     rest = labelled.join(open_, "band").join(classes.select("id", "n_shingles", "coarse", "fine"), "id")
-    more = _confirmed(_across(rest, percent), sets, percent)
+    more = _confirmed(_across(rest, percent), docs, words, percent)
 
     found = components(links.union(more).union(alike))
     labels = rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
