@@ -133,18 +133,37 @@ class Languages:
         return self.names[best], float(np.clip(cosine[best], 0, 1))
 
 
+class _Weights:
+    """Sums by three-gram; what was added is merged now and then."""
+
+    def __init__(self) -> None:
+        self._parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self._waiting = 0
+
+    def add(self, grams: np.ndarray, values: np.ndarray) -> None:
+        self._parts.append((grams, values))
+        self._waiting += len(grams)
+        if self._waiting > 500_000:
+            self._parts = [self.total()]
+            self._waiting = 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        grams, place = np.unique(np.concatenate([g for g, _ in self._parts]), return_inverse=True)
+        return grams, np.bincount(place, np.concatenate([v for _, v in self._parts]), len(grams))
+
+
 def learn_languages(docs: DataFrame, dimensions: int = DIMENSIONS) -> Languages:
     """Language vectors from the rows that are not held out and have a language."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = Profiler(dimensions)
-        weights: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(_SYMBOLS ** 3, np.float32))
+        weights: dict[str, _Weights] = defaultdict(_Weights)
         for batch in slices(batches, "text"):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 if found := profiler.counts(text.decode("utf-8", "replace")):
                     grams, counts = found
-                    weights[lang][grams] += counts / np.sqrt((counts.astype(float) ** 2).sum())
-                if len(weights) > 8:
+                    weights[lang].add(grams, counts / np.sqrt((counts.astype(float) ** 2).sum()))
+                if len(weights) > 64:
                     yield _summed(profiler, weights)
                     weights.clear()
         yield _summed(profiler, weights)
@@ -161,11 +180,10 @@ def learn_languages(docs: DataFrame, dimensions: int = DIMENSIONS) -> Languages:
     return Languages(names, matrix.reshape(len(names), dimensions))
 
 
-def _summed(profiler: Profiler, weights: dict[str, np.ndarray]) -> pa.RecordBatch:
+def _summed(profiler: Profiler, weights: dict[str, _Weights]) -> pa.RecordBatch:
     langs, places, values = [], [], []
     for lang, weight in weights.items():
-        grams = np.flatnonzero(weight)
-        total = profiler.bundle(grams, weight[grams])
+        total = profiler.bundle(*weight.total())
         langs += [lang] * len(total)
         places.append(np.arange(len(total), dtype=np.int32))
         values.append(np.rint(total.astype(float) * _SCALE).astype(np.int64))

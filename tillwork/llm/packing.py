@@ -51,7 +51,7 @@ def cut_documents(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = RunEncoder(vocabulary_path(vocabulary))
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2_000_000):
             ids, ends = encoder.encode(batch.column("text").to_pylist(), end)
             sizes = np.diff(ends, prepend=0)
             pieces = -(-sizes // capacity)

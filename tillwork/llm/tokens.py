@@ -2,7 +2,8 @@
 
 The tokenizer drops white space and never merges across it, so a text's ids are
 those of its blank-separated runs in order. Runs repeat; each distinct run is
-encoded once and kept in a table that is emptied when it grows past a bound. It
+encoded once and kept in a table; when that grows past a bound, runs met only once
+or twice are dropped from it. It
 lower-cases too, so runs that differ only in A-Z share an entry; texts that may
 hold a special token's name, which is matched in its own case, stay as they are.
 """
@@ -15,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_RUNS = 1_000_000
+CACHE_RUNS = 400_000
 _TOGETHER = 64
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -46,12 +47,25 @@ class RunEncoder:
         self._ids = np.zeros(1 << 16, np.uint32)
         self._starts = np.zeros(1 << 16, np.int64)
         self._lengths = np.zeros(1 << 16, np.int64)
+        self._uses = np.zeros(1 << 16, np.int64)
         self._runs = self._used = 0
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in encoded]
 
+    def _prune(self) -> None:
+        """Keep the runs met most, half the bound at most."""
+        uses = self._uses[:self._runs]
+        least = max(3, int(np.sort(uses)[-min(self._cache_runs // 2, len(uses))]) + 1)
+        kept = np.flatnonzero(uses >= least)
+        names = list(self._number)
+        runs, counts = [names[i] for i in kept.tolist()], uses[kept]
+        ids, lengths = self._ids_of(kept)
+        self._reset()
+        self._add(runs, ids, lengths)
+        self._uses[:len(runs)] = counts // 2
+
     def _learn(self, runs: list[bytes]) -> None:
         # A run of letters a-z is one word to the tokenizer: many are encoded as one text
         # and told apart by the ids that end a word. Marks behind one are a word of their own.
@@ -83,6 +97,7 @@ class RunEncoder:
         self._ids = _fit(self._ids, self._used, len(ids))
         self._starts = _fit(self._starts, self._runs, len(runs))
         self._lengths = _fit(self._lengths, self._runs, len(runs))
+        self._uses = _fit(self._uses, self._runs, len(runs))
         self._ids[self._used:self._used + len(ids)] = ids
         self._starts[self._runs:self._runs + len(runs)] = self._used + np.cumsum(lengths) - lengths
         self._lengths[self._runs:self._runs + len(runs)] = lengths
@@ -102,7 +117,7 @@ class RunEncoder:
         ``end`` is put after each text; with None nothing is.
         """
         if self._runs > self._cache_runs:
-            self._reset()
+            self._prune()
         split = [text.split() if b"<|" in text else text.lower().split() for text in texts]
         flat = list(chain.from_iterable(split))
         new = [run for run in set(flat) if run not in self._number]
@@ -110,6 +125,7 @@ class RunEncoder:
             self._learn(new)
         counts = np.fromiter(map(len, split), np.int64, len(split))
         runs = np.fromiter(map(self._number.__getitem__, flat), np.int64, len(flat))
+        self._uses[:self._runs] += np.bincount(runs, minlength=self._runs)
         ids, lengths = self._ids_of(runs)
         upto = np.r_[0, np.cumsum(lengths)][np.cumsum(counts)]
         if end is None:

@@ -68,7 +68,7 @@ def _pieces(docs: DataFrame, size: int, vocabulary: str, id_type: str) -> DataFr
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = RunEncoder(vocabulary_path(vocabulary))
         placed = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2_000_000):
             ids, ends = encoder.encode(batch.column("text").to_pylist(), 0)
             sizes = np.diff(ends, prepend=0)
             pieces = -(-sizes // size)
