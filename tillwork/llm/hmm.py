@@ -36,6 +36,8 @@ STATES = 8
 PASSES = 4
 FOLDS, HELD_OUT = 5, 1
 SYMBOLS = 60_000
+# Rarer words say too little of their state to have an emission of their own.
+LEAST_SEEN = 8
 SENT = 250_000
 LONGEST_SENT = 64
 WINDOW = 64
@@ -44,7 +46,7 @@ _STRETCH = 4096
 _HELD_WORDS = 400_000
 _END, _RARE = 0, 1
 _SCALE = 1 << 16
-_PRIOR = 100.0
+_PRIOR, _SHARED = 100.0, 0.05
 # The end of a text in the count table; no word is empty.
 _END_WORD = b""
 
@@ -88,8 +90,9 @@ class Vocabulary:
     distinct: int
 
     @property
-    def symbols(self) -> int:
-        return 2 + min(len(self.words), SYMBOLS)
+    def named(self) -> int:
+        """Words with an emission of their own, the first ones."""
+        return min(SYMBOLS, int((self.counts >= LEAST_SEEN).sum()))
 
     @property
     def base_denominator(self) -> float:
@@ -97,16 +100,16 @@ class Vocabulary:
 
     @property
     def rare_total(self) -> int:
-        return self.total - self.ends - int(self.counts[:SYMBOLS].sum())
+        return self.total - self.ends - int(self.counts[:self.named].sum())
 
     @property
     def rare_denominator(self) -> float:
-        rare_words = self.distinct - (self.ends > 0) - min(len(self.words), SYMBOLS)
+        rare_words = self.distinct - (self.ends > 0) - self.named
         return self.rare_total + 0.5 * (rare_words + 1)
 
     def shares(self) -> np.ndarray:
         """Smoothed share of each symbol."""
-        counts = np.r_[self.ends, self.rare_total, self.counts[:SYMBOLS]] + 0.5
+        counts = np.r_[self.ends, self.rare_total, self.counts[:self.named]] + 0.5
         return counts / counts.sum()
 
 
@@ -132,7 +135,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         number = {word: place for place, word in enumerate(vocabulary.words)}
         base = np.log10((vocabulary.counts + 0.5) / vocabulary.base_denominator)
         rare = np.log10((vocabulary.counts + 0.5) / vocabulary.rare_denominator)
-        rare[:SYMBOLS] = 0
+        rare[:vocabulary.named] = 0
         end = float(np.log10((vocabulary.ends + 0.5) / vocabulary.base_denominator))
         keys = RowKeys()
         kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
@@ -142,7 +145,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 words = _words(text)
                 places = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
                 known = places[places >= 0]
-                symbols = np.where((places >= 0) & (places < SYMBOLS), places + 2, _RARE)
+                symbols = np.where((places >= 0) & (places < vocabulary.named), places + 2, _RARE)
                 others = Counter(words[i] for i in np.flatnonzero(places < 0).tolist())
                 rows.append((
                     len(words) + 1, len(known) + (vocabulary.ends > 0), float(base[known].sum()) + end,
@@ -169,7 +172,7 @@ class Model:
 
 def first_model(vocabulary: Vocabulary, states: int) -> Model:
     """Sticky states whose emissions differ by a hash of the word."""
-    names = [b"\0end", b"\0rare", *vocabulary.words[:SYMBOLS]]
+    names = [b"\0end", b"\0rare", *vocabulary.words[:vocabulary.named]]
     uniform = np.array([[xxhash.xxh3_64_intdigest(w, k) for k in range(states)] for w in names]) / 2.0 ** 64
     emit = vocabulary.shares()[:, None] * np.exp(2 * uniform)
     move = np.full((states, states), 0.1 / max(states - 1, 1))
@@ -235,7 +238,7 @@ def train(encoded: DataFrame, vocabulary: Vocabulary, states: int = STATES, pass
         counts[table.column("symbol").to_numpy()] = np.stack(
             [table.column(c).to_numpy() for c in columns], axis=1) / _SCALE
         emit, move, start = np.split(counts, [len(model.emit), len(model.emit) + states])
-        emit = emit + _PRIOR * shares[:, None]
+        emit = emit + (_PRIOR + _SHARED * emit.sum(0)) * shares[:, None]
         move, start = move + 1, start[0] + 1
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
     return model
