@@ -50,7 +50,7 @@ BAND = 4
 WORDS = 5
 PERCENT = 80
 _BLOCK = 256
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 200_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 

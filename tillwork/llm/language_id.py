@@ -41,7 +41,7 @@ LEAST_GRAMS = 200
 _SYMBOLS = 256
 _DIRECT = 0x80
 _SCALE = 1 << 20
-_CACHED = 40_000
+_CACHED = 20_000
 
 
 class Profiler:

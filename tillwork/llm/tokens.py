@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_RUNS = 700_000
+CACHE_RUNS = 450_000
 _TOGETHER = 64
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
