@@ -69,7 +69,7 @@ def task_number() -> int:
     return context.partitionId() if context else 0
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, budget: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``budget`` bytes in each, one row at least."""
     for batch in batches:
         sizes = np.diff(np.asarray(_offsets(batch.column(column)), dtype=np.int64))
