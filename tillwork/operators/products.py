@@ -115,15 +115,18 @@ def price_tiers(
 
 
 def reorder_points(
-    sales: DataFrame, lead_days: int = 7, service_level: float = 0.95, z: float | None = None
+    sales: DataFrame, lead_days: int = 7, service_level: float | None = None, z: float = 1.645
 ) -> DataFrame:
     """Per product: mean and deviation of daily demand, safety stock and reorder point.
 
+    ``z`` deviations are kept in stock (the default is the usual rounding for 95 %),
+    or as many as ``service_level`` asks for.
+
     Days without a sale count as zero demand, from the first to the last day of
     the whole table. They are not made as rows: sums and squares over the days
     with sales, and the number of days, are enough.
     """
-    z = NormalDist().inv_cdf(service_level) if z is None else z
+    z = z if service_level is None else NormalDist().inv_cdf(service_level)
     daily = (
         sales.where(F.col("transaction_date").isNotNull())
         .groupBy("product_category", "product_name", day_of(F.col("transaction_date")).alias("day"))
