@@ -7,6 +7,7 @@ import datetime
 import pytest
 
 from conftest import SMALL, day
+from tillwork.plans.stream_queries import ingested
 from tillwork.sources.scratch import new_path
 from tillwork.sources.star import TABLE_SCHEMAS, Star
 from tillwork.streaming import ingest, kpis
@@ -104,3 +105,21 @@ def test_alerts(spark):
     assert alert["z_score"] == pytest.approx((100 - 19) / 28.46, abs=0.01)
     low = kpis.threshold_alerts(days, "revenue", low=50.0).collect()
     assert len(low) == 9 and low[0]["direction"] == "low"
+
+
+def test_no_event_is_lost_in_a_backlog_of_many_batches(spark):
+    """Part files in shuffled time order, one in each batch, against one batch of all."""
+    path = new_path(spark, "backlog")
+    for i in (5, 1, 6, 2, 4, 3):
+        write_events(spark, f"{path}/events.parquet", (i, f"2024-01-0{i} 10:00:00", "purchase", 5.0),
+                     (10 + i, f"2024-01-0{i} 11:00:00", "view", 500.0), (20 + i, f"2024-01-0{i} 12:00:00", "view", 1.0))
+    # Repeated in another batch, days behind the latest event.
+    write_events(spark, f"{path}/events.parquet", (1, "2024-01-01 10:00:00", "purchase", 5.0))
+    for per_trigger in (1, 1000):
+        rows = ingested(read_events(spark, path, files_per_trigger=per_trigger)).collect()
+        assert sorted((r["event_id"], r["broken_rules"]) for r in rows) == [
+            (k + i, "value_in_range" if k == 10 else "") for k in (0, 10, 20) for i in range(1, 7)]
+        valid = drained(ingest.valid_events(read_events(spark, path, files_per_trigger=per_trigger)), "valid")
+        assert sorted(r["event_id"] for r in valid.collect()) == [k + i for k in (0, 10, 20) for i in range(1, 7)]
+        days = snapshot(kpis.daily_kpis(read_events(spark, path, files_per_trigger=per_trigger)), "days").collect()
+        assert sorted((r["purchases"], r["views"]) for r in days) == [(1, 2)] * 5 + [(2, 2)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.plans.oracle import rounded
@@ -33,9 +34,13 @@ SELECT event_id, event_type, user_id, {rounded('value')} AS value,
        CASE WHEN value <= 100 THEN '' ELSE 'value_in_range' END AS broken_rules
 FROM events""")
 def validated_ingest(star: Star):
-    events = read_events(star.spark, star.root)
+    return ingested(read_events(star.spark, star.root))
+
+
+def ingested(events: DataFrame) -> DataFrame:
+    """All accepted events, each id once, and all rejected ones, however the stream is cut into batches."""
     columns = ["event_id", "event_type", "user_id", "value"]
-    accepted = drained(ingest.valid_events(events, _rules(), WATERMARK), "valid")
+    accepted = ingest.once_each(drained(ingest.accepted_events(events, _rules()), "valid"))
     rejected = drained(ingest.rejected_events(events, _rules()), "rejected")
     return accepted.select(*columns, F.lit("").alias("broken_rules")).unionByName(
         rejected.select(*columns, F.array_join("broken_rules", ",").alias("broken_rules")))

@@ -31,18 +31,29 @@ def with_broken_rules(events: DataFrame, rules: dict[str, Column] | None = None)
     return events.withColumn("broken_rules", F.array_compact(F.array(*broken)))
 
 
+def accepted_events(events: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
+    """Events that meet every rule, repeats and late ones included; needs no state."""
+    return with_broken_rules(events, rules).where(F.size("broken_rules") == 0).drop("broken_rules")
+
+
+def once_each(accepted: DataFrame) -> DataFrame:
+    """One row for each ``event_id`` of a table, not a stream: the earliest, then the smallest."""
+    first = ["ts", *(c for c in accepted.columns if c not in ("event_id", "ts"))]
+    return accepted.groupBy("event_id").agg(F.min(F.struct(*first)).alias("event")).select(
+        *(F.col("event_id") if c == "event_id" else F.col("event")[c].alias(c) for c in accepted.columns))
+
+
 def valid_events(
     events: DataFrame, rules: dict[str, Column] | None = None, watermark: str = "1 hour"
 ) -> DataFrame:
-    """Events that meet every rule, each id once within the watermark.
+    """Events that meet every rule, each id once, in whatever order they come.
 
-    Only valid events reach the state, so it never holds a missing id or time.
+    Nothing is dropped as late: the watermark is set after the de-duplication, for
+    what follows. Only valid events reach the state, so it never holds a missing id,
+    but it holds every id seen. A backlog is better drained as ``accepted_events``
+    and read through ``once_each``, which keeps no state.
     """
-    return (
-        with_broken_rules(events, rules).where(F.size("broken_rules") == 0).drop("broken_rules")
-        .withWatermark(EVENT_TIME, watermark)
-        .dropDuplicatesWithinWatermark(["event_id"])
-    )
+    return accepted_events(events, rules).dropDuplicates(["event_id"]).withWatermark(EVENT_TIME, watermark)
 
 
 def rejected_events(events: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
