@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import math
 import zlib
@@ -182,6 +183,34 @@ def test_secrets_in_layers():
     assert all_spans("%25" * 50 + "%%%") == ([], [])
 
 
+def test_secrets_in_wrapped_and_url_safe_base64():
+    """The secret stands at the end of plain and packed payloads, and across lines."""
+    filler = " ".join(f"{i:x}~?>{i * i}" for i in range(300))
+    plain = filler + " password = hunter2hunter2"
+    for data in (plain.encode(), zlib.compress(plain.encode()), gzip.compress(plain.encode())):
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            for padded in (True, False):
+                code = encode(data).decode()
+                code = code if padded else code.rstrip("=")
+                assert encode is base64.b64encode or "-" in code or "_" in code
+                for width in (10 ** 6, 76, 64, 75):
+                    for newline in ("\n", "\r\n", "\n  "):
+                        block = newline.join(code[k:k + width] for k in range(0, len(code), width))
+                        for before, after in (("é -----BEGIN X-----\n", "\n-----END X-----"), ("blob:\n", "\nend of it"), ("x ", "")):
+                            text = before + block + after
+                            base, spans = all_spans(text)
+                            assert base == [] and [s[2] for s in spans] == [0]
+                            start, end, _ = spans[0]
+                            # Without padding, a word on the next line may be the last line of the code.
+                            assert len(before) <= start < end <= len(before) + len(block) + (4 if after[1:4] == "end" else 0)
+                            if data == plain.encode():
+                                assert "".join(text[start:end].split()).removesuffix("end") in code and end - start < 60
+    # A first line that starts within other text, and an alphabet that starts or ends with a mark of the other.
+    code = base64.b64encode(b"password = hunter2hunter2 and more words").decode()
+    for text in (f"key: {code[:21]}\n{code[21:]}", f"ab-{code}", f"ab/{code}-cd" if "/" not in code else code):
+        assert "[SECRET]" in without_secrets(text)
+
+
 def test_secret_base(docs, empty):
     rows = {r["doc_id"]: r for r in scan(docs).collect()}
     text = docs.where("doc_id = 12").first()["text"]

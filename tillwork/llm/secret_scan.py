@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,15 @@ _URL_RUN = re.compile(r"[A-Za-z0-9_.~:/?#\[\]@!$&'()*+,;=%-]+")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _VISIBLE_RUN = re.compile(r"[!-~]+")
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{4}){4,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=|[A-Za-z0-9+/]{2,3})?|(?:[A-Za-z0-9_-]{4}){4,}(?:[A-Za-z0-9_-]{2}==|[A-Za-z0-9_-]{3}=|[A-Za-z0-9_-]{2,3})?")
+# A base64 run in either alphabet, and lines of one that follow each other.
+_LEAST_CODE = 16
+_EITHER = re.compile(r"[A-Za-z0-9+/_-]{%d,}+" % _LEAST_CODE)
+_ALPHABETS = (r"[A-Za-z0-9+/]", r"[A-Za-z0-9_-]")
+_RUNS = tuple(re.compile(f"{c}{{{_LEAST_CODE},}}+") for c in _ALPHABETS)
+_LINES = tuple(re.compile(f"(?<!{c}){c}++(?:[ \\t]*+\\r?\\n[ \\t]*+{c}++)++") for c in _ALPHABETS)
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 MOST_UNPACKED = 64_000_000
 MARK = "[SECRET]"
@@ -70,24 +79,26 @@ class Layer:
         self.text, self.starts, self.ends = text, starts, ends
 
     def original(self, start: int, end: int) -> tuple[int, int]:
-        return self.starts[start], self.ends[end - 1]
+        return int(self.starts[start]), int(self.ends[end - 1])
 
 
-def _of_bytes(data: bytes, starts: list[int], ends: list[int]) -> Layer | None:
-    """The layer that UTF-8 bytes make, given the stretch of every byte."""
+def _is_text(data: bytes) -> bool:
     try:
-        text = data.decode()
+        return not _CONTROL.search(data.decode())
     except UnicodeDecodeError:
+        return False
+
+
+def _of_bytes(data: bytes, starts, ends) -> Layer | None:
+    """The layer that UTF-8 bytes make, given the stretch of every byte."""
+    if not _is_text(data):
         return None
-    if any(ord(c) < 32 and c not in "\t\n\r" for c in text):
-        return None
+    text = data.decode()
     if len(text) == len(data):
         return Layer(text, starts, ends)
-    first, at = [], 0
-    for character in text:
-        first.append(at)
-        at += len(character.encode())
-    return Layer(text, [starts[i] for i in first], [ends[i - 1] for i in [*first[1:], at]])
+    # All bytes but continuations begin a character.
+    first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    return Layer(text, starts[first], ends[np.append(first[1:], len(data)) - 1])
 
 
 def _percent_layers(layer: Layer) -> Iterator[Layer]:
@@ -102,7 +113,7 @@ def _percent_layers(layer: Layer) -> Iterator[Layer]:
             starts.append(layer.starts[at])
             ends.append(layer.ends[at + step - 1])
             at += step
-        if decoded := _of_bytes(bytes(data), starts, ends):
+        if decoded := _of_bytes(bytes(data), np.array(starts), np.array(ends)):
             yield decoded
 
 
@@ -128,7 +139,7 @@ def _escape_layers(layer: Layer) -> Iterator[Layer]:
                 starts.append(layer.starts[escape.start()])
                 ends.append(layer.ends[escape.end() - 1])
             at = escape.end()
-        yield Layer("".join(text), starts, ends)
+        yield Layer("".join(text), np.array(starts), np.array(ends))
 
 
 def _unpacked(data: bytes) -> bytes | None:
@@ -143,27 +154,93 @@ def _unpacked(data: bytes) -> bytes | None:
     return None
 
 
+def _wrapped(text: str) -> Iterator[list[list[tuple[int, int]]]]:
+    """Readings of each block of base64 lines, the likelier first; a reading is the places of its lines.
+
+    The lines of a block are equally long but for a shorter last one, and the first
+    may start or the last end within other text. What stands there may also be no
+    part of the block, so it is read without them too.
+    """
+    for lines in _LINES:
+        for match in lines.finditer(text):
+            places = [m.span() for m in _LINE.finditer(text, *match.span())]
+            lengths = [end - start for start, end in places]
+            at = 0
+            while at < len(places):
+                upto = at + 1
+                while upto < len(places) and lengths[upto] == lengths[at]:
+                    upto += 1
+                tail = upto < len(places) and lengths[upto] < lengths[at]
+                # '-----END' closes a block, but in the URL alphabet it could be code.
+                closed = tail and text.startswith("-----", places[upto][0])
+                readings = [
+                    places[start:end] for start in ([0, 1] if at == 1 else [at])
+                    for end in (([upto, upto + 1] if closed else [upto + 1, upto]) if tail else [upto])]
+                readings = [
+                    r for r in readings if (len(r) > 1 or closed) and sum(end - start for start, end in r) >= _LEAST_CODE]
+                if readings:
+                    yield readings
+                at = upto
+
+
+def _runs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Places of base64 on one line, in one alphabet or the other, the longer before those inside them."""
+    for run in _EITHER.finditer(text):
+        found = {m.span() for runs in _RUNS for m in runs.finditer(text, *run.span())}
+        yield sorted(found, key=lambda span: span[0] - span[1])
+
+
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
-    for run in _BASE64.finditer(layer.text):
-        code = run.group().rstrip("=")
-        if len(code) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(code + "=" * (-len(code) % 4), b"-_" if "-" in code or "_" in code else None, True)
-        except (binascii.Error, ValueError):
-            continue
-        packed = _unpacked(data)
-        if packed is not None:
-            # Bytes of a packed layer stand for the whole stretch.
-            whole = layer.original(run.start(), run.end())
-            if packed and (decoded := _of_bytes(packed, _Same(whole[0], len(packed)), _Same(whole[1], len(packed)))):
-                yield decoded
-            continue
-        base = run.start()
-        first = [base + i // 3 * 4 + i % 3 for i in range(len(data))]
-        last = [min(place + 1, run.end() - 1) for place in first]
-        if decoded := _of_bytes(data, [layer.starts[i] for i in first], [layer.ends[i] for i in last]):
-            yield decoded
+    text = layer.text
+    # Places that a reading has explained are not read again in part.
+    taken: bytearray | None = None
+
+    def decoded(places: list[tuple[int, int]]) -> Layer | None:
+        nonlocal taken
+        found = _of_base64(layer, places)
+        if found is not None:
+            taken = bytearray(len(text)) if taken is None else taken
+            for start, end in places:
+                taken[start:end] = b"\1" * (end - start)
+        return found
+
+    if "\n" in text:
+        # Longer blocks first, so that their parts in the other alphabet are not read again.
+        for readings in sorted(_wrapped(text), key=lambda r: r[0][0][0] - r[0][-1][1]):
+            for places in readings:
+                if taken is not None and sum(taken.count(0, *place) for place in places) < _LEAST_CODE:
+                    break
+                if found := decoded(places):
+                    yield found
+                    break
+    for spans in _runs(text):
+        for start, end in spans:
+            if (taken is None or taken.find(0, start, end) >= 0) and (found := decoded([(start, end)])):
+                yield found
+
+
+def _of_base64(layer: Layer, places: list[tuple[int, int]]) -> Layer | None:
+    """The layer that the base64 in these places of ``layer`` makes, its lines joined."""
+    code = "".join(layer.text[start:end] for start, end in places)
+    code = code[:-1] if len(code) % 4 == 1 else code
+    pad = -len(code) % 4
+    try:
+        data = base64.b64decode(code + "=" * pad, b"-_" if "-" in code or "_" in code else None, True)
+    except (binascii.Error, ValueError):
+        return None
+    packed = _unpacked(data)
+    if packed is not None:
+        # Bytes of a packed layer stand for the whole stretch, its padding included.
+        end = places[-1][1]
+        end += pad if pad and layer.text.startswith("=" * pad, end) else 0
+        whole = layer.original(places[0][0], end)
+        return _of_bytes(packed, _Same(whole[0], len(packed)), _Same(whole[1], len(packed))) if packed else None
+    if not _is_text(data):
+        return None
+    at = np.concatenate([np.arange(start, end) for start, end in places])
+    byte = np.arange(len(data))
+    first = byte // 3 * 4 + byte % 3
+    return _of_bytes(data, layer.starts[at[first]], layer.ends[at[first + 1]])
 
 
 class _Same:
@@ -175,8 +252,8 @@ class _Same:
     def __len__(self) -> int:
         return self._size
 
-    def __getitem__(self, place: int) -> int:
-        return self._value
+    def __getitem__(self, place):
+        return self._value if np.ndim(place) == 0 else np.full(len(place), self._value)
 
 
 class _Steps:
@@ -185,7 +262,7 @@ class _Steps:
     def __init__(self, add: int) -> None:
         self._add = add
 
-    def __getitem__(self, place: int) -> int:
+    def __getitem__(self, place):
         return place + self._add
 
 
@@ -197,7 +274,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     work = [Layer(text, _Steps(0), _Steps(1))]
     while work:
         layer = work.pop()
-        key = hashlib.blake2b(f"{layer.starts[0]}:{layer.text}".encode("utf-8", "replace"), digest_size=16).digest() if layer.text else b""
+        key = hashlib.blake2b(f"{int(layer.starts[0])}:{layer.text}".encode("utf-8", "replace"), digest_size=16).digest() if layer.text else b""
         if not layer.text or key in seen:
             continue
         seen.add(key)
