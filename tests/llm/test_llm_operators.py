@@ -211,6 +211,22 @@ def test_secrets_in_wrapped_and_url_safe_base64():
         assert "[SECRET]" in without_secrets(text)
 
 
+def test_secrets_among_escapes():
+    """Key and value on both sides of blanks and quotes, and beside codes of no text."""
+    for text, secret in (
+        ("q=caf%E9&token%3Dabcdefgh12 end", "token%3Dabcdefgh12"), ("%00%41token%3Dabcdefgh12%ff", "token%3Dabcdefgh12"),
+        ('{"password": "ab\\u002fcdefghijk", "a": 1}', 'password": "ab\\u002fcdefghijk'),
+        ('{"password":"ab%2Bcdefghijk"}', 'password":"ab%2Bcdefghijk'),
+        ("é %C3%A9 password %3D ab%2Bcdefghijk ü", "password %3D ab%2Bcdefghijk"),
+        ("\\ud83d\\ude00 \\ud83d \\u{110000} pass\\x77ord: &#97;bcdefghijk\\u00e9", "pass\\x77ord: &#97;bcdefghijk"),
+        ('"password": "ab%5Cu002fcdefghijk"', 'password": "ab%5Cu002fcdefghijk'),
+    ):
+        base, spans = all_spans(text)
+        assert (text.index(secret), text.index(secret) + len(secret), 0) in spans
+        assert secret[-8:] not in without_secrets(text)
+    assert all_spans("100%25 %zz \\ud83d &#0; %E9%00") == ([], [])
+
+
 def test_secret_base(docs, empty):
     rows = {r["doc_id"]: r for r in scan(docs).collect()}
     text = docs.where("doc_id = 12").first()["text"]

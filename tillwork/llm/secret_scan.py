@@ -1,15 +1,17 @@
 """Secrets in whole texts, inside encoded layers too.
 
-Every text starts a worklist. A layer is scanned for secrets; then each of its
-stretches that is URL-escaped, Unicode-escaped or base64 is decoded, unpacked if
-it is zlib, gzip or bzip2 data, and put on the list as a layer of its own, until
-none is left. A layer that was seen before is not scanned again, so decoding that
+Every text starts a worklist. A layer is scanned for secrets; then it is put on
+the list again with all its URL codes decoded in place, again with all its Unicode
+escapes, and each of its stretches that is base64 is decoded, unpacked if it is
+zlib, gzip or bzip2 data, and put on the list as a layer of its own, until none is
+left. A layer that was seen before is not scanned again, so decoding that
 leads back to itself ends. Each layer carries, for every character, the stretch
 of the original text it stands for: a secret found three layers down has a span
 in the text.
 
-Defined cases: a null text is empty. A stretch that does not decode to text is no
-layer. Spans are in code points, ends exclusive, in order and without repeats.
+Defined cases: a null text is empty. Base64 that does not decode to text is no
+layer; a URL code or escape of no character, or a URL code of a control character,
+stays as it is. Spans are in code points, ends exclusive, in order and without repeats.
 Unpacked layers end at ``MOST_UNPACKED`` bytes, a guard against archives made to
 exhaust memory; the text itself is scanned whole, whatever its length.
 """
@@ -41,10 +43,11 @@ _LEAST_ASSIGNED = 8
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-_URL_RUN = re.compile(r"[A-Za-z0-9_.~:/?#\[\]@!$&'()*+,;=%-]+")
-_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-_ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_VISIBLE_RUN = re.compile(r"[!-~]+")
+_PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# Two halves of a UTF-16 pair make one character.
+_ESCAPE = re.compile(
+    r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}"
+    r"|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 # A base64 run in either alphabet, and lines of one that follow each other.
 _LEAST_CODE = 16
 _EITHER = re.compile(r"[A-Za-z0-9+/_-]{%d,}+" % _LEAST_CODE)
@@ -101,45 +104,52 @@ def _of_bytes(data: bytes, starts, ends) -> Layer | None:
     return Layer(text, starts[first], ends[np.append(first[1:], len(data)) - 1])
 
 
-def _percent_layers(layer: Layer) -> Iterator[Layer]:
-    for run in _URL_RUN.finditer(layer.text):
-        codes = {m.start() for m in _PERCENT.finditer(layer.text, run.start(), run.end())}
-        if not codes:
-            continue
-        data, starts, ends, at = bytearray(), [], [], run.start()
-        while at < run.end():
-            step = 3 if at in codes else 1
-            data.append(int(layer.text[at + 1:at + 3], 16) if step == 3 else ord(layer.text[at]))
-            starts.append(layer.starts[at])
-            ends.append(layer.ends[at + step - 1])
-            at += step
-        if decoded := _of_bytes(bytes(data), np.array(starts), np.array(ends)):
-            yield decoded
-
-
-def _escape_layers(layer: Layer) -> Iterator[Layer]:
-    for run in _VISIBLE_RUN.finditer(layer.text):
-        escapes = [*_ESCAPE.finditer(layer.text, run.start(), run.end())]
-        if not escapes:
-            continue
-        text, starts, ends, at = [], [], [], run.start()
-        for escape in [*escapes, None]:
-            upto = escape.start() if escape else run.end()
-            for place in range(at, upto):
-                text.append(layer.text[place])
-                starts.append(layer.starts[place])
-                ends.append(layer.ends[place])
-            if escape is None:
-                break
-            code = escape.group()
+def _replaced(layer: Layer, parts: list[tuple[int, int, str]]) -> Layer | None:
+    """``layer`` with each stretch (start, end) replaced by one character; None if there is none."""
+    if not parts:
+        return None
+    begin, end = (np.fromiter(column, np.int64, len(parts)) for column in list(zip(*parts, strict=True))[:2])
+    # First and last place of every character: all places but those inside a stretch.
+    kept = np.ones(len(layer.text) + 1, np.int64)
+    np.add.at(kept, begin + 1, -1)
+    np.add.at(kept, end, 1)
+    kept[1:] -= 1
+    first = np.flatnonzero(np.cumsum(kept[:-1]) > 0)
+    last = np.append(first[1:], len(layer.text)) - 1
+    text, at = [], 0
+    for start, stop, character in parts:
+        text += [layer.text[at:start], character]
+        at = stop
+    return Layer("".join([*text, layer.text[at:]]), layer.starts[first], layer.ends[last])
+
+
+def _percent_layer(layer: Layer) -> Layer | None:
+    """The layer with all its URL codes decoded in place; codes of no character are kept as they are."""
+    parts = []
+    for run in _PERCENTS.finditer(layer.text):
+        at = run.start()
+        for character in bytes.fromhex(run.group().replace("%", "")).decode("utf-8", "surrogateescape"):
+            broken = "\udc80" <= character <= "\udcff"
+            end = at + 3 * (1 if broken else len(character.encode()))
+            if not broken and not _CONTROL.match(character):
+                parts.append((at, end, character))
+            at = end
+    return _replaced(layer, parts)
+
+
+def _escape_layer(layer: Layer) -> Layer | None:
+    """The layer with all its Unicode escapes decoded in place; those of no character are kept."""
+    parts = []
+    for escape in _ESCAPE.finditer(layer.text):
+        code = escape.group()
+        if len(code) == 12 and code[0] == "\\" and code[6] == "\\":
+            number = 0x10000 + ((int(code[2:6], 16) - 0xD800) << 10) + int(code[8:], 16) - 0xDC00
+        else:
             number = (int(code[2:-1], 10) if code[:2] == "&#" and code[2] not in "xX"
                       else int(code[3:-1], 16) if code[:2] == "&#" or code[2] == "{" else int(code[2:], 16))
-            if number < 0x110000 and not 0xD800 <= number < 0xE000:
-                text.append(chr(number))
-                starts.append(layer.starts[escape.start()])
-                ends.append(layer.ends[escape.end() - 1])
-            at = escape.end()
-        yield Layer("".join(text), np.array(starts), np.array(ends))
+        if number < 0x110000 and not 0xD800 <= number < 0xE000:
+            parts.append((*escape.span(), chr(number)))
+    return _replaced(layer, parts)
 
 
 def _unpacked(data: bytes) -> bytes | None:
@@ -280,10 +290,10 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
         seen.add(key)
         if layer.text is not text:
             spans.update((*layer.original(start, end), kind) for start, end, kind in found_in(layer.text))
-        if "%" in layer.text:
-            work += _percent_layers(layer)
-        if "\\" in layer.text or "&#" in layer.text:
-            work += _escape_layers(layer)
+        if "%" in layer.text and (decoded := _percent_layer(layer)):
+            work.append(decoded)
+        if ("\\" in layer.text or "&#" in layer.text) and (decoded := _escape_layer(layer)):
+            work.append(decoded)
         work += _base64_layers(layer)
     return base, sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
