@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwork.llm import bisector_clusters, dag_manifest, rank_bpe
 from tillwork.llm.decontamination import contamination
 from tillwork.llm.embedding_join import similar_vectors
 from tillwork.llm.hmm import score
@@ -76,6 +77,35 @@ def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
     return contamination(_table(spark, root, "documents"), _table(spark, root, "benchmark"))
 
 
+def op11_bpe_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    documents = _table(spark, root, "documents").select("doc_id", "text")
+    found = rank_bpe.decoded(rank_bpe.encoded(documents))
+    return found.select("doc_id", *rank_bpe.digests(found))
+
+
+def op12_dag_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Proofs of all documents; those of every third id (by crc32) are checked with a tampered text."""
+    docs = _table(spark, root, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = dag_manifest.leaf_of(docs, text=dag_manifest.lower_cased(docs["text"]))
+    leaves = docs.select(
+        "doc_id", "lang", dag_manifest.leaf_of(docs).alias("leaf"), F.when(tampered, changed).alias("presented"))
+    proved = dag_manifest.proofs(dag_manifest.build(leaves))
+    checked = proved.select(
+        "doc_id", "leaf", "subroot", "root",
+        dag_manifest.digest(dag_manifest.siblings_of(F.col("path"))).alias("proof_sha256"),
+        dag_manifest.folded(F.coalesce("presented", "leaf"), F.col("path")).alias("folded_root"))
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_bisector_clusters(spark: SparkSession, root: str) -> DataFrame:
+    found = bisector_clusters.cluster(_table(spark, root, "embeddings"))
+    numbers = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return bisector_clusters.with_inertia(found).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(numbers.cast("binary"), 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -87,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperminhash": op8_hyperminhash,
     "op9_training_order": op9_training_order,
     "op10_decontamination": op10_decontamination,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
+    "op12_dag_manifest": op12_dag_manifest,
+    "op13_bisector_clusters": op13_bisector_clusters,
 }
 
 _PAGES = """
@@ -193,9 +226,109 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(low, vec_id) AS compo
 FROM embeddings LEFT JOIN degree USING (vec_id) LEFT JOIN component USING (vec_id)
 """
 
+def _field(column: str) -> str:
+    value = f"{column}::VARCHAR"
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+_HEAD = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+
+# The remainders of CRC-32 are made from its polynomial. A tree is named by its language, the one
+# above them by 'top'; the path of a leaf runs through both.
+_MANIFEST = f"""
+WITH RECURSIVE remainder AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)),
+crc AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+             string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+           lambda c, b: xor(c >> 8, t[((xor(c, b)) & 255) + 1])), 4294967295::BIGINT) AS crc
+  FROM documents, remainder),
+leaf AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_HEAD} || {_field("text")}) AS h,
+         CASE WHEN crc % 3 = 0 THEN sha256({_HEAD} || {_field(
+             "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")})
+              ELSE sha256({_HEAD} || {_field("text")}) END AS shown
+  FROM crc),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS no FROM leaf),
+level AS (
+  SELECT 0 AS lvl, tree, no, h, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT lvl + 1, tree, no, h, count(*) OVER (PARTITION BY tree) FROM (
+    SELECT lvl, tree, no // 8 AS no, sha256(string_agg(h, '' ORDER BY no)) AS h
+    FROM level WHERE n > 1 GROUP BY lvl, tree, no // 8)),
+subroot AS MATERIALIZED (
+  SELECT tree, h, lvl, row_number() OVER (ORDER BY tree) - 1 AS no FROM level WHERE n = 1),
+above AS (
+  SELECT 0 AS lvl, no, h, count(*) OVER () AS n FROM subroot
+  UNION ALL
+  SELECT lvl + 1, no, h, count(*) OVER () FROM (
+    SELECT lvl, no // 8 AS no, sha256(string_agg(h, '' ORDER BY no)) AS h
+    FROM above WHERE n > 1 GROUP BY lvl, no // 8)),
+node AS MATERIALIZED (
+  SELECT s.tree, level.lvl AS step, level.no, level.h FROM level JOIN subroot s USING (tree) WHERE n > 1
+  UNION ALL
+  SELECT s.tree, s.lvl + above.lvl, above.no, above.h FROM above, subroot s WHERE n > 1),
+place AS (
+  SELECT p.doc_id, p.tree, p.no AS leaf_no, 0 AS step, p.no, p.shown AS h, s.lvl, s.no AS top_no, '' AS proof
+  FROM placed p JOIN subroot s USING (tree)
+  UNION ALL
+  SELECT any_value(place.doc_id), place.tree, place.leaf_no, place.step + 1,
+         any_value(CASE WHEN place.step + 1 = place.lvl THEN place.top_no
+                        WHEN place.step = place.lvl THEN place.top_no // 8 ELSE place.no // 8 END),
+         sha256(string_agg(CASE WHEN node.no = place.no THEN place.h ELSE node.h END, '' ORDER BY node.no)),
+         any_value(place.lvl), any_value(place.top_no),
+         any_value(place.proof) || coalesce(string_agg(node.h, '' ORDER BY node.no) FILTER (node.no <> place.no), '')
+  FROM (SELECT place.* REPLACE (CASE WHEN step = lvl THEN top_no ELSE no END AS no) FROM place) AS place
+  JOIN node ON node.tree = place.tree AND node.step = place.step AND node.no // 8 = place.no // 8
+  GROUP BY place.tree, place.leaf_no, place.step),
+last AS (SELECT tree, leaf_no, arg_max(h, step) AS folded_root, arg_max(proof, step) AS proof FROM place GROUP BY ALL)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, folded_root,
+       folded_root = r.h AS verified
+FROM placed p JOIN subroot s USING (tree) JOIN last ON last.tree = p.tree AND last.leaf_no = p.no,
+     (SELECT h FROM above WHERE n = 1) AS r
+"""
+
+
+def _clusters(clusters: int, rounds: int) -> str:
+    """The rounds written out: distances of all pairs, then floored means by component."""
+    ctes = [f"""
+vec AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", f"""
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v
+  FROM (SELECT * FROM vec ORDER BY sha256('2:' || vec_id) LIMIT {clusters}))"""]
+    for k in range(rounds + 1):
+        ctes.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, any_value(vec.v) AS v, min({{'d': (list_dot_product(vec.v, vec.v) - 2 * list_dot_product(vec.v, c.v)
+           + list_dot_product(c.v, c.v))::BIGINT, 'c': c.c}}) AS best
+  FROM vec, c{k} AS c GROUP BY vec_id)""")
+        if k < rounds:
+            ctes.append(f"""
+c{k + 1} AS MATERIALIZED (
+  SELECT old.c, coalesce(new.v, old.v) AS v
+  FROM c{k} AS old LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS v FROM (
+      SELECT best.c AS c, i, sum(v[i]::BIGINT) AS s, count(*) AS n FROM a{k}, range(1, 65) AS r(i) GROUP BY ALL)
+    GROUP BY c) AS new ON new.c = old.c)""")
+    return "WITH" + ",".join(ctes) + f"""
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance,
+       (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS c ON c.c = best.c
+"""
+
+
 SQL: dict[str, str] = {
     "op3_embedding_join": _VECTORS,
     "op6_merkle_audit": _PAGES,
     "op8_hyperminhash": _NEAR_DUPLICATES,
     "op10_decontamination": _DECONTAMINATION,
+    "op12_dag_manifest": _MANIFEST,
+    "op13_bisector_clusters": _clusters(bisector_clusters.CLUSTERS, bisector_clusters.ROUNDS),
 }
