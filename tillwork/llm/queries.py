@@ -79,7 +79,7 @@ def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
 
 def op11_bpe_round_trip(spark: SparkSession, root: str) -> DataFrame:
     documents = _table(spark, root, "documents").select("doc_id", "text")
-    found = rank_bpe.decoded(rank_bpe.encoded(documents))
+    found = rank_bpe.encoded(documents, back="decoded")
     return found.select("doc_id", *rank_bpe.digests(found))
 
 

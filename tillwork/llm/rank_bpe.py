@@ -42,8 +42,8 @@ from tillwork.llm.text import slices
 from tillwork.llm.tokens import VOCABULARY, vocabulary_path
 
 SHORT = 40
-KEPT_RUNS = 250_000
-SLICE_BYTES = 3_000_000
+KEPT_RUNS = 200_000
+SLICE_BYTES = 2_000_000
 _NO_RANK = np.iinfo(np.int32).max
 
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -304,24 +304,34 @@ def _with(df: DataFrame, column: str, kind: DataType) -> StructType:
     return df.drop(column).schema.add(column, kind)
 
 
-def _replaced(batch: pa.RecordBatch, column: str, values: pa.Array, dropped: str) -> pa.RecordBatch:
-    names = [c for c in batch.schema.names if c not in (column, dropped)]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values], names=[*names, column])
+def _replaced(batch: pa.RecordBatch, dropped: str, **values: pa.Array) -> pa.RecordBatch:
+    names = [c for c in batch.schema.names if c != dropped and c not in values]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *values.values()], names=[*names, *values])
 
 
-def encoded(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` with the ids (``array<int>``) of its texts in place of the texts."""
+def encoded(
+    docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str = VOCABULARY, back: str | None = None,
+) -> DataFrame:
+    """``docs`` with the ids (``array<int>``) of its texts in place of the texts.
+
+    ``back`` names a column for what the ids decode to, as ``decoded`` gives it, in the same pass.
+    """
     work = "_text_bytes"
-    rows = docs.withColumn(work, F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))).drop(text, ids)
+    rows = docs.withColumn(work, F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))).drop(
+        text, ids, *([back] if back else []))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(vocabulary)
         for batch in slices(batches, work, SLICE_BYTES):
-            values, ends = known.encode(batch.column(work).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(values, pa.int32()))
-            yield _replaced(batch, ids, lists, work)
+            numbers, ends = known.encode(batch.column(work).to_pylist())
+            offsets = np.r_[0, ends]
+            values = {ids: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(numbers, pa.int32()))}
+            if back:
+                values[back] = decode(numbers, offsets, vocabulary)
+            yield _replaced(batch, work, **values)
 
-    return rows.mapInArrow(encode, _with(rows.drop(work), ids, ArrayType(IntegerType())))
+    schema = _with(rows.drop(work), ids, ArrayType(IntegerType()))
+    return rows.mapInArrow(encode, schema.add(back, StringType()) if back else schema)
 
 
 def decoded(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -336,7 +346,7 @@ def decoded(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary:
                 values = lists.flatten()
                 counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
                 numbers = pc.fill_null(values, -1).to_numpy()
-                yield _replaced(batch, text, decode(numbers, np.r_[0, np.cumsum(counts)], vocabulary), text)
+                yield _replaced(batch, text, **{text: decode(numbers, np.r_[0, np.cumsum(counts)], vocabulary)})
 
     rows = df.drop(text)
     return rows.mapInArrow(to_text, _with(rows, text, StringType()))
