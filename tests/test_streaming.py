@@ -5,13 +5,16 @@ from __future__ import annotations
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SMALL, day
-from tillwork.plans.stream_queries import ingested
+from tillwork.plans.stream_queries import alerts, ingested
 from tillwork.sources.scratch import new_path
 from tillwork.sources.star import TABLE_SCHEMAS, Star
 from tillwork.streaming import ingest, kpis
-from tillwork.streaming.events import drain, drained, read_events, snapshot, with_event_time
+from tillwork.streaming.events import (
+    beat, drain, drained, read_events, snapshot, upsert, upserted, with_event_time, with_heartbeats,
+)
 
 
 def write_events(spark, path, *rows):
@@ -123,3 +126,124 @@ def test_no_event_is_lost_in_a_backlog_of_many_batches(spark):
         assert sorted(r["event_id"] for r in valid.collect()) == [k + i for k in (0, 10, 20) for i in range(1, 7)]
         days = snapshot(kpis.daily_kpis(read_events(spark, path, files_per_trigger=per_trigger)), "days").collect()
         assert sorted((r["purchases"], r["views"]) for r in days) == [(1, 2)] * 5 + [(2, 2)]
+
+
+def test_a_kill_between_the_two_writes_and_a_restart(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    path, folder = new_path(spark, "killed"), new_path(spark, "ingest")
+    for i in range(1, 5):
+        # One good event repeated in every file, one of its own, and a bad one twice.
+        write_events(spark, path, (7, "2024-01-01 10:00:00", "purchase", 5.0), (10 + i, f"2024-01-0{i} 11:00:00", "view", 1.0),
+                     (20 + i, "2024-01-01 10:00:00", "refund", 1.0), (20 + i, "2024-01-01 10:00:00", "refund", 1.0))
+    real, killed = DataFrameWriter.parquet, []
+
+    def dying(self, to, *args, **options):
+        if "rejected/batch=1" in to and not killed:
+            killed.append(to)
+            raise RuntimeError("killed")
+        return real(self, to, *args, **options)
+
+    def events():
+        return read_events(spark, path, "*.parquet", files_per_trigger=1)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", dying)
+    with pytest.raises(Exception, match="killed"):
+        ingest.ingest(events(), folder)
+    # Its valid part was written; the restart must not add to it.
+    assert spark.read.parquet(f"{folder}/valid/batch=1").count() > 0
+    valid, rejected = ingest.ingest(events(), folder)
+    assert killed and sorted(r["event_id"] for r in valid.collect()) == [7, 11, 12, 13, 14]
+    assert sorted(r["event_id"] for r in rejected.collect()) == [21, 21, 22, 22, 23, 23, 24, 24]
+    # A file that comes later goes on from there.
+    write_events(spark, path, (7, "2024-01-09 10:00:00", "purchase", 5.0), (19, "2024-01-09 11:00:00", "view", 1.0))
+    valid, rejected = ingest.ingest(events(), folder)
+    assert sorted(r["event_id"] for r in valid.collect()) == [7, 11, 12, 13, 14, 19] and rejected.count() == 8
+
+
+def test_ingest_of_nothing(spark):
+    path = new_path(spark, "nothing")
+    write_events(spark, path)
+    valid, rejected = ingest.ingest(stream(spark, path), new_path(spark, "ingest"))
+    assert valid.count() == rejected.count() == 0 and "broken_rules" in rejected.columns
+
+
+def test_streams_keep_their_state_in_rocksdb(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    path, folder = new_path(spark, "state"), new_path(spark, "ingest")
+    write_events(spark, path, (1, "2024-01-01 10:00:00", "purchase", 5.0), (2, "2024-01-01 10:00:00", "oops", 5.0))
+    ingest.ingest(stream(spark, path), folder)
+    held = spark.read.format("statestore").load(f"{folder}/checkpoint")
+    assert held.count() == 2
+    offsets = spark.read.text(f"{folder}/checkpoint/offsets/0")
+    assert offsets.where(F.col("value").contains("RocksDBStateStoreProvider")).count() == 1
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_upsert_replaces_changed_days_and_state_shrinks(spark):
+    path, out, checkpoint = (new_path(spark, n) for n in ("in", "kpis", "checkpoint"))
+
+    def run():
+        upsert(kpis.daily_kpis(stream(spark, path), "2 days"), out, checkpoint, "day")
+        rows = spark.read.parquet(out).select("*", F.col("_metadata.file_name").alias("file")).collect()
+        return {str(r["day"]): (float(r["revenue"]), r["file"]) for r in rows}
+
+    write_events(spark, path, (1, "2024-01-01 10:00:00", "purchase", 5.0), (2, "2024-01-02 12:00:00", "purchase", 1.0))
+    first = run()
+    assert {d: v for d, (v, _) in first.items()} == {"2024-01-01": 5.0, "2024-01-02": 1.0}
+    # A late event within the watermark changes its day only.
+    write_events(spark, path, (3, "2024-01-01 11:00:00", "purchase", 7.0), (4, "2024-01-03 13:00:00", "purchase", 2.0))
+    second = run()
+    assert {d: v for d, (v, _) in second.items()} == {"2024-01-01": 12.0, "2024-01-02": 1.0, "2024-01-03": 2.0}
+    assert second["2024-01-02"] == first["2024-01-02"] and second["2024-01-01"] != first["2024-01-01"]
+    write_events(spark, path, (5, "2024-02-01 00:00:00", "view", 1.0))
+    assert set(run()) == {*second, "2024-02-01"}
+    assert spark.read.format("statestore").load(checkpoint).count() == 1
+
+
+def many_days(spark, path):
+    """A file for each of 20 days, in shuffled order."""
+    for i in [7, 3, 20, 1, 15, 9, 2, 18, 4, 12, 6, 10, 5, 19, 8, 11, 13, 17, 14, 16]:
+        write_events(spark, f"{path}/events.parquet", *(
+            (100 * i + k, f"2024-01-{i:02d} 1{k}:00:00", ("purchase", "view", "error")[(i + k) % 3], float(i * i % 17))
+            for k in range(1 + i % 5)))
+
+
+def test_alerts_of_a_stream_are_those_of_the_batch(spark):
+    path = new_path(spark, "days")
+    many_days(spark, path)
+    table = spark.read.schema(TABLE_SCHEMAS["events"]).parquet(f"{path}/events.parquet")
+    days = kpis.daily_kpis(with_event_time(table))
+    expected = kpis.alerts_against_earlier_days(days, 1.5).collect()
+    rounded = sorted((str(r["day"]), r["metric"], r["value"], round(r["z_score"], 9), r["direction"]) for r in expected)
+    assert rounded
+    for per_trigger in (1, 1000):
+        found = alerts(read_events(spark, path, files_per_trigger=per_trigger), table).collect()
+        assert rounded == sorted(
+            (str(r["day"]), r["metric"], r["value"], round(r["z_score"], 9), r["direction"]) for r in found)
+    upserts = upserted(kpis.daily_kpis(read_events(spark, path, files_per_trigger=3), "90 days"), "kpis", "day")
+    assert sorted(map(tuple, upserts.collect())) == sorted(map(tuple, days.collect()))
+
+
+def test_alerts_go_on_from_their_state(spark):
+    path, folder = new_path(spark, "days"), new_path(spark, "alerts")
+    for i in range(1, 8):
+        write_events(spark, path, (i, f"2024-01-0{i} 10:00:00", "purchase", 5.0 + i % 2))
+    assert kpis.drain_alerts(stream(spark, path), folder).count() == 0
+    write_events(spark, path, (8, "2024-01-08 10:00:00", "purchase", 50.0), (9, "2024-01-10 10:00:00", "view", 1.0))
+    found = kpis.drain_alerts(stream(spark, path), folder)
+    assert [(str(r["day"]), r["metric"], r["direction"]) for r in found.collect()] == [("2024-01-08", "revenue", "high")]
+    kpis.drain_alerts(stream(spark, path), folder)
+    assert found.count() == 1
+
+
+def test_heartbeats_close_days_and_are_none(spark):
+    path, folder, out, checkpoint = (new_path(spark, n) for n in ("in", "beats", "out", "checkpoint"))
+    write_events(spark, path, (1, "2024-01-01 10:00:00", "purchase", 5.0), (2, "2024-01-01 11:00:00", None, 5.0))
+    days = kpis.daily_kpis(with_heartbeats(stream(spark, path), folder))
+    drain(days, out, checkpoint)
+    assert spark.read.schema(days.schema).parquet(out).count() == 0
+    for at in ("2024-01-02 02:00:00", "2024-01-09 00:00:00"):
+        beat(spark, folder, day(at))
+        drain(days, out, checkpoint)
+    assert [(str(r["day"]), r["purchases"]) for r in spark.read.parquet(out).collect()] == [("2024-01-01", 1)]

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.plans.oracle import rounded
 from tillwork.plans.registry import query
+from tillwork.sources.scratch import new_path
 from tillwork.sources.star import Star
 from tillwork.streaming import ingest, kpis
-from tillwork.streaming.events import drained, read_events, snapshot, with_event_time
+from tillwork.streaming.events import read_events, upserted, with_event_time
 
-WATERMARK = "1 hour"
+# An event may come this much later than the latest one, as part files come in any order.
+LATENESS = datetime.timedelta(days=90)
+WATERMARK = f"{LATENESS.days} days"
 
 DAYS = """
 days AS (
@@ -40,8 +45,7 @@ def validated_ingest(star: Star):
 def ingested(events: DataFrame) -> DataFrame:
     """All accepted events, each id once, and all rejected ones, however the stream is cut into batches."""
     columns = ["event_id", "event_type", "user_id", "value"]
-    accepted = ingest.once_each(drained(ingest.accepted_events(events, _rules()), "valid"))
-    rejected = drained(ingest.rejected_events(events, _rules()), "rejected")
+    accepted, rejected = ingest.ingest(events, new_path(events.sparkSession, "ingest"), _rules())
     return accepted.select(*columns, F.lit("").alias("broken_rules")).unionByName(
         rejected.select(*columns, F.array_join("broken_rules", ",").alias("broken_rules")))
 
@@ -49,7 +53,7 @@ def ingested(events: DataFrame) -> DataFrame:
 @query("stream_kpis", f"""WITH {DAYS}
 SELECT day, {rounded('revenue')} AS revenue, purchases, views, errors FROM days""")
 def stream_kpis(star: Star):
-    return snapshot(kpis.daily_kpis(read_events(star.spark, star.root), WATERMARK), "kpis")
+    return upserted(kpis.daily_kpis(read_events(star.spark, star.root), WATERMARK), "kpis", "day")
 
 
 _LONG = "\n  UNION ALL ".join(
@@ -67,8 +71,14 @@ FROM (
   WINDOW before AS (PARTITION BY metric ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ) AS scored WHERE abs(z_score) >= 1.5""")
 def kpi_alerts(star: Star):
-    days = snapshot(kpis.daily_kpis(read_events(star.spark, star.root), WATERMARK), "days")
-    return kpis.alerts_against_earlier_days(days, 1.5)
+    return alerts(read_events(star.spark, star.root), star.table("events"))
+
+
+def alerts(events: DataFrame, table: DataFrame) -> DataFrame:
+    """Alerts on every day of the stream, its last one included: ``table`` says when it ends."""
+    last = table.agg(F.max("ts")).first()[0]
+    until = last + LATENESS + datetime.timedelta(days=2) if last is not None else None
+    return kpis.drain_alerts(events, new_path(events.sparkSession, "alerts"), 1.5, WATERMARK, until)
 
 
 @query("batch_kpis", f"""

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# State of streams on local disk with a log in the checkpoint, not in the heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
+
 
 def build_session(
     app: str = "tillwork",
@@ -24,6 +28,7 @@ def build_session(
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        STATE_STORE_SETTING: STATE_STORE,
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

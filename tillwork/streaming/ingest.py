@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.streaming.events import EVENT_TIME
+from tillwork.streaming.events import EVENT_TIME, drain_batches, read_written
 
 # The known event types.
 EVENT_TYPES = ("view", "click", "signup", "purchase", "error")
@@ -59,3 +61,58 @@ def valid_events(
 def rejected_events(events: DataFrame, rules: dict[str, Column] | None = None) -> DataFrame:
     """Events that break a rule, with the names of the rules, for quarantine."""
     return with_broken_rules(events, rules).where(F.size("broken_rules") > 0)
+
+
+def file_row() -> Column:
+    """What names a row of a stream of Parquet files, the same in every attempt."""
+    return F.concat(
+        F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
+
+
+def judged_events(
+    events: DataFrame, rules: dict[str, Column] | None = None, row_name: Column | None = None,
+) -> DataFrame:
+    """Every event with its ``broken_rules``, those that break none once for each ``event_id``.
+
+    One pass for both kinds. Each rejected row stays, as it is de-duplicated by its own
+    name: ``row_name``, by default its file and place. The state holds a short text for
+    each id and rejected row, in RocksDB and so on disk.
+    """
+    judged = with_broken_rules(events, rules)
+    name = F.when(F.size("broken_rules") == 0, F.concat(F.lit("id "), F.col("event_id").cast("string"))).otherwise(
+        F.concat(F.lit("row "), file_row() if row_name is None else row_name))
+    return judged.withColumn("_once", name).dropDuplicates(["_once"]).drop("_once")
+
+
+def two_sinks(valid: str, rejected: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer that parts judged events into two tables, a folder for each batch.
+
+    The batch is computed once. A batch that comes again replaces its folders, so a kill
+    at any place between the two writes and the commit leaves each event once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            good = F.size("broken_rules") == 0
+            batch.where(good).drop("broken_rules").write.mode("overwrite").parquet(f"{valid}/batch={number}")
+            batch.where(~good).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def ingest(
+    events: DataFrame, folder: str, rules: dict[str, Column] | None = None, row_name: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Drain ``events`` into the tables ``valid`` and ``rejected`` below ``folder``, and return both.
+
+    Run again with the same folder to go on after new files or a failure.
+    """
+    spark = events.sparkSession
+    judged = judged_events(events, rules, row_name)
+    valid, rejected = f"{folder}/valid", f"{folder}/rejected"
+    drain_batches(judged, two_sinks(valid, rejected), f"{folder}/checkpoint")
+    return (
+        read_written(spark, valid, judged.drop("broken_rules")), read_written(spark, rejected, judged))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwork.functions.dates import utc_day
 from tillwork.functions.measures import ratio
-from tillwork.streaming.events import EVENT_TIME
+from tillwork.streaming.events import EVENT_TIME, beat, drain, no_heartbeat, with_heartbeats
+from tillwork.streaming.processors import EarlierDays
 
 METRICS = ("revenue", "purchases", "views", "errors")
 
@@ -15,14 +18,16 @@ METRICS = ("revenue", "purchases", "views", "errors")
 def daily_kpis(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Revenue and counts per UTC day.
 
-    In append mode a day is emitted once, when the watermark passes its end; events
-    later than the watermark are dropped and state is one row per open day. In
+    In append mode a day is emitted once, when the watermark passes its end; in update
+    mode (``events.upsert``) with every batch that changes it. Events
+    later than the watermark are dropped and state is one row per open day, so a
+    watermark of months costs little. In
     complete mode (``events.snapshot``) all days are there, open ones too, and late
-    events are counted; state is one row per day.
+    events are counted; state is one row per day. Heartbeats are no events of their day.
     """
     purchase = F.col("event_type") == "purchase"
     return (
-        events.withWatermark(EVENT_TIME, watermark)
+        events.withWatermark(EVENT_TIME, watermark).where(no_heartbeat())
         .groupBy(F.window(EVENT_TIME, "1 day"))
         .agg(
             F.coalesce(F.sum(F.when(purchase, F.col("value").cast("decimal(18,4)"))), F.lit(0))
@@ -81,6 +86,38 @@ def alerts_against_earlier_days(kpis: DataFrame, z: float = 2.0) -> DataFrame:
     )
 
 
+ALERTS = "day DATE, metric STRING, value DOUBLE, z_score DOUBLE, direction STRING"
+
+
+def alert_stream(kpis: DataFrame, z: float = 2.0) -> DataFrame:
+    """As ``alerts_against_earlier_days``, for a stream of ``daily_kpis`` in append mode.
+
+    A day's alerts come when it closes. The days are summed before they are keyed by
+    metric, so a key has one row for each day.
+    """
+    return by_metric(kpis).groupBy("metric").transformWithState(EarlierDays(z), ALERTS, "Append", "None")
+
+
+def drain_alerts(
+    events: DataFrame, folder: str, z: float = 2.0, watermark: str = "1 hour",
+    until: datetime.datetime | None = None,
+) -> DataFrame:
+    """The alerts on all closed days of what has arrived, in a table below ``folder``.
+
+    Run again with the same folder to go on. ``until`` closes all days before its
+    watermark by a heartbeat, for when no later events are to come. An append
+    appears once, as the state and the table go on from the same checkpoint.
+    """
+    spark = events.sparkSession
+    beats, path, checkpoint = (f"{folder}/{part}" for part in ("heartbeats", "alerts", "checkpoint"))
+    alerts = alert_stream(daily_kpis(with_heartbeats(events, beats), watermark), z)
+    drain(alerts, path, checkpoint)
+    if until is not None:
+        beat(spark, beats, until)
+        drain(alerts, path, checkpoint)
+    return spark.read.schema(ALERTS).parquet(path)
+
+
 def threshold_alerts(kpis: DataFrame, metric: str, low: float | None = None, high: float | None = None) -> DataFrame:
     """Days on which one metric is below ``low`` or above ``high``."""
     value = F.col(metric).cast("double")
