@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tillwork.functions.dates import day_of
-from tillwork.functions.fits import augmented_dickey_fuller
+from tillwork.functions.least_squares import product_sums, regression_of, solved, squared_residuals
 from tillwork.functions.measures import ratio
 from tillwork.functions.recursions import durbin_levinson
 
@@ -92,6 +92,31 @@ def dickey_fuller_critical(n: Column) -> Column:
     return F.lit(b0) + F.lit(b1) / n + F.lit(b2) / (n * n) + F.lit(b3) / (n * n * n)
 
 
+def _augmented_dickey_fuller(series: DataFrame, lags: int) -> DataFrame:
+    """Length and t-statistic of the level in a regression of differences on a constant, the level and
+    ``lags`` differences before.
+
+    The statistic is the same for standardised values, whose sums lose fewer digits.
+    """
+    deviation = F.coalesce(F.nullif(F.stddev_samp("y").over(whole()), F.lit(0.0)), F.lit(1.0))
+    scaled = series.withColumn("z", (F.col("y") - F.avg("y").over(whole())) / deviation).withColumn(
+        "x", F.lag("z").over(in_time())).withColumn("d", F.col("z") - F.col("x"))
+    steps = scaled.where(F.col("d").isNotNull()).withColumn("past", past_values("d", lags))
+    features = [F.lit(1.0), F.col("x"), *(F.get("past", F.lit(k)) for k in range(lags))]
+    sums = regression_of(steps.groupBy("series_id").agg(
+        *product_sums(features, F.col("d"), F.size("past") == lags)), lags + 2)
+    # The level is the second feature: its row of the inverse matrix gives its variance.
+    unit = F.array(*(F.lit(1.0 if i == 1 else 0.0) for i in range(lags + 2)))
+    fitted = sums.withColumn("beta", solved(F.col("gram"), F.col("moment"))).withColumn(
+        "inverse", solved(F.col("gram"), unit))
+    rest = squared_residuals(F.col("gram"), F.col("moment"), F.col("squares"), F.col("beta"))
+    variance = F.try_divide(rest, F.col("rows") - (lags + 2))
+    error = F.sqrt(variance * F.get("inverse", F.lit(1)))
+    statistic = F.when(F.col("rows") > lags + 2, F.try_divide(F.get("beta", F.lit(1)), error))
+    lengths = series.groupBy("series_id").agg(F.greatest(F.count("y") - 1 - lags, F.lit(0)).alias("n_obs"))
+    return lengths.join(fitted.select("series_id", statistic.alias("statistic")), "series_id", "left")
+
+
 def stationarity_test(series: DataFrame, lags: int = 0) -> DataFrame:
     """Dickey-Fuller test with a constant; stationary when below the 5 % critical value.
 
@@ -109,9 +134,7 @@ def stationarity_test(series: DataFrame, lags: int = 0) -> DataFrame:
             (F.col("syy") - slope * F.col("sxy")) / F.nullif(F.col("n_obs") - 2, F.lit(0)), F.col("sxx")))
         fitted = fitted.select("series_id", "n_obs", ratio(slope, error).alias("statistic"))
     else:
-        fitted = series.groupBy("series_id").applyInPandas(
-            lambda pdf: augmented_dickey_fuller(pdf, lags),
-            "series_id STRING, n_obs BIGINT, statistic DOUBLE")
+        fitted = _augmented_dickey_fuller(series, lags)
     critical = dickey_fuller_critical(F.col("n_obs").cast("double"))
     return fitted.select(
         "series_id", "n_obs", "statistic", critical.alias("critical_value"),
