@@ -59,13 +59,13 @@ def future_days(star: Star):
     return series.future_days(by_region(star), 30)
 
 
-_N = "CAST(n_obs AS DOUBLE)"
-_CRITICAL = f"(-2.86154 - 2.8903 / {_N} - 4.234 / ({_N} * {_N}) - 40.040 / ({_N} * {_N} * {_N}))"
+N_OBS = "CAST(n_obs AS DOUBLE)"
+CRITICAL = f"(-2.86154 - 2.8903 / {N_OBS} - 4.234 / ({N_OBS} * {N_OBS}) - 40.040 / ({N_OBS} * {N_OBS} * {N_OBS}))"
 
 
 @query("stationarity_test", on_sales(f"""
 SELECT series_id, n_obs, {rounded_to('statistic')} AS statistic,
-       {rounded_to(_CRITICAL)} AS critical_value, statistic < {_CRITICAL} AS is_stationary
+       {rounded_to(CRITICAL)} AS critical_value, statistic < {CRITICAL} AS is_stationary
 FROM (
   SELECT series_id, n_obs,
          (sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n_obs - 2) / sxx) AS statistic
@@ -80,11 +80,6 @@ def stationarity_test(star: Star):
     return series.stationarity_test(by_region(star))
 
 
-@query("stationarity_test_lagged")
-def stationarity_test_lagged(star: Star):
-    return series.stationarity_test(by_region(star), lags=7)
-
-
 def rolling_sql(window: int, names: tuple[str, str], first: int = 0) -> str:
     frame = f"(PARTITION BY series_id ORDER BY t ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
     return ",\n       ".join(
