@@ -8,8 +8,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day
+from conftest import SMALL, day
 from tillwork.operators import customers, dashboard, engagement, products, profiling, regions, sales
+from tillwork.sources.star import Star
 
 SCHEMA = (
     "transaction_date TIMESTAMP_NTZ, customer_id BIGINT, product_category STRING, "
@@ -198,3 +199,46 @@ def test_cohorts(spark):
     got = {(str(r["cohort_month"]), r["months_since"]): (r["customers"], r["retention_rate"])
            for r in customers.retention_cohorts(rows).collect()}
     assert got == {("2024-01-01", 0): (2, 100.0), ("2024-01-01", 2): (1, 50.0), ("2024-02-01", 0): (1, 100.0)}
+
+
+def test_duplicates_of_rows_with_equal_digests(spark, monkeypatch):
+    """Digests that meet by chance are told apart; equal rows are found whatever their zeros and NULLs."""
+    rows = [(1, None, 0.0), (1, None, -0.0), (None, 1, 0.0), (2, 2, 5.0), (2, 2, 5.0), (2, 2, 5.0), (3, 3, float("nan")), (3, 3, float("nan"))]
+    df = spark.createDataFrame(rows, "a BIGINT, b BIGINT, c DOUBLE")
+    assert profiling.duplicate_count(df).first()[0] == 4
+    monkeypatch.setattr(profiling, "row_digest", lambda rows: F.lit(7))
+    assert profiling.duplicate_count(df).first()[0] == 4
+    monkeypatch.undo()
+    assert profiling.duplicate_count(df.distinct()).first()[0] == 0
+    assert profiling.duplicate_count(df.limit(0)).first()[0] == 0
+
+
+def test_metrics_copy_no_rows_for_distinct_counts(spark):
+    star = Star(spark, SMALL)
+    metrics = profiling.business_metrics(
+        star.summed(["customer_id"], ["total_amount", "discount_percent"]), star.summed(["product_name"]))
+    assert "Expand" not in metrics._jdf.queryExecution().executedPlan().toString()
+    one = profiling.business_metrics(star.sales(["customer_id", "product_name", "total_amount", "discount_percent"]))
+    assert metrics.first() == one.first()
+
+
+def test_price_tiers_are_summed_before_the_join(spark):
+    star = Star(spark, SMALL)
+    rows = star.summed(["product_category"], ["unit_price", "quantity", "total_amount"], {"price_tier": products.price_tier})
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+    single = products.price_tiers(star.sales(["product_category", "unit_price", "quantity", "total_amount"]))
+    keyed = {(r[0], r[1]): r for r in single.collect()}
+    for r in products.price_tiers(rows).collect():
+        other = keyed.pop((r[0], r[1]))
+        assert r["transaction_count"] == other["transaction_count"] and r["revenue"] == other["revenue"]
+        assert abs(r["avg_price"] - other["avg_price"]) < 1e-6
+    assert not keyed
+
+
+def test_approximate_quartiles_are_near_the_exact_ones(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).cast("double").alias("v"))
+    exact, near = (profiling.describe_numeric(df, ["v"], accuracy).first() for accuracy in (None, 1000))
+    for name in ("p25", "p50", "p75"):
+        assert abs(exact[name] - near[name]) <= 20_000 / 1000 * 1.5
+    assert (exact["count"], exact["min"], exact["max"]) == (near["count"], near["min"], near["max"])

@@ -171,6 +171,31 @@ def test_clusters_cover_every_customer(spark):
     assert len(profile) == 3 and sum(r["customers"] for r in profile) == found.count()
 
 
+def test_clusters_are_numbered_by_spend_and_keep_customers_without_features(spark):
+    import numpy as np
+
+    rows = [(i, f"2024-01-{1 + i % 28:02d} 00:00:00", 10.0 ** (i % 3) + i / 100) for i in range(90)]
+    rows += [(200, None, 5.0), (201, None, None)]
+    df = spark.createDataFrame(rows, "customer_id BIGINT, d STRING, total_amount DOUBLE").select(
+        "customer_id", F.to_timestamp_ntz("d").alias("transaction_date"), F.col("total_amount").cast("decimal(18,4)"))
+    found = [customers.customer_clusters(df, k=3, seed=seed, as_of=F.lit("2024-02-01").cast("date")).collect()
+             for seed in (1, 42)]
+    for got in found:
+        assert {r["customer_id"] for r in got if r["cluster"] is None} == {200, 201} and len(got) == 92
+        known = [r for r in got if r["cluster"] is not None]
+        x = np.array([[r["recency_days"], r["frequency"], r["monetary_value"]] for r in known])
+        own = np.array([r["cluster"] for r in known])
+        spends = [x[own == k, 2].mean() for k in range(3)]
+        assert spends == sorted(spends)
+        # Every customer is nearest to the mean of its own cluster, in standardised features.
+        spread = x.std(0)
+        z = (x - x.mean(0)) / np.where(spread > 0, spread, 1)
+        means = np.array([z[own == k].mean(0) for k in range(3)])
+        assert (((z[:, None] - means) ** 2).sum(2).argmin(1) == own).mean() > 0.97
+    empty = customers.customer_clusters(df.limit(0), as_of=F.lit("2024-02-01").cast("date"))
+    assert empty.count() == 0 and "cluster" in empty.columns
+
+
 def test_a_hot_join_key_is_split_over_tasks(spark, skewed_root):
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",

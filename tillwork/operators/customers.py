@@ -191,7 +191,11 @@ def segment_retention(sales: DataFrame) -> DataFrame:
 def customer_clusters(
     sales: DataFrame, k: int = 4, seed: int = 42, as_of: Column | None = None
 ) -> DataFrame:
-    """k-means over standardised recency, frequency and spend: customers with their cluster."""
+    """k-means over standardised recency, frequency and spend: customers with their cluster.
+
+    Clusters are numbered by mean spend from 0, then by mean frequency and recency, so
+    a number keeps its meaning from run to run. Customers who lack a feature have no cluster.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -199,17 +203,25 @@ def customer_clusters(
     from tillwork.sources.scratch import materialise
 
     features = ["recency_days", "frequency", "monetary_value"]
-    customers = customer_rfm(sales, as_of).dropna(subset=["customer_id", *features])
     # Each iteration reads the customers again, so write them once.
-    customers = materialise(
-        customers.select("customer_id", *[F.col(c).cast("double").alias(c) for c in features]), "rfm")
+    everyone = materialise(customer_rfm(sales, as_of).select(
+        "customer_id", *[F.col(c).cast("double").alias(c) for c in features]), "rfm")
+    known = everyone.dropna(subset=["customer_id", *features])
+    if known.isEmpty():
+        return everyone.withColumn("cluster", F.lit(None).cast("bigint"))
     model = Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
         KMeans(featuresCol="scaled", predictionCol="cluster", k=k, seed=seed),
-    ]).fit(customers)
-    return model.transform(customers).select(
-        "customer_id", *features, F.col("cluster").cast("bigint").alias("cluster"))
+    ]).fit(known)
+    found = materialise(model.transform(known).select("customer_id", *features, "cluster"), "clusters")
+    # One row for each cluster.
+    means = [r["cluster"] for r in found.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in features]).orderBy(
+        "monetary_value", "frequency", "recency_days", "cluster").collect()]
+    place = F.array_position(F.array(*map(F.lit, means)), F.col("cluster")) - 1
+    unknown = everyone.where(" OR ".join(f"{c} IS NULL" for c in ["customer_id", *features]))
+    return found.withColumn("cluster", place.cast("bigint")).unionByName(
+        unknown.withColumn("cluster", F.lit(None).cast("bigint")))
 
 
 def cluster_profile(clustered: DataFrame) -> DataFrame:

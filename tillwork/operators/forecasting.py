@@ -197,7 +197,9 @@ def additive_forecast(
             F.datediff("t", "first"), c("first"), c("n"), c("bends"))).alias("j", "x"))
         .groupBy("series_id", "j").agg(F.sum(c("x") * c("y")).alias("v"))
         .groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("j", "v")))["v"].alias("moment")))
-    fitted = facts.join(moments, "series_id").join(grams, ["first", "n"])
+    # A fit takes far longer than the shuffle of its row, so few series are spread too.
+    tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fitted = facts.join(moments, "series_id").join(grams, ["first", "n"]).repartition(tasks)
     fitted = fitted.withColumn("squares", c("squares") / (c("scale") * c("scale")))
     fitted = fitted.withColumn("beta", shape.fit(c("gram"), c("moment"), c("squares"), c("points"), c("n")))
     # The first feature is 1, so its sums give the mean residual.

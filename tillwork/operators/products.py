@@ -95,15 +95,27 @@ PRICE_TIERS = ((50, "Low Price"), (200, "Medium Price"))
 HIGHEST_PRICE_TIER = "High Price"
 
 
+def price_tier(
+    sales: DataFrame,
+    tiers: Sequence[tuple[float, str]] = PRICE_TIERS,
+    highest: str = HIGHEST_PRICE_TIER,
+) -> Column:
+    """The tier of a sale's unit price."""
+    return at_most(F.col("unit_price"), tiers, highest)
+
+
 def price_tiers(
     sales: DataFrame,
     tiers: Sequence[tuple[float, str]] = PRICE_TIERS,
     highest: str = HIGHEST_PRICE_TIER,
 ) -> DataFrame:
-    """Per category and price tier: sales, units, mean price, revenue."""
+    """Per category and price tier: sales, units, mean price, revenue.
+
+    ``sales`` may have a ``price_tier`` already, made by ``price_tier`` before they were summed.
+    """
+    tier = F.col("price_tier") if "price_tier" in sales.columns else price_tier(sales, tiers, highest)
     return (
-        sales.groupBy(
-            "product_category", at_most(F.col("unit_price"), tiers, highest).alias("price_tier"))
+        sales.groupBy("product_category", tier.alias("price_tier"))
         .agg(
             sale_count(sales).alias("transaction_count"),
             F.sum("quantity").alias("total_quantity"),

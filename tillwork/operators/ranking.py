@@ -96,7 +96,8 @@ def describe(df: DataFrame, columns: Sequence[str], probabilities: Sequence[floa
 
     Quantiles interpolate linearly between neighbouring values. Rows are first
     counted per (column, value), so a frequent value is one row from there on
-    and no task collects a column's values.
+    and no task collects a column's values. After the sort only the runs that hold
+    a wanted rank are opened; all else is sums over the sorted rows where they lie.
     """
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     counts = (
@@ -105,42 +106,63 @@ def describe(df: DataFrame, columns: Sequence[str], probabilities: Sequence[floa
         .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     )
     placed = _placed(counts, "column_name", [F.col("value")])
-    offsets = _offsets(placed, "column_name", F.col("n"))
-    means = placed.groupBy("column_name").agg(
-        ratio(F.sum(F.col("value") * F.col("n")), F.sum("n")).alias("mean"))
-    # One row per described column.
-    offsets = offsets.join(F.broadcast(means), "column_name")
-    within = (
-        Window.partitionBy("column_name", _TASK).orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    spread = placed.join(F.broadcast(offsets), ["column_name", _TASK]).withColumn(
-        "start", F.col("_before") + F.coalesce(F.sum("n").over(within), F.lit(0)))
-
-    def value_at(index: Column) -> Column:
-        holds = (F.col("start") <= index) & (index < F.col("start") + F.col("n"))
-        return F.max(F.when(holds, F.col("value")))
-
-    def quantile(p: float) -> Column:
-        target = (F.col("group_rows") - 1) * F.lit(float(p))
-        low = value_at(F.floor(target))
-        high = value_at(F.ceil(target))
-        part = F.first(target - F.floor(target))
-        return (low + (high - low) * part).alias(quantile_name(p))
-
-    squares = F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2))
-    stats = spread.groupBy("column_name").agg(
-        F.first("group_rows").alias("count"),
-        F.first("mean").alias("mean"),
-        F.sqrt(ratio(squares, F.first("group_rows") - 1)).alias("std"),
-        F.min("value").alias("min"),
-        *[quantile(p) for p in probabilities],
-        F.max("value").alias("max"),
-    )
+    # A row for each described column and sort task, written as it is read several times.
+    runs = materialise(_runs_of(placed), "runs")
+    totals = runs.groupBy("column_name").agg(
+        F.max("group_rows").alias("count"), ratio(F.sum("total"), F.max("group_rows")).alias("mean"),
+        F.min("low").alias("min"), F.max("high").alias("max"))
+    squares = placed.join(F.broadcast(totals.select("column_name", "mean")), "column_name").groupBy(
+        "column_name").agg(F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)).alias("squares"))
+    stats = totals.join(squares, "column_name").join(
+        _selected(placed, runs, probabilities), "column_name").select(
+        "column_name", "count", "mean", F.sqrt(ratio(F.col("squares"), F.col("count") - 1)).alias("std"),
+        "min", *[quantile_name(p) for p in probabilities], "max")
     # A column without values still gets its row.
     listed = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name STRING")
     return listed.join(stats, "column_name", "left").fillna(0, subset=["count"])
 
 
+def _runs_of(placed: DataFrame) -> DataFrame:
+    """Rows, sum, ends and rows before of each (column, task) run of counted values."""
+    runs = placed.groupBy("column_name", _TASK).agg(
+        F.sum("n").alias("_run"), F.sum(F.col("value") * F.col("n")).alias("total"),
+        F.min("value").alias("low"), F.max("value").alias("high"))
+    earlier = Window.partitionBy("column_name").orderBy(_TASK).rowsBetween(Window.unboundedPreceding, -1)
+    return runs.select(
+        "*", F.coalesce(F.sum("_run").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_run").over(Window.partitionBy("column_name")).alias("group_rows"))
+
+
+def _selected(placed: DataFrame, runs: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """The quantiles of each column, from the runs that hold their neighbouring ranks."""
+    def target(p: float) -> Column:
+        return (F.col("group_rows") - 1) * F.lit(float(p))
+
+    ranks = F.array(*[
+        F.struct(F.lit(quantile_name(p)).alias("name"), rank(target(p)).cast("bigint").alias("rank"),
+                 weight.alias("weight"))
+        for p in probabilities
+        for rank, weight in ((F.floor, 1 - (target(p) - F.floor(target(p)))), (F.ceil, target(p) - F.floor(target(p))))])
+    # Two ranks for each column and quantile.
+    wanted = runs.select("column_name", _TASK, "_before", "_run", F.inline(ranks)).where(
+        (F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("_run")))
+    opened = placed.select("column_name", _TASK, "value", "n").join(
+        F.broadcast(wanted.select("column_name", _TASK).distinct()), ["column_name", _TASK], "left_semi")
+    before = (
+        Window.partitionBy("column_name", _TASK).orderBy("value")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    met = opened.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).join(
+        F.broadcast(wanted), ["column_name", _TASK]).withColumn("within", F.col("rank") - F.col("_before"))
+    found = met.where((F.col("start") <= F.col("within")) & (F.col("within") < F.col("start") + F.col("n")))
+    ends = found.groupBy("column_name", "name").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"),
+        # The upper rank's weight; the lower one's is what is left of 1.
+        F.max_by("weight", F.struct("rank", "weight")).alias("upper"))
+    part = F.col("low") + (F.col("high") - F.col("low")) * F.when(F.col("low") < F.col("high"), F.col("upper")).otherwise(0.0)
+    return ends.groupBy("column_name").agg(
+        *[F.max(F.when(F.col("name") == quantile_name(p), part)).alias(quantile_name(p)) for p in probabilities])
+
+
 def quantile_name(p: float) -> str:
     return f"p{p * 100:g}".replace(".", "_")

@@ -8,21 +8,28 @@ from tillwork.operators import basket, customers, engagement, products, regions,
 from tillwork.plans.oracle import AS_OF, average, on_sales, quotient, rounded, total
 from tillwork.plans.registry import query
 from tillwork.plans.report_queries import MONTH, RFM_CTES
+from tillwork.plans.series_queries import recursive
 from tillwork.sources.star import Star
 
 
-# Item sets of up to four items; larger ones are rarer than the least support.
-_SETS = "\n  UNION ALL ".join(
-    "SELECT list_value({items}) AS items, COUNT(*) AS times FROM {tables} GROUP BY ALL "
-    "HAVING COUNT(*) >= (SELECT ceil(0.003 * n - 1e-9) FROM everyone)".format(
-        items=", ".join(f"b{i}.item" for i in range(size)),
-        tables="bought AS b0" + "".join(
-            f" JOIN bought AS b{i} ON b{i}.basket = b0.basket AND b{i}.item > b{i - 1}.item"
-            for i in range(1, size)))
-    for size in (1, 2, 3, 4))
+# Frequent sets with the baskets they are in: a set grows by an item behind its last one while it
+# stays frequent, so sets of any size are found.
+_SETS = """
+grown AS (
+  SELECT basket, [item] AS items, item AS last
+  FROM (SELECT *, COUNT(*) OVER (PARTITION BY item) AS times FROM bought) AS single
+  WHERE times >= (SELECT ceil(0.003 * n - 1e-9) FROM everyone)
+  UNION ALL
+  SELECT basket, items, last
+  FROM (
+    SELECT grown.basket, list_append(grown.items, bought.item) AS items, bought.item AS last,
+           COUNT(*) OVER (PARTITION BY list_append(grown.items, bought.item)) AS times
+    FROM grown JOIN bought ON bought.basket = grown.basket AND bought.item > grown.last) AS longer
+  WHERE times >= (SELECT ceil(0.003 * n - 1e-9) FROM everyone)
+)"""
 
 
-@query("market_basket_rules", on_sales(f"""
+@query("market_basket_rules", recursive(on_sales(f"""
 SELECT array_to_string(b.items, ' + ') AS antecedent, consequent,
        {rounded(quotient('whole.times', 'n'))} AS support,
        {rounded(quotient('whole.times', 'b.times'))} AS confidence,
@@ -35,7 +42,8 @@ WHERE {quotient('whole.times', 'b.times')} >= 0.05""", """
 bought AS (
   SELECT DISTINCT order_id AS basket, product_name AS item FROM sales
   WHERE order_id IS NOT NULL AND product_name IS NOT NULL
-)""", "everyone AS (SELECT COUNT(DISTINCT basket) AS n FROM bought)", f"sets AS ({_SETS})"))
+)""", "everyone AS (SELECT COUNT(DISTINCT basket) AS n FROM bought)", _SETS,
+    "sets AS (SELECT items, COUNT(*) AS times FROM grown GROUP BY items)")))
 def market_basket_rules(star: Star):
     return basket.market_basket_rules(star.sales(["order_id", "product_name"]))
 

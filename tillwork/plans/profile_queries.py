@@ -5,6 +5,7 @@ from __future__ import annotations
 from tillwork.operators import customers, profiling, sales
 from tillwork.plans.oracle import average, half_even_cents, on_sales, quotient, rounded, total
 from tillwork.plans.registry import query
+from tillwork.sources.sales_files import with_amounts
 from tillwork.sources.star import SALES_COLUMNS, Star
 
 COLUMN_LIST = ", ".join(SALES_COLUMNS)
@@ -27,27 +28,23 @@ FROM (SELECT CAST({c} AS DOUBLE) AS v FROM {table}) AS t"""
         for c in columns)
 
 
-@query("sales_view", on_sales(f"""
-SELECT product_category, sales_channel, region, customer_segment, COUNT(*) AS row_count,
-       CAST(SUM(transaction_id) AS BIGINT) AS id_total, {total('profit')} AS profit
-FROM sales GROUP BY 1, 2, 3, 4"""))
-def sales_view(star: Star):
-    # The whole view, summed up by its text columns to keep the comparison short.
-    from pyspark.sql import functions as F
+_MEASURES = ("unit_price", "discount_percent", "total_amount", "profit_margin", "profit")
+
 
-    return star.sales().groupBy(
-        "product_category", "sales_channel", "region", "customer_segment"
-    ).agg(
-        F.count(F.lit(1)).alias("row_count"), F.sum("transaction_id").alias("id_total"),
-        F.sum("profit").alias("profit"),
-    )
+@query("sales_view", on_sales("SELECT " + ", ".join(
+    f"{rounded(c)} AS {c}" if c in _MEASURES else c for c in SALES_COLUMNS) + " FROM sales"))
+def sales_view(star: Star):
+    return star.sales()
 
 
 @query("derive_amounts", on_sales(f"""
-SELECT order_id, transaction_id, {rounded('total_amount')} AS total_amount,
-       {rounded('profit')} AS profit FROM sales"""))
+SELECT order_id, transaction_id,
+       {rounded('CAST(quantity * unit_price * (1 - discount_percent / 100) AS DECIMAL(18,4))')} AS total_amount,
+       {rounded('CAST(quantity * unit_price * (1 - discount_percent / 100) AS DECIMAL(18,4)) * profit_margin')} AS profit
+FROM sales"""))
 def derive_amounts(star: Star):
-    return star.sales(["order_id", "transaction_id", "total_amount", "profit"])
+    raw = star.sales(["order_id", "transaction_id", "quantity", "unit_price", "discount_percent", "profit_margin"])
+    return with_amounts(raw).select("order_id", "transaction_id", "total_amount", "profit")
 
 
 @query("dataset_shape", on_sales(f"""
@@ -111,8 +108,8 @@ SELECT {total('total_amount')} AS total_revenue, {average('total_amount')} AS av
        {average('discount_percent')} AS avg_discount, COUNT(*) AS total_transactions
 FROM sales"""))
 def business_metrics(star: Star):
-    return profiling.business_metrics(star.summed(
-        ["customer_id", "product_name"], ["total_amount", "discount_percent"]))
+    return profiling.business_metrics(
+        star.summed(["customer_id"], ["total_amount", "discount_percent"]), star.summed(["product_name"]))
 
 
 @query("category_revenue", on_sales(f"""

@@ -198,5 +198,8 @@ SELECT product_category,
        {average('unit_price')} AS avg_price, {total('total_amount')} AS revenue
 FROM sales GROUP BY 1, 2"""))
 def price_tiers(star: Star):
-    return products.price_tiers(
-        star.sales(["product_category", "unit_price", "quantity", "total_amount"]), PRICE_TIERS)
+    # Summed by part and tier before the join with the parts.
+    rows = star.summed(
+        ["product_category"], ["unit_price", "quantity", "total_amount"],
+        {"price_tier": lambda sales: products.price_tier(sales, PRICE_TIERS)})
+    return products.price_tiers(rows, PRICE_TIERS)

@@ -227,20 +227,17 @@ placed AS (
 )"""
 
 
-@query("time_series_split", on_sales("""
-SELECT series_id, fold, role, COUNT(*) AS row_count, MIN(t) AS first_t, MAX(t) AS last_t
+@revenue_query("time_series_split", on_sales(f"""
+SELECT series_id, t, {rounded('y')} AS y, fold, role
 FROM (
-  SELECT series_id, t, CAST(fold AS BIGINT) AS fold,
+  SELECT series_id, t, y, CAST(fold AS BIGINT) AS fold,
          CASE WHEN pos < n - (3 - fold) * (n // 4) THEN 'train'
               WHEN pos < n - (2 - fold) * (n // 4) THEN 'test' END AS role
   FROM placed CROSS JOIN (SELECT unnest(generate_series(0, 2)) AS fold) AS folds
 ) AS split
-WHERE role IS NOT NULL GROUP BY 1, 2, 3""", *SERIES, PLACED))
+WHERE role IS NOT NULL""", *SERIES, PLACED))
 def time_series_split(star: Star):
-    from pyspark.sql import functions as F
-
-    return series.time_series_split(by_region(star)).groupBy("series_id", "fold", "role").agg(
-        F.count(F.lit(1)).alias("row_count"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    return series.time_series_split(by_region(star))
 
 
 @revenue_query("holdout_split", on_sales(f"""

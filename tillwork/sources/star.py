@@ -11,7 +11,7 @@ adaptive execution splits a key that holds a large part of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
@@ -104,11 +104,15 @@ class Star:
         columns = list(SALES_COLUMNS if columns is None else dict.fromkeys(columns))
         return self._joined(columns).select(*[self._column(name) for name in columns])
 
-    def summed(self, keys: Iterable[str], sums: Sequence[str] = ()) -> DataFrame:
+    def summed(
+        self, keys: Iterable[str], sums: Sequence[str] = (), labels: Mapping[str, Callable[[DataFrame], Column]] | None = None,
+    ) -> DataFrame:
         """Sales added up by ``keys`` or finer, at every size of the tables.
 
         ``sums`` names columns to add up; each comes with the number of its values
         (``<name>_rows``), and ``row_count`` is the number of sales in a row.
+        ``labels`` are further keys, such as a tier: name -> a function that makes it of
+        the columns to add up.
 
         Line items are summed before they are joined: by order or part where the
         keys come from that chain, so map tasks combine rows, the join handles one
@@ -122,7 +126,8 @@ class Star:
         needs_customer = any(name in CUSTOMER_COLUMNS for name in keys)
         needs_order = needs_customer or any(name in ORDER_COLUMNS for name in keys)
         added = [*sums, *[value_rows(name) for name in sums], ROW_COUNT]
-        if needs_order != needs_part and not any(name in LINE_COLUMNS for name in keys):
+        labels = labels or {}
+        if needs_order != needs_part and not labels and not any(name in LINE_COLUMNS for name in keys):
             facts = self._partial_sums(keys, sums, needs_order, needs_customer)
             return facts.select(*[self._column(name) for name in keys], *added)
 
@@ -130,11 +135,12 @@ class Star:
         facts = self._with_order(self.table("lineitem"), needs_customer) if needs_order else self.table("lineitem")
         rows = facts.select(
             *[self._column(name) for name in [*fact_keys, *sums]], *(["l_partkey"] if needs_part else []))
-        grouped = self._added_up(rows.groupBy(*fact_keys, *(["l_partkey"] if needs_part else [])), sums)
+        rows = rows.withColumns({name: label(rows) for name, label in labels.items()})
+        grouped = self._added_up(rows.groupBy(*fact_keys, *labels, *(["l_partkey"] if needs_part else [])), sums)
         if not needs_part:
-            return grouped.select(*keys, *added)
+            return grouped.select(*keys, *labels, *added)
         parts = [self._column(name) for name in keys if name in PART_COLUMNS]
-        return self._with_part(grouped).select(*fact_keys, *parts, *added).select(*keys, *added)
+        return self._with_part(grouped).select(*fact_keys, *labels, *parts, *added).select(*keys, *labels, *added)
 
     def _joined(self, columns: Sequence[str]) -> DataFrame:
         facts = self.table("lineitem")
