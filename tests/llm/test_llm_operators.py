@@ -28,7 +28,7 @@ from tillwork.llm.merkle import audit, manifest
 from tillwork.llm.packing import cut_documents, pack, plan
 from tillwork.llm.secret_scan import all_spans, redacted, scan, without_secrets
 from tillwork.llm.text import alnum_words
-from tillwork.llm.tokens import RunEncoder, vocabulary_path
+from tillwork.llm.tokens import vocabulary_path, with_ends
 from tillwork.llm.training_order import permuted, read_shards, write_shards
 from tillwork.sources.scratch import new_path
 
@@ -84,13 +84,11 @@ def ids_of(text):
     return [*Tokenizer.from_file(vocabulary_path()).encode(text or "", add_special_tokens=False).ids, 0]
 
 
-def test_run_encoder_is_the_tokenizer():
-    texts = ["", "It's a DON'T. x\x1cy a\x85b", "é. é… 12 <|endoftext|>x ***", "K" * 50, "a.b. c-- d's e's f!'s h'll a|>."]
-    for bound in (2, 1000):
-        encoder = RunEncoder(vocabulary_path(), cache_runs=bound)
-        for _ in range(3):
-            ids, ends = encoder.encode([t.encode() for t in texts])
-            assert [ids[a:b].tolist() for a, b in zip([0, *ends], ends)] == [ids_of(t) for t in texts]
+def test_ends_stand_behind_every_text():
+    ids, ends = np.array([5, 6, 7]), np.array([0, 2, 2, 3])
+    found, at = with_ends(ids, ends, 0)
+    assert found.tolist() == [0, 5, 6, 0, 0, 7, 0] and at.tolist() == [1, 4, 5, 7]
+    assert with_ends(ids, ends, None)[0].tolist() == [5, 6, 7]
 
 
 def test_pieces_are_whole_and_sequences_gapless(docs, empty):
@@ -137,14 +135,20 @@ def test_permutation_is_one_to_one_and_keyed():
 def test_shards_round_trip_and_resume(spark, docs, empty):
     path = new_path(spark, "shards")
     count = write_shards(docs, path, size=64, per_block=4, per_shard=16)
-    rows = read_shards(spark.read.parquet(path), 64, per_shard=16).collect()
+    rows = read_shards(spark.read.parquet(path), 64, per_shard=16, per_block=4).collect()
     assert sorted(r["slot"] for r in rows) == list(range(count))
     for doc_id, text in {(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in (None, 1, 7, 10)}:
         pieces = sorted((r for r in rows if r["doc_id"] == doc_id), key=lambda r: r["piece"])
         ids = np.array(ids_of(text), "<u4")
         assert [r["ids_crc32"] for r in pieces] == [zlib.crc32(ids[k:k + 64].tobytes()) for k in range(0, len(ids), 64)]
-    later = read_shards(spark.read.parquet(path), 64, per_shard=16, from_slot=count - 7)
-    assert sorted(r["slot"] for r in later.collect()) == list(range(count - 7, count))
+    for start in (count - 7, count - 1, 5, 0, count):
+        later = read_shards(spark.read.parquet(path), 64, per_shard=16, from_slot=start, per_block=4)
+        assert sorted(r["slot"] for r in later.collect()) == list(range(start, count))
+    # The filters are plain comparisons, by which row groups are passed over.
+    plan = later._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(first_slot" in plan and "GreaterThanOrEqual(shard" in plan
+    with pytest.raises(ValueError, match="do not fit"):
+        write_shards(empty, new_path(spark, "shards"), id_type="<u1")
     again = new_path(spark, "shards")
     assert write_shards(empty, again) == 0
     assert read_shards(spark.read.parquet(again)).count() == 0
@@ -378,6 +382,33 @@ def test_vectors(spark):
     assert similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_several_lengths_link_within_their_own(spark):
+    """Near and exact copies among 8, 4 and 1 numbers, and a length that one vector has alone."""
+    chance = np.random.default_rng(9)
+    vectors = {}
+    for length, count in ((8, 20), (4, 10), (1, 3), (6, 1)):
+        base = chance.normal(size=(count, length))
+        base[count // 2:] = base[:count - count // 2] * 2 + chance.normal(size=(count - count // 2, length)) * 0.05
+        for v in base:
+            vectors[len(vectors)] = v
+    extra = [(50, [0.0] * 4), (51, [0.0] * 8)]
+    # Columns with the result's names are left out.
+    rows = [(i, [float(x) for x in v], 7, 7) for i, v in vectors.items()] + [(i, v, 7, 7) for i, v in extra]
+    got = {r["vec_id"]: r for r in similar_vectors(spark.createDataFrame(
+        rows, "vec_id long, embedding array<double>, n_links int, component_id int")).collect()}
+
+    def alike(a, b):
+        return len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9
+
+    links = {i: [j for j in vectors if j != i and alike(vectors[i], vectors[j])] for i in vectors}
+    label = {i: i for i in vectors}
+    for _ in range(len(vectors)):
+        label = {i: min([label[i], *(label[j] for j in links[i])]) for i in vectors}
+    assert {i: (got[i]["n_links"], got[i]["component_id"]) for i in vectors} == {
+        i: (len(links[i]), label[i]) for i in vectors}
+    assert sum(map(len, links.values())) >= 30 and got[50]["n_links"] == got[51]["n_links"] == 0
+
+
 def test_audit_finds_all_kinds_of_fault(spark):
     pages = spark.createDataFrame(
         [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(3000)] + [(5, None, None), (None, "u", "h"), (5, None, None)],

@@ -15,9 +15,12 @@ Axes are those of the covariance of all vectors; any axes give the same result.
 Without structure on the leading axes nothing can be skipped and the work is the
 square of the vectors; see the README for figures.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold
-null or non-finite numbers link with nothing, as do those without an id. Rows of
-one id count as vectors of their own, but share a component.
+Vectors of different lengths never link; each length has axes, blocks and pairs of its
+own, and so its own jobs.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite numbers link
+with nothing, as do those without an id. Rows of one id count as vectors of their
+own, but share a component.
 """
 
 from __future__ import annotations
@@ -285,12 +288,23 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     usable = F.col("vec_id").isNotNull() & _valid(F.col("embedding"))
     rows = rows.withColumn("embedding", F.when(usable, F.col("embedding")))
-    sizes = rows.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("size")).count()
-    most = sizes.orderBy(F.desc("count"), "size").first()
-    if most is None:
+    # A row for each length; a length that one vector has alone links with nothing.
+    sizes = rows.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("size")).count().where(
+        "count > 1").orderBy("size").collect()
+    if not sizes:
         return rows.select("vec_id", *_labels(F.lit(0), F.lit(None)))
-    size = most["size"]
-    good = rows.where(F.size("embedding") == size)
+    counted, linked = None, None
+    for size in (r["size"] for r in sizes):
+        counts, links = _of_length(rows.where(F.size("embedding") == size), size, cosine, kind)
+        counted = counts if counted is None else counted.union(counts)
+        linked = links if linked is None else linked.union(links)
+    groups = components(linked)
+    labelled = rows.join(counted, "embedding", "left").join(groups.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    return labelled.select("vec_id", *_labels(F.coalesce("n_links", F.lit(0)), F.col("component")))
+
+
+def _of_length(good: DataFrame, size: int, cosine: float, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Links of each distinct vector of one length (``embedding, n_links``), and links that join ids (``a, b``)."""
     # Whole classes of equal vectors; the key tells classes apart that share an id.
     classes = materialise(
         good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
@@ -301,12 +315,10 @@ def similar_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     pairs = _block_pairs(blocks, epsilon, axes.shape[1])
     found = _compared(pairs, blocks, axes, epsilon, cosine, kind)
     links = found.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n"))
-    groups = components(found.where("a IS NOT NULL").select("a", "b").union(
-        good.join(classes.where("copies > 1"), "embedding").select(F.col("id").alias("a"), F.col("vec_id").alias("b"))))
     counted = classes.join(links, "key", "left").select(
         "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    labelled = rows.join(counted, "embedding", "left").join(groups.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    return labelled.select("vec_id", *_labels(F.coalesce("n_links", F.lit(0)), F.col("component")))
+    copies = good.join(classes.where("copies > 1"), "embedding").select(F.col("id").alias("a"), F.col("vec_id").alias("b"))
+    return counted, found.where("a IS NOT NULL").select("a", "b").union(copies)
 
 
 def _labels(links: Column, component: Column) -> list[Column]:

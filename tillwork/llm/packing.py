@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwork.llm.text import documents_of, slices, task_number
-from tillwork.llm.tokens import VOCABULARY, RunEncoder, vocabulary_path
+from tillwork.llm.rank_bpe import encoder
+from tillwork.llm.text import documents_of, slices, task_number, tidy
+from tillwork.llm.tokens import VOCABULARY, with_ends
 from tillwork.sources.scratch import materialise
 
 CAPACITY = 2048
@@ -49,10 +50,10 @@ def cut_documents(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = RunEncoder(vocabulary_path(vocabulary))
+        known = encoder(vocabulary)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in slices(batches, "text", 2_000_000):
-            ids, ends = encoder.encode(batch.column("text").to_pylist(), end)
+            ids, ends = with_ends(*known.encode(batch.column("text").to_pylist()), end)
             sizes = np.diff(ends, prepend=0)
             pieces = -(-sizes // capacity)
             owner = np.repeat(np.arange(len(sizes)), pieces)
@@ -71,7 +72,7 @@ def cut_documents(
                 pa.array(_places(length, seen), pa.int64()),
             ], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "place"])
 
-    return materialise(documents_of(docs).mapInArrow(cut, PIECES), "pieces")
+    return materialise(documents_of(docs).mapInArrow(tidy(cut), PIECES), "pieces")
 
 
 def _places(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -183,4 +184,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     types = dict(pieces.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(look_up, schema)
+    return ranked.mapInArrow(tidy(look_up), schema)

@@ -276,6 +276,12 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary_path(vocabulary))
 
 
+@cache
+def vocabulary_size(vocabulary: str) -> int:
+    """One more than the largest id."""
+    return len(_tokens(vocabulary)) - 1
+
+
 @cache
 def _tokens(vocabulary: str) -> pa.Array:
     """The token of each id, and a null behind them."""

@@ -1,24 +1,10 @@
-"""Token ids of whole texts from a public tokenizer's vocabulary file.
-
-The tokenizer drops white space and never merges across it, so a text's ids are
-those of its blank-separated runs in order. Runs repeat; each distinct run is
-encoded once and kept in a table; when that grows past a bound, runs met only once
-or twice are dropped from it. It
-lower-cases too, so runs that differ only in A-Z share an entry; texts that may
-hold a special token's name, which is matched in its own case, stay as they are.
-"""
+"""The public tokenizer's vocabulary file, and texts as token streams."""
 
 from __future__ import annotations
 
-import os
-from itertools import chain
-
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_RUNS = 450_000
-_TOGETHER = 64
-_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -28,114 +14,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class RunEncoder:
-    """Encodes texts run by run; one per task."""
-
-    def __init__(self, path: str, cache_runs: int = CACHE_RUNS) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        vocabulary = self._tokenizer.get_vocab()
-        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._cache_runs = cache_runs
-        self._reset()
-
-    def _reset(self) -> None:
-        self._number: dict[bytes, int] = {}
-        self._ids = np.zeros(1 << 16, np.uint32)
-        self._starts = np.zeros(1 << 16, np.int64)
-        self._lengths = np.zeros(1 << 16, np.int64)
-        self._uses = np.zeros(1 << 16, np.int64)
-        self._runs = self._used = 0
-
-    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in encoded]
-
-    def _prune(self) -> None:
-        """Keep the runs met most, half the bound at most."""
-        uses = self._uses[:self._runs]
-        least = max(3, int(np.sort(uses)[-min(self._cache_runs // 2, len(uses))]) + 1)
-        kept = np.flatnonzero(uses >= least)
-        names = list(self._number)
-        runs, counts = [names[i] for i in kept.tolist()], uses[kept]
-        ids, lengths = self._ids_of(kept)
-        self._reset()
-        self._add(runs, ids, lengths)
-        self._uses[:len(runs)] = counts // 2
-
-    def _learn(self, runs: list[bytes]) -> None:
-        # A run of letters a-z is one word to the tokenizer: many are encoded as one text
-        # and told apart by the ids that end a word. Marks behind one are a word of their own.
-        known = self._number
-        words, rest, marked = set(), set(), []
-        for run in runs:
-            core = run.rstrip(_MARKS)
-            if not (core.isalpha() and core.isascii()):
-                rest.add(run)
-            elif len(core) == len(run):
-                words.add(run)
-            else:
-                marked.append((run, core, run[len(core):]))
-        words.update(core for _, core, _ in marked if core not in known)
-        rest.update(marks for _, _, marks in marked if marks not in known)
-        ordered, others = list(words), list(rest)
-        ids = np.concatenate([np.zeros(0, np.uint32), *self._encoded([
-            b" ".join(ordered[k:k + _TOGETHER]).decode() for k in range(0, len(ordered), _TOGETHER)])])
-        self._add(ordered, ids, np.diff(np.flatnonzero(self._ends_word[ids]) + 1, prepend=0))
-        encoded = self._encoded([run.decode("utf-8", "replace") for run in others])
-        self._add(others, np.concatenate([np.zeros(0, np.uint32), *encoded]),
-                  np.fromiter(map(len, encoded), np.int64, len(encoded)))
-        parts = np.fromiter((known[x] for _, core, marks in marked for x in (core, marks)),
-                            np.int64, 2 * len(marked))
-        ids, lengths = self._ids_of(parts)
-        self._add([run for run, _, _ in marked], ids, lengths.reshape(-1, 2).sum(1))
-
-    def _add(self, runs: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self._ids = _fit(self._ids, self._used, len(ids))
-        self._starts = _fit(self._starts, self._runs, len(runs))
-        self._lengths = _fit(self._lengths, self._runs, len(runs))
-        self._uses = _fit(self._uses, self._runs, len(runs))
-        self._ids[self._used:self._used + len(ids)] = ids
-        self._starts[self._runs:self._runs + len(runs)] = self._used + np.cumsum(lengths) - lengths
-        self._lengths[self._runs:self._runs + len(runs)] = lengths
-        self._number.update(zip(runs, range(self._runs, self._runs + len(runs)), strict=True))
-        self._runs += len(runs)
-        self._used += len(ids)
-
-    def _ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = self._lengths[numbers]
-        before = np.cumsum(lengths) - lengths
-        places = np.repeat(self._starts[numbers] - before, lengths) + np.arange(int(lengths.sum()))
-        return self._ids[places], lengths
-
-    def encode(self, texts: list[bytes], end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after another, and where each text ends.
-
-        ``end`` is put after each text; with None nothing is.
-        """
-        if self._runs > self._cache_runs:
-            self._prune()
-        split = [text.split() if b"<|" in text else text.lower().split() for text in texts]
-        flat = list(chain.from_iterable(split))
-        new = [run for run in set(flat) if run not in self._number]
-        if new:
-            self._learn(new)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        runs = np.fromiter(map(self._number.__getitem__, flat), np.int64, len(flat))
-        self._uses[:self._runs] += np.bincount(runs, minlength=self._runs)
-        ids, lengths = self._ids_of(runs)
-        upto = np.r_[0, np.cumsum(lengths)][np.cumsum(counts)]
-        if end is None:
-            return ids, upto
-        return np.insert(ids, upto, end), upto + np.arange(1, len(texts) + 1)
-
-
-def _fit(array: np.ndarray, used: int, more: int) -> np.ndarray:
-    if used + more <= len(array):
-        return array
-    grown = np.zeros(max(2 * len(array), used + more), array.dtype)
-    grown[:used] = array[:used]
-    return grown
+def with_ends(ids: np.ndarray, ends: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts with ``end`` behind each text, or as they are, and where each text ends."""
+    if end is None:
+        return ids, ends
+    return np.insert(ids, ends, end), ends + np.arange(1, len(ends) + 1)

@@ -4,8 +4,9 @@ Every piece of every document gets a number: those of its task before it, and
 those of the tasks before. A keyed Feistel network permutes the numbers below the
 next power of four; a number that lands outside is sent through again until it is
 inside (cycle walking). So each piece has its own slot below the count of pieces,
-found without a sort, a table or a random number, and the same key gives the same
-order again.
+found without a sort, a table or a random number. The same key gives the same
+order again for the same files read in the same splits; another split numbers the
+pieces anew.
 
 Slot ``s`` lies in shard ``s // per_shard``. Shards are range partitions of the
 slots; a row is a block of ``per_block`` records of ``stride`` bytes each: length,
@@ -24,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwork.llm.text import documents_of, slices, task_number
-from tillwork.llm.tokens import VOCABULARY, RunEncoder, vocabulary_path
+from tillwork.llm.rank_bpe import encoder, vocabulary_size
+from tillwork.llm.text import documents_of, slices, task_number, tidy
+from tillwork.llm.tokens import VOCABULARY, with_ends
 from tillwork.sources.scratch import new_path
 
 SEQUENCE = 1024
@@ -36,6 +39,7 @@ PER_BLOCK = 64
 PER_SHARD = 4096
 KEY = 0x5DEECE66D
 ROUNDS = 6
+_ROWS = 1000
 HEAD = np.dtype([("length", "<u4"), ("piece", "<u4"), ("doc_id", "<i8")])
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -66,10 +70,10 @@ PIECES = "task long, place long, doc_id long, piece int, length int, ids binary"
 
 def _pieces(docs: DataFrame, size: int, vocabulary: str, id_type: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = RunEncoder(vocabulary_path(vocabulary))
+        known = encoder(vocabulary)
         placed = 0
         for batch in slices(batches, "text", 2_000_000):
-            ids, ends = encoder.encode(batch.column("text").to_pylist(), 0)
+            ids, ends = with_ends(*known.encode(batch.column("text").to_pylist()), 0)
             sizes = np.diff(ends, prepend=0)
             pieces = -(-sizes // size)
             owner = np.repeat(np.arange(len(sizes)), pieces)
@@ -88,7 +92,7 @@ def _pieces(docs: DataFrame, size: int, vocabulary: str, id_type: str) -> DataFr
 
     spark = docs.sparkSession
     path = new_path(spark, "sequences")
-    documents_of(docs).mapInArrow(cut, PIECES).write.option("compression", "zstd").parquet(path)
+    documents_of(docs).mapInArrow(tidy(cut), PIECES).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(PIECES).parquet(path)
 
 
@@ -100,6 +104,8 @@ def write_shards(
 
     Returns the number of sequences. A shard's rows are in order of its blocks.
     """
+    if vocabulary_size(vocabulary) > 1 << 8 * np.dtype(id_type).itemsize:
+        raise ValueError(f"the ids of {vocabulary} do not fit {id_type}")
     spark = docs.sparkSession
     pieces = _pieces(docs, size, vocabulary, id_type)
     # One row for each task that read documents.
@@ -120,33 +126,50 @@ def write_shards(
     stride = HEAD.itemsize + size * width
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for record in zip(*(batch.column(c).to_pylist() for c in ("slot", "doc_id", "piece", "length", "ids")), strict=True):
-                if held and held[0][0] // per_block != record[0] // per_block:
-                    yield _block(held, stride, per_block, per_shard)
-                    held = []
-                held.append(record)
-        if held:
-            yield _block(held, stride, per_block, per_shard)
-
-    slotted = numbered.mapInArrow(place, "shard long, slot long, doc_id long, piece int, length int, ids binary")
+        # The rows of the last block so far, which may go on in the next batch.
+        slots, rows = np.zeros(0, np.int64), np.zeros((0, stride), np.uint8)
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(start, _ROWS)
+                slots = np.r_[slots, batch.column("slot").to_numpy()]
+                rows = np.concatenate([rows, _records(batch, size * width, stride)])
+                ends = np.flatnonzero(np.diff(slots // per_block)) + 1
+                if len(ends):
+                    yield _blocks(slots[:ends[-1]], rows[:ends[-1]], ends, per_block, per_shard)
+                    slots, rows = slots[ends[-1]:], rows[ends[-1]:]
+        if len(slots):
+            yield _blocks(slots, rows, np.array([len(slots)]), per_block, per_shard)
+
+    slotted = numbered.mapInArrow(tidy(place), "shard long, slot long, doc_id long, piece int, length int, ids binary")
     parts = max(1, -(-count // per_shard))
     dealt = slotted.repartitionByRange(min(parts, 20_000), "shard").sortWithinPartitions("slot")
-    dealt.mapInArrow(blocks, "shard long, block long, first_slot long, records int, payload binary").write.option(
+    dealt.mapInArrow(tidy(blocks), "shard long, block long, first_slot long, records int, payload binary").write.option(
         "compression", "zstd").parquet(path)
     return count
 
 
-def _block(records: list[tuple], stride: int, per_block: int, per_shard: int) -> pa.RecordBatch:
-    first = records[0][0]
-    payload = bytearray(stride * len(records))
-    for place, (_, doc_id, piece, length, ids) in enumerate(records):
-        head = np.array([(length, piece, -1 if doc_id is None else doc_id)], HEAD).tobytes()
-        payload[place * stride:place * stride + len(head) + len(ids)] = head + ids
+def _records(batch: pa.RecordBatch, ids_bytes: int, stride: int) -> np.ndarray:
+    """The records of a batch, a row of ``stride`` bytes each."""
+    head = np.zeros(batch.num_rows, HEAD)
+    for name in ("length", "piece"):
+        head[name] = batch.column(name).to_numpy()
+    head["doc_id"] = pc.fill_null(batch.column("doc_id"), -1).to_numpy()
+    ids = batch.column("ids").to_pylist()
+    rows = np.zeros((batch.num_rows, stride), np.uint8)
+    rows[:, :HEAD.itemsize] = head.view(np.uint8).reshape(-1, HEAD.itemsize)
+    filled = np.arange(ids_bytes) < np.fromiter(map(len, ids), np.int64, len(ids))[:, None]
+    rows[:, HEAD.itemsize:][filled] = np.frombuffer(b"".join(ids), np.uint8)
+    return rows
+
+
+def _blocks(slots: np.ndarray, rows: np.ndarray, ends: np.ndarray, per_block: int, per_shard: int) -> pa.RecordBatch:
+    """The blocks that end at ``ends``, one row each."""
+    starts = np.r_[0, ends[:-1]]
+    first = slots[starts]
     return pa.RecordBatch.from_arrays(
-        [pa.array([first // per_shard]), pa.array([first % per_shard // per_block]), pa.array([first]),
-         pa.array([len(records)], pa.int32()), pa.array([bytes(payload)], pa.binary())],
+        [pa.array(first // per_shard), pa.array(first % per_shard // per_block), pa.array(first),
+         pa.array((ends - starts).astype(np.int32)),
+         pa.array([rows[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())],
         names=["shard", "block", "first_slot", "records", "payload"])
 
 
@@ -154,31 +177,35 @@ RECORDS = "slot long, shard long, byte_offset long, doc_id long, piece int, leng
 
 
 def read_shards(shards: DataFrame, size: int = SEQUENCE, id_type: str = "<u2", per_shard: int = PER_SHARD,
-                from_slot: int = 0) -> DataFrame:
+                from_slot: int = 0, per_block: int = PER_BLOCK) -> DataFrame:
     """The records of written shards from ``from_slot`` on, read from their payload.
 
     ``byte_offset`` is the record's place in its shard; ``ids_crc32`` is over the
-    ids as little-endian unsigned 32-bit numbers.
+    ids as little-endian unsigned 32-bit numbers. Earlier shards and blocks are passed over by
+    the files' own statistics.
     """
-    width = np.dtype(id_type).itemsize
-    stride = HEAD.itemsize + size * width
+    stride = HEAD.itemsize + size * np.dtype(id_type).itemsize
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for first, payload in zip(batch.column("first_slot").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                for place in range(max(0, from_slot - first), len(payload) // stride):
-                    at = place * stride
-                    length, piece, doc_id = np.frombuffer(payload, HEAD, 1, at)[0].tolist()
-                    ids = np.frombuffer(payload, id_type, length, at + HEAD.itemsize).astype("<u4")
-                    slot = first + place
-                    rows.append((slot, slot // per_shard, slot % per_shard * stride, None if doc_id == -1 else doc_id,
-                                 piece, length, zlib.crc32(ids.tobytes())))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=[part.split()[0] for part in RECORDS.split(", ")])
+                skipped = max(0, from_slot - first)
+                rows = np.frombuffer(payload, np.uint8).reshape(-1, stride)[skipped:]
+                if len(rows):
+                    yield _parsed(rows, first + skipped, id_type, per_shard, stride)
 
-    later = shards.where(F.col("first_slot") + F.col("records") > from_slot)
-    return later.select("first_slot", "payload").mapInArrow(parse, RECORDS)
+    later = shards.where((F.col("shard") >= from_slot // per_shard) & (F.col("first_slot") > from_slot - per_block))
+    return later.select("first_slot", "payload").mapInArrow(tidy(parse), RECORDS)
+
+
+def _parsed(rows: np.ndarray, first: int, id_type: str, per_shard: int, stride: int) -> pa.RecordBatch:
+    head = np.ascontiguousarray(rows[:, :HEAD.itemsize]).view(HEAD)[:, 0]
+    ids = np.ascontiguousarray(rows[:, HEAD.itemsize:]).view(id_type).astype("<u4")
+    slots = first + np.arange(len(rows))
+    lengths = head["length"].tolist()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(slots), pa.array(slots // per_shard), pa.array(slots % per_shard * stride),
+         pa.array(head["doc_id"], mask=head["doc_id"] == -1), pa.array(head["piece"].astype(np.int32)),
+         pa.array(head["length"].astype(np.int32)),
+         pa.array([zlib.crc32(row[:n]) for row, n in zip(ids, lengths, strict=True)], pa.int64())],
+        names=[part.split()[0] for part in RECORDS.split(", ")])
