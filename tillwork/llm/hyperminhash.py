@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.llm.components import components
-from tillwork.llm.text import documents_of, slices, spaced_words
+from tillwork.llm.text import documents_of, slices, spaced_words, tidy
 from tillwork.llm.wanted import with_ids
 from tillwork.sources.scratch import materialise
 
@@ -154,7 +154,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                  pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())],
                 names=["doc_id", "n_shingles", "set_key", "coarse", "fine"])
 
-    return materialise(documents_of(docs).mapInArrow(sketch, SKETCHES), "sketches")
+    return materialise(documents_of(docs).mapInArrow(tidy(sketch), SKETCHES), "sketches")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def _bands(classes: DataFrame) -> DataFrame:
                 [pa.array(values[values != 0].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(ids[row])],
                 names=["band", "place", "id"])
 
-    return classes.select("id", "coarse").mapInArrow(emit, "band long, place int, id long")
+    return classes.select("id", "coarse").mapInArrow(tidy(emit), "band long, place int, id long")
 
 
 def _band_values(sketch: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(keep, "a long, b long")
+    return joined.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(tidy(keep), "a long, b long")
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -208,7 +208,7 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array(found, pa.binary())], names=["id", "shingles"])
 
     chosen = with_ids(documents_of(docs), ids, "doc_id")
-    return materialise(chosen.mapInArrow(sets, "id long, shingles binary"), "shingle-sets")
+    return materialise(chosen.mapInArrow(tidy(sets), "id long, shingles binary"), "shingle-sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -229,7 +229,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     sets = _shingle_sets(docs, materialise(ids, "pair-ids"), words)
     a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     tested = pairs.join(a, "a").join(b, "b").select("a", "b", "s_a", "s_b")
-    return materialise(tested.mapInArrow(test, "a long, b long"), "links")
+    return materialise(tested.mapInArrow(tidy(test), "a long, b long"), "links")
 
 
 def _across(rest: DataFrame, percent: int) -> DataFrame:
@@ -256,7 +256,7 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
                 [pa.array(x, pa.int64()) for x in _cell_pairs(cell, percent)], names=["a", "b"])
 
     dealt = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(tidy(compare), "a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

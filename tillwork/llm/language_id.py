@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwork.llm.text import documents_of, slices, split_number
+from tillwork.llm.text import documents_of, slices, split_number, tidy
 
 DIMENSIONS = 1024
 SEED = 20240229
@@ -127,7 +127,11 @@ class Languages:
         found = profiler.counts(text) if text else None
         if found is None or not self.names:
             return UNKNOWN, 0.0
-        vector = profiler.bundle(*found)
+        return self.predict_counts(profiler, *found)
+
+    def predict_counts(self, profiler: Profiler, grams: np.ndarray, counts: np.ndarray) -> tuple[str, float]:
+        """The prediction from a text's three-grams and their counts."""
+        vector = profiler.bundle(grams, counts)
         cosine = self.prototypes @ vector / max(float(np.linalg.norm(vector)), 1e-9)
         best = int(np.argmax(cosine))
         return self.names[best], float(np.clip(cosine[best], 0, 1))
@@ -170,7 +174,7 @@ def learn_languages(docs: DataFrame, dimensions: int = DIMENSIONS) -> Languages:
 
     labelled = documents_of(docs, F.col("lang").cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & (split_number(FOLDS) != HELD_OUT))
-    partial = labelled.mapInArrow(learn, "lang string, place int, value long")
+    partial = labelled.mapInArrow(tidy(learn), "lang string, place int, value long")
     sums = partial.groupBy("lang", "place").agg(F.sum("value").alias("value"))
     vectors = {}
     for lang, place, value in sums.collect():
@@ -208,7 +212,7 @@ def identify(docs: DataFrame, languages: Languages) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score"])
 
     split = documents_of(docs).withColumn("held_out", split_number(FOLDS) == HELD_OUT)
-    return split.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return split.mapInArrow(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def known_language(
@@ -216,7 +220,9 @@ def known_language(
 ) -> DataFrame:
     """The rows of ``docs``, whole, whose text has a learned language.
 
-    A text of ``long`` characters or more also needs a cosine of ``least``.
+    A text of ``long`` three-grams or more also needs a cosine of ``least``: few say too little,
+    however long the figures and marks around them are. If no language was
+    learned, all texts with a three-gram are kept.
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +230,11 @@ def known_language(
         for batch in slices(batches, "text"):
             good = []
             for text in batch.column("text").to_pylist():
-                lang, score = languages.predict(profiler, text)
-                good.append(lang != UNKNOWN and (score >= least or len(text) < long))
+                found = profiler.counts(text) if text else None
+                if found is None or not languages.names or int(found[1].sum()) < long:
+                    good.append(found is not None)
+                else:
+                    good.append(languages.predict_counts(profiler, *found)[1] >= least)
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(tidy(keep), T.StructType(docs.schema.fields))
