@@ -240,3 +240,21 @@ def test_keys_of_both_chains_are_summed_between_the_joins(spark):
         assert "p_partkey" in upper and "o_orderkey" not in upper
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_settled_results_leave_no_tables_on_the_way(spark):
+    from pathlib import Path
+
+    from tillwork.sources import scratch
+
+    folder = Path(scratch.application_folder(spark).removeprefix("file:"))
+    kept = scratch.materialise(spark.range(3), "kept")
+    before = set(folder.iterdir())
+
+    def build():
+        first = scratch.materialise(spark.range(10), "first")
+        return scratch.materialise(first.where("id > 2"), "second").join(first, "id")
+
+    result = scratch.settled(build, "result")
+    assert result.count() == 7 and kept.count() == 3
+    assert [path.name.split("-")[0] for path in set(folder.iterdir()) - before] == ["result"]

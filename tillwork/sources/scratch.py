@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,7 +41,9 @@ def application_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one intermediate table or stream checkpoint."""
-    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -50,7 +54,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``materialise`` the frame that ``build`` makes, and delete the tables made on the way.
+
+    For results that are small beside what they took; one at a time.
+    """
+    before = len(_made)
+    result = materialise(build(), label)
+    for path in _made[before:-1]:
+        _delete(result.sparkSession, path)
+    del _made[before:-1]
+    return result
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    _delete(spark, application_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
