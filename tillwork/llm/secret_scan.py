@@ -2,18 +2,24 @@
 
 Every text starts a worklist. A layer is scanned for secrets; then it is put on
 the list again with all its URL codes decoded in place, again with all its Unicode
-escapes, and each of its stretches that is base64 is decoded, unpacked if it is
-zlib, gzip or bzip2 data, and put on the list as a layer of its own, until none is
-left. A layer that was seen before is not scanned again, so decoding that
-leads back to itself ends. Each layer carries, for every character, the stretch
-of the original text it stands for: a secret found three layers down has a span
-in the text.
-
-Defined cases: a null text is empty. Base64 that does not decode to text is no
-layer; a URL code or escape of no character, or a URL code of a control character,
-stays as it is. Spans are in code points, ends exclusive, in order and without repeats.
-Unpacked layers end at ``MOST_UNPACKED`` bytes, a guard against archives made to
-exhaust memory; the text itself is scanned whole, whatever its length.
+escapes, and each of its stretches that is base64 is decoded and, if it is zlib, gzip,
+bzip2 or bare deflate data, unpacked, all members and packed data inside packed data
+too, and put on the list as a layer of its own, until none is left. A layer that was
+seen before is not scanned again, so decoding that leads back to itself ends. Each
+layer carries, for every character, the stretch of the original text it stands for:
+a secret found three layers down has a span in the text.
+
+Packed data are read whole, however much they hold, as a series of layers of about
+``CHUNK`` bytes that part at characters no secret or code can contain. A run without
+such a character is kept together up to ``LONGEST_RUN`` bytes; a longer one is read in
+pieces that overlap by ``OVERLAP``, enough for any plain secret in it.
+
+Defined cases: a null text is empty. Bytes of a decoded layer that are no characters
+stay in their places and part what stands before and behind them; a URL code or escape of
+no character, or a URL code of a control character, stays as it is. Damaged packed data
+are read up to the damage, to within one read. A percent sign, backslash or ampersand that
+was coded more than ``KEPT_CODINGS`` times over is brought down to that in one step. Spans
+are in code points, ends exclusive, in order and without repeats.
 """
 
 from __future__ import annotations
@@ -22,9 +28,10 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +65,22 @@ _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
-MOST_UNPACKED = 64_000_000
+# Any secret, coded or not, has at least this many of these in a row.
+_READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{14,}")
+
+# Codings of a character that codes begin with, where it was coded again and again.
+KEPT_CODINGS = 8
+_CODINGS = {"%": re.compile("25"), "\\": re.compile("u005[cC]|x5[cC]"), "&": re.compile("#38;|#[xX]26;")}
+_CHAINS = {sign: re.compile(f"(?:{unit.pattern}){{{KEPT_CODINGS + 1},}}+") for sign, unit in _CODINGS.items()}
+
+CHUNK = 1 << 20
+LONGEST_RUN = 64 << 20
+OVERLAP = 1 << 20
+_READ = 4096
+# What secrets, codes and lines of base64 are made of; bytes beyond ASCII may be half a character.
+_INSIDE = frozenset(
+    b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-\"' :%\\&#;{}\t\r\n" + bytes(range(128, 256)))
+_PARTING = bytes(b not in _INSIDE for b in range(256))
 MARK = "[SECRET]"
 
 Span = tuple[int, int, int]
@@ -92,16 +114,15 @@ def _is_text(data: bytes) -> bool:
         return False
 
 
-def _of_bytes(data: bytes, starts, ends) -> Layer | None:
-    """The layer that UTF-8 bytes make, given the stretch of every byte."""
-    if not _is_text(data):
-        return None
-    text = data.decode()
+def _of_bytes(data: bytes, starts, ends) -> Layer:
+    """The layer that bytes make, given the stretch of every byte; bytes of no character are one each."""
+    text = data.decode("utf-8", "surrogateescape")
     if len(text) == len(data):
         return Layer(text, starts, ends)
-    # All bytes but continuations begin a character.
-    first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    return Layer(text, starts[first], ends[np.append(first[1:], len(data)) - 1])
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    stray = (code >= 0xDC80) & (code <= 0xDCFF)
+    last = np.cumsum(np.where(stray, 1, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))) - 1
+    return Layer(text, starts[np.append(0, last[:-1] + 1)], ends[last])
 
 
 def _replaced(layer: Layer, parts: list[tuple[int, int, str]]) -> Layer | None:
@@ -123,6 +144,13 @@ def _replaced(layer: Layer, parts: list[tuple[int, int, str]]) -> Layer | None:
     return Layer("".join([*text, layer.text[at:]]), layer.starts[first], layer.ends[last])
 
 
+def _coded_once_more(text: str, sign: str, end: int) -> int:
+    """Where a code of ``sign`` that ends at ``end`` ends with the codings of it that are too many."""
+    if sign in _CHAINS and (codings := _CHAINS[sign].match(text, end)):
+        return [m.end() for m in _CODINGS[sign].finditer(text, *codings.span())][-KEPT_CODINGS - 1]
+    return end
+
+
 def _percent_layer(layer: Layer) -> Layer | None:
     """The layer with all its URL codes decoded in place; codes of no character are kept as they are."""
     parts = []
@@ -132,7 +160,7 @@ def _percent_layer(layer: Layer) -> Layer | None:
             broken = "\udc80" <= character <= "\udcff"
             end = at + 3 * (1 if broken else len(character.encode()))
             if not broken and not _CONTROL.match(character):
-                parts.append((at, end, character))
+                parts.append((at, _coded_once_more(layer.text, character, end), character))
             at = end
     return _replaced(layer, parts)
 
@@ -148,20 +176,112 @@ def _escape_layer(layer: Layer) -> Layer | None:
             number = (int(code[2:-1], 10) if code[:2] == "&#" and code[2] not in "xX"
                       else int(code[3:-1], 16) if code[:2] == "&#" or code[2] == "{" else int(code[2:], 16))
         if number < 0x110000 and not 0xD800 <= number < 0xE000:
-            parts.append((*escape.span(), chr(number)))
+            start, end = escape.span()
+            parts.append((start, _coded_once_more(layer.text, chr(number), end), chr(number)))
     return _replaced(layer, parts)
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """What zlib, gzip or bzip2 data hold; None if ``data`` are none of these."""
+def _opener(head: bytes) -> Callable | None:
+    """What unpacks data that begin so."""
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 5 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return lambda: zlib.decompressobj(zlib.MAX_WBITS | 32)
+    return bz2.BZ2Decompressor if head[:3] == b"BZh" else None
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    return (data[at:at + _READ] for at in range(0, len(data), _READ))
+
+
+def _opened(packed: Iterable[bytes], opener: Callable) -> Iterator[bytes]:
+    """What packed data hold, member by member, then whatever follows them as it is."""
+    packed = iter(packed)
+    machine, held = opener(), b""
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 5 and int.from_bytes(data[:2], "big") % 31 == 0:
-            return zlib.decompressobj(zlib.MAX_WBITS | 32).decompress(data, MOST_UNPACKED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MOST_UNPACKED)
+        for piece in packed:
+            data, held = held + piece, b""
+            while data or not machine.eof:
+                if machine.eof:
+                    if len(data) < 6:
+                        held = data
+                        break
+                    if (opener := _opener(data)) is None:
+                        yield data
+                        yield from packed
+                        return
+                    machine = opener()
+                out = machine.decompress(data, CHUNK)
+                if out:
+                    yield out
+                data = machine.unused_data if machine.eof else getattr(machine, "unconsumed_tail", b"")
+                # Output may be waiting though all input was taken.
+                if not data and len(out) < CHUNK:
+                    break
     except (zlib.error, OSError, ValueError, EOFError):
-        pass
-    return None
+        return
+    if held:
+        yield held
+
+
+def _is_deflate(data: bytes) -> bool:
+    """Whether ``data``, all of them, are bare deflate data."""
+    machine, held = zlib.decompressobj(-zlib.MAX_WBITS), 0
+    try:
+        out = machine.decompress(data, CHUNK)
+        while out and not machine.eof:
+            held += len(out)
+            out = machine.decompress(machine.unconsumed_tail, CHUNK)
+    except zlib.error:
+        return False
+    return machine.eof and not machine.unused_data and held + len(out) > 0
+
+
+def _unpacked(data: bytes) -> Iterator[bytes] | None:
+    """What packed data hold in the end, in chunks; None if ``data`` are not packed."""
+    seen: set[bytes] = set()
+    level: Iterator[bytes] = iter([data])
+    for depth in itertools.count():
+        head, whole = bytearray(), True
+        for chunk in level:
+            head += chunk
+            if depth and len(head) > CHUNK:
+                whole = False
+                break
+        head = bytes(head)
+        if whole:
+            key = hashlib.blake2b(head, digest_size=16).digest()
+            if key in seen:
+                return iter(())
+            seen.add(key)
+        opener = _opener(head)
+        if opener is None and whole and not _is_text(head) and _is_deflate(head):
+            def opener():
+                return zlib.decompressobj(-zlib.MAX_WBITS)
+        first = None
+        if opener is not None:
+            inner = _opened(itertools.chain(_pieces(head), level), opener)
+            first = next(inner, None)
+        if first is None:
+            return itertools.chain([head], level) if depth else None
+        level = itertools.chain([first], inner)
+
+
+def _parted(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The chunks joined and parted anew, where no secret, code or character is cut."""
+    held = b""
+    for chunk in chunks:
+        held += chunk
+        if len(held) < CHUNK:
+            continue
+        at = held.translate(_PARTING).rfind(1) + 1
+        if at:
+            yield held[:at]
+            held = held[at:]
+        elif len(held) > LONGEST_RUN:
+            yield held
+            # Four characters of base64 stay together.
+            held = held[(len(held) - OVERLAP) // 4 * 4:]
+    if held:
+        yield held
 
 
 def _wrapped(text: str) -> Iterator[list[list[tuple[int, int]]]]:
@@ -205,14 +325,14 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
     # Places that a reading has explained are not read again in part.
     taken: bytearray | None = None
 
-    def decoded(places: list[tuple[int, int]]) -> Layer | None:
+    def decoded(places: list[tuple[int, int]]) -> tuple[Iterable[Layer], bool]:
         nonlocal taken
-        found = _of_base64(layer, places)
-        if found is not None:
+        found, explained = _of_base64(layer, places)
+        if explained:
             taken = bytearray(len(text)) if taken is None else taken
             for start, end in places:
                 taken[start:end] = b"\1" * (end - start)
-        return found
+        return found, explained
 
     if "\n" in text:
         # Longer blocks first, so that their parts in the other alphabet are not read again.
@@ -220,37 +340,43 @@ def _base64_layers(layer: Layer) -> Iterator[Layer]:
             for places in readings:
                 if taken is not None and sum(taken.count(0, *place) for place in places) < _LEAST_CODE:
                     break
-                if found := decoded(places):
-                    yield found
+                found, explained = decoded(places)
+                yield from found
+                if explained:
                     break
     for spans in _runs(text):
         for start, end in spans:
-            if (taken is None or taken.find(0, start, end) >= 0) and (found := decoded([(start, end)])):
-                yield found
+            if taken is None or taken.find(0, start, end) >= 0:
+                yield from decoded([(start, end)])[0]
+
 
+def _of_base64(layer: Layer, places: list[tuple[int, int]]) -> tuple[Iterable[Layer], bool]:
+    """The layers that the base64 in these places of ``layer`` makes, its lines joined.
 
-def _of_base64(layer: Layer, places: list[tuple[int, int]]) -> Layer | None:
-    """The layer that the base64 in these places of ``layer`` makes, its lines joined."""
+    True with them if they are packed data or text throughout, so that the places are
+    surely base64. Others are read for the text that may stand between other bytes.
+    """
     code = "".join(layer.text[start:end] for start, end in places)
     code = code[:-1] if len(code) % 4 == 1 else code
     pad = -len(code) % 4
     try:
         data = base64.b64decode(code + "=" * pad, b"-_" if "-" in code or "_" in code else None, True)
     except (binascii.Error, ValueError):
-        return None
+        return (), False
     packed = _unpacked(data)
     if packed is not None:
         # Bytes of a packed layer stand for the whole stretch, its padding included.
         end = places[-1][1]
         end += pad if pad and layer.text.startswith("=" * pad, end) else 0
         whole = layer.original(places[0][0], end)
-        return _of_bytes(packed, _Same(whole[0], len(packed)), _Same(whole[1], len(packed))) if packed else None
-    if not _is_text(data):
-        return None
+        return (_of_bytes(p, _Same(whole[0], len(p)), _Same(whole[1], len(p))) for p in _parted(packed)), True
+    explained = _is_text(data)
+    if not explained and not _READABLE.search(data):
+        return (), False
     at = np.concatenate([np.arange(start, end) for start, end in places])
     byte = np.arange(len(data))
     first = byte // 3 * 4 + byte % 3
-    return _of_bytes(data, layer.starts[at[first]], layer.ends[at[first + 1]])
+    return [_of_bytes(data, layer.starts[at[first]], layer.ends[at[first + 1]])], explained
 
 
 class _Same:
@@ -263,7 +389,7 @@ class _Same:
         return self._size
 
     def __getitem__(self, place):
-        return self._value if np.ndim(place) == 0 else np.full(len(place), self._value)
+        return self._value if np.ndim(place) == 0 else _Same(self._value, len(place))
 
 
 class _Steps:
@@ -276,25 +402,34 @@ class _Steps:
         return place + self._add
 
 
+def _layers_in(layer: Layer) -> Iterator[Layer]:
+    if "%" in layer.text and (decoded := _percent_layer(layer)):
+        yield decoded
+    if ("\\" in layer.text or "&#" in layer.text) and (decoded := _escape_layer(layer)):
+        yield decoded
+    yield from _base64_layers(layer)
+
+
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Secrets that stand plainly in the text, and those with the decoded layers' ones."""
     base = found_in(text)
     spans = set(base)
     seen: set[bytes] = set()
-    work = [Layer(text, _Steps(0), _Steps(1))]
+    # Layers are decoded when their turn comes: one of each depth is held.
+    work = [_layers_in(Layer(text, _Steps(0), _Steps(1)))]
     while work:
-        layer = work.pop()
-        key = hashlib.blake2b(f"{int(layer.starts[0])}:{layer.text}".encode("utf-8", "replace"), digest_size=16).digest() if layer.text else b""
-        if not layer.text or key in seen:
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        if not layer.text:
+            continue
+        key = hashlib.blake2b(f"{int(layer.starts[0])}:{layer.text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if key in seen:
             continue
         seen.add(key)
-        if layer.text is not text:
-            spans.update((*layer.original(start, end), kind) for start, end, kind in found_in(layer.text))
-        if "%" in layer.text and (decoded := _percent_layer(layer)):
-            work.append(decoded)
-        if ("\\" in layer.text or "&#" in layer.text) and (decoded := _escape_layer(layer)):
-            work.append(decoded)
-        work += _base64_layers(layer)
+        spans.update((*layer.original(start, end), kind) for start, end, kind in found_in(layer.text))
+        work.append(_layers_in(layer))
     return base, sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
 
