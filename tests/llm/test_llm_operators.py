@@ -417,7 +417,8 @@ def test_audit_finds_all_kinds_of_fault(spark):
     numbers = [r["record_no"] for r in ours.orderBy("record_no").collect()]
     assert numbers == list(range(3003))
     theirs = ours.withColumn("hash", F.when(F.col("record_no").isin(0, 1500, 3002), "x").otherwise(F.col("hash"))).where(
-        "record_no <> 77").unionByName(ours.where("record_no = 0").withColumn("record_no", F.lit(5000).cast("long")))
+        "record_no <> 77").unionByName(ours.where("record_no = 0").withColumns(
+            {"record_no": F.lit(5000).cast("long"), "hash": F.lit("z")}))
     assert {(r["record_no"], r["status"]) for r in audit(ours, theirs).collect()} == {
         (0, "corrupt"), (1500, "corrupt"), (3002, "corrupt"), (77, "missing"), (5000, "extra")}
     assert audit(ours, ours).count() == 0
@@ -427,5 +428,39 @@ def test_audit_finds_all_kinds_of_fault(spark):
     assert [r["offset"] for r in sizes] == np.cumsum([0, *[r["size"] for r in sizes]])[:-1].tolist()
 
 
+def test_audit_of_a_replica_with_its_own_numbers(spark):
+    """What is missing, put in or changed moves all numbers behind it; only it is a fault."""
+    kind = "page_id long, url string, html string, hash int"
+    # One page has a third of all records, some of them equal; ids may be null.
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>", 0) for i in range(0, 1200, 2)]
+    rows += [(301, f"http://y/{i % 150}", "<p>same page</p>", 0) for i in range(300)] + [(None, "u", "h", 0)] * 3
+    gone = {0, 200, 601, 899, 900}
+    changed = {i: (*row[:2], "damaged", 0) for i, row in enumerate(rows) if i in (1, 64, 350, 650, 902)}
+    put_in = [(1, "new", "new", 0), (301, "new", "new", 0), (5000, "new", "new", 0)]
+    held = [changed.get(i, row) for i, row in enumerate(rows) if i not in gone] + put_in
+    ours, theirs = (manifest(spark.createDataFrame(r, kind)) for r in (rows, held))
+
+    def faults(first, second):
+        """Per page: records without an equal, as many as both have corrupt, the rest on one side only."""
+        sides = [Counter((r["page_id"], r["hash"]) for r in m.collect()) for m in (first, second)]
+        left = [Counter(page for page, _ in (a - b).elements()) for a, b in (sides, sides[::-1])]
+        found = Counter()
+        for page in {*left[0], *left[1]}:
+            mine, other = left[0][page], left[1][page]
+            found += Counter({(page, "corrupt"): min(mine, other), (page, "missing"): mine - other, (page, "extra"): other - mine})
+        return found
+
+    for first, second in ((ours, theirs), (theirs, ours)):
+        got = audit(first, second).collect()
+        assert Counter((r["page_id"], r["status"]) for r in got) == faults(first, second)
+        places = [
+            {(r["record_no"], r["page_id"], r["offset"], r["size"], r["hash"]) for r in m.collect()} for m in (first, second)]
+        for r in got:
+            hashes = r["replica_hash"] if r["status"] == "extra" else r["primary_hash"]
+            assert (*r[:4], hashes) in places[r["status"] == "extra"]
+    none = manifest(spark.createDataFrame([], kind))
+    assert {r["status"] for r in audit(none, ours).collect()} == {"extra"} and audit(ours, none).count() == len(rows)
+
+
 def test_words_are_those_of_the_contract():
     assert alnum_words("Été-ABC_9 déjà\x00x".encode()) == ["Été".encode(), b"abc", b"9", "déjà".encode(), b"x"]

@@ -14,7 +14,7 @@ from tillwork.llm.hmm import score
 from tillwork.llm.hyperminhash import near_duplicates
 from tillwork.llm.language_id import identify, learn_languages
 from tillwork.llm.license_scan import scan as scan_licenses
-from tillwork.llm.merkle import audit, manifest, warc_record
+from tillwork.llm.merkle import audit, manifest
 from tillwork.llm.packing import cut_documents, pack
 from tillwork.llm.secret_scan import scan
 from tillwork.llm.training_order import read_shards, write_shards
@@ -48,14 +48,11 @@ def op5_hidden_markov(spark: SparkSession, root: str) -> DataFrame:
 
 def op6_merkle_audit(spark: SparkSession, root: str) -> DataFrame:
     """The pages against a replica in which some have lost their last character and some are gone."""
+    pages = _table(spark, root, "pages")
     damaged = F.concat(F.expr("substr(html, 1, char_length(html) - 1)"), F.lit("~"))
     held = F.when(F.col("page_id") % 97 == 13, damaged).otherwise(F.col("html"))
-    both = manifest(
-        _table(spark, root, "pages"), replica_hash=F.sha2(warc_record(F.col("url"), held), 256))
-    replica = both.where("page_id % 389 <> 7 OR page_id IS NULL").select(
-        "record_no", "offset", "size", F.col("replica_hash").alias("hash"))
-    faults = audit(both.drop("replica_hash"), replica)
-    return faults.join(both.select("record_no", "page_id"), "record_no")
+    replica = pages.where("page_id % 389 <> 7 OR page_id IS NULL").withColumn("html", held)
+    return audit(manifest(pages), manifest(replica))
 
 
 def op7_secret_scan(spark: SparkSession, root: str) -> DataFrame:
