@@ -1,16 +1,17 @@
 """Scoring of whole texts with a hidden Markov language model.
 
-Words are counted over all training texts. The most frequent ones have an emission
-probability in each latent state; the rest share the symbol ``rare`` there and are
-told apart by their smoothed share of the rare words, so the model covers every
-word. Baum-Welch trains the states: each task sums expected counts over its texts
-in windows, Spark adds the tasks' sums, and the new model goes out with the next
-pass. Scoring runs the scaled forward recursion over each whole text and is exact;
-texts too long to step through are cut into stretches whose transfer matrices are
-computed side by side and then multiplied.
-
-The counts of the ``SENT`` most frequent words go to all tasks. All other words
-are looked up by a join, in which no word is frequent.
+Words are counted over all training texts. Those seen ``LEAST_SEEN`` times, as far as
+their counts go to the tasks, have an emission probability in each latent state; the rest
+share the symbol ``rare`` there and are told apart by their smoothed share of the rare
+words, so the model covers every word. Baum-Welch trains the states: each task sums
+expected counts over its whole texts, Spark adds the tasks' sums, and the new model
+goes out with the next pass. Training and scoring are exact; texts too long to step through
+are cut into stretches whose transfer matrices are computed side by side and
+then multiplied, which gives each stretch what comes before and behind it.
+
+The counts of frequent words go to all tasks: of as many classes of counts, ``CLASSES`` to
+a doubling, as hold ``SENT`` words at most. All other words are looked up by a join, in
+which no word is frequent.
 
 Defined cases: a null or empty text is its end alone. Without training texts all
 counts are zero and every word has probability 1 in the base score. Repeated rows
@@ -35,14 +36,16 @@ from tillwork.sources.scratch import materialise, new_path
 STATES = 8
 PASSES = 4
 FOLDS, HELD_OUT = 5, 1
-SYMBOLS = 60_000
 # Rarer words say too little of their state to have an emission of their own.
 LEAST_SEEN = 8
 SENT = 250_000
+CLASSES = 64
 LONGEST_SENT = 64
-WINDOW = 64
 LONG = 65_536
 _STRETCH = 4096
+# Texts of more words are trained on in stretches; as many symbols are worked on at a time.
+TRAINED = 1024
+_AT_ONCE = 1 << 20
 _HELD_WORDS = 400_000
 _END, _RARE = 0, 1
 _SCALE = 1 << 16
@@ -92,7 +95,7 @@ class Vocabulary:
     @property
     def named(self) -> int:
         """Words with an emission of their own, the first ones."""
-        return min(SYMBOLS, int((self.counts >= LEAST_SEEN).sum()))
+        return int((self.counts >= LEAST_SEEN).sum())
 
     @property
     def base_denominator(self) -> float:
@@ -116,8 +119,17 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     ends = counts.where(F.octet_length("word") == 0).first()
-    frequent = counts.where(F.octet_length("word").between(1, LONGEST_SENT)).orderBy(F.desc("n"), "word").limit(SENT)
-    table = frequent.toArrow()
+    size = F.floor(F.log2("n") * CLASSES)
+    short = counts.where(F.octet_length("word").between(1, LONGEST_SENT))
+    sent, least = 0, None
+    for row in sorted(short.groupBy(size.alias("size")).count().collect(), reverse=True):
+        sent += row["count"]
+        if sent > SENT:
+            break
+        least = row["size"]
+    # At most SENT rows.
+    frequent = short.where(F.lit(False) if least is None else size >= least)
+    table = frequent.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     return Vocabulary(
         tuple(table.column("word").to_pylist()), table.column("n").to_numpy().astype(np.int64),
         ends["n"] if ends else 0, total or 0, distinct)
@@ -149,7 +161,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 others = Counter(words[i] for i in np.flatnonzero(places < 0).tolist())
                 rows.append((
                     len(words) + 1, len(known) + (vocabulary.ends > 0), float(base[known].sum()) + end,
-                    float(rare[known].sum()), np.r_[symbols, _END].astype("<u2").tobytes(),
+                    float(rare[known].sum()), np.r_[symbols, _END].astype("<u4").tobytes(),
                     [{"word": w, "n": n} for w, n in others.items()]))
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), kind)
             yield pa.RecordBatch.from_arrays(
@@ -180,47 +192,75 @@ def first_model(vocabulary: Vocabulary, states: int) -> Model:
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def _windows(symbols: list[bytes]) -> np.ndarray:
-    """The sequences cut into rows of one window each, -1 behind their ends."""
-    rows = []
-    for data in symbols:
-        sequence = np.frombuffer(data, "<u2").astype(np.int32)
-        padded = np.full(-(-len(sequence) // WINDOW) * WINDOW, -1, np.int32)
-        padded[:len(sequence)] = sequence
-        rows.append(padded.reshape(-1, WINDOW))
-    return np.concatenate(rows)
-
-
-def _expected(windows: np.ndarray, model: Model) -> Model:
-    """Expected counts of starts, moves and emissions in the windows."""
-    count, states = len(windows), len(model.start)
-    emit = np.concatenate([model.emit, np.ones((1, states))])
-    forward = np.empty((WINDOW, count, states))
-    scale = np.empty((WINDOW, count))
-    for t in range(WINDOW):
-        before = np.broadcast_to(model.start, (count, states)) if t == 0 else forward[t - 1] @ model.move
-        forward[t] = before * emit[windows[:, t]]
-        scale[t] = forward[t].sum(1)
-        forward[t] /= scale[t][:, None]
-    move = np.zeros((states, states))
-    backward = np.ones((count, states))
-    for t in range(WINDOW - 1, -1, -1):
-        inside = windows[:, t] >= 0
-        if t:
-            ahead = emit[windows[:, t]] * backward / scale[t][:, None]
-            move += forward[t - 1][inside].T @ ahead[inside] * model.move
-            later = ahead @ model.move.T
-        forward[t] *= backward
-        forward[t][~inside] = 0
+def _stretches(texts: list[np.ndarray], model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of the texts with the state distribution at the end of what is before each,
+    the weight of each last state by what is behind, and whether a text starts there."""
+    parts, before, behind, first = [], [], [], []
+    states = len(model.start)
+    for text in texts:
+        cut = [text[k:k + TRAINED] for k in range(0, len(text), TRAINED)]
+        ends = [model.start]
+        weights = [np.ones(states)]
+        if len(cut) > 1:
+            logs, reached = _transfers(cut, model)
+            power = 10 ** (logs - logs.max(1, keepdims=True))
+            for k in range(len(cut) - 1):
+                ahead = ends[-1] @ model.move if k else ends[-1]
+                state = (ahead * power[k]) @ reached[k]
+                ends.append(state / state.sum())
+            for k in range(len(cut) - 1, 0, -1):
+                weight = model.move @ (power[k] * (reached[k] @ weights[-1]))
+                weights.append(weight / weight.sum())
+        parts += cut
+        before += ends
+        behind += weights[::-1]
+        first += [True] + [False] * (len(cut) - 1)
+    return parts, np.array(before), np.array(behind), np.array(first)
+
+
+def _expected(texts: list[np.ndarray], model: Model) -> Model:
+    """Expected counts of starts, moves and emissions in whole texts."""
+    found = Model(np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit))
+    parts, before, behind, first = _stretches(texts, model)
+    group = np.cumsum([len(p) for p in parts]) // _AT_ONCE
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        _add_expected([parts[i] for i in at], before[at], behind[at], first[at], model, found)
+    return found
+
+
+def _add_expected(parts, before, behind, first, model: Model, found: Model) -> None:
+    """Add what stretches side by side, the longest first, are expected to count."""
+    lengths = np.array([len(p) for p in parts], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    starts = (np.cumsum(lengths) - lengths)[order]
+    flat = np.concatenate(parts).astype(np.int64)
+    before, first = before[order], first[order]
+    active = np.searchsorted(-lengths[order], -np.arange(1, lengths.max() + 1), "right").tolist()
+    symbols = [flat[starts[:count] + t] for t, count in enumerate(active)]
+    forward, scales = [], []
+    state = np.where(first[:, None], before, before @ model.move)
+    for t, count in enumerate(active):
+        state = (state if t == 0 else state[:count] @ model.move) * model.emit[symbols[t]]
+        scales.append(state.sum(1, keepdims=True))
+        state /= scales[-1]
+        forward.append(state)
+    weight = behind[order]
+    for t in range(len(active) - 1, -1, -1):
+        count, over = active[t], active[t + 1] if t + 1 < len(active) else 0
+        # Stretches that end here start their way back.
+        weight[over:count] /= (forward[t][over:] * weight[over:count]).sum(1, keepdims=True)
+        ahead = model.emit[symbols[t]] * weight[:count] / scales[t]
         if t:
-            # Behind an end nothing is observed; the state before it is not weighed.
-            backward = np.where(inside[:, None], later, 1.0)
-    posterior = forward.transpose(1, 0, 2).reshape(-1, states)
-    flat = windows.reshape(-1)
-    seen = flat >= 0
-    emission = np.stack([
-        np.bincount(flat[seen], posterior[seen, k], len(model.emit)) for k in range(states)], axis=1)
-    return Model(forward[0].sum(0), move, emission)
+            found.move[:] += forward[t - 1][:count].T @ ahead * model.move
+        else:
+            found.start[:] += (forward[0] * weight)[first].sum(0)
+            found.move[:] += before[~first].T @ ahead[~first] * model.move
+        forward[t] = forward[t] * weight[:count]
+        weight[:count] = ahead @ model.move.T
+    posterior, seen = np.concatenate(forward), np.concatenate(symbols)
+    for k in range(len(model.start)):
+        found.emit[:, k] += np.bincount(seen, posterior[:, k], len(model.emit))
 
 
 def train(encoded: DataFrame, vocabulary: Vocabulary, states: int = STATES, passes: int = PASSES) -> Model:
@@ -249,13 +289,11 @@ def _summing(model: Model):
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((symbols + states + 1, states))
-        for batch in slices(batches, "symbols", 1_000_000):
-            windows = _windows(batch.column("symbols").to_pylist())
-            for k in range(0, len(windows), 16_384):
-                found = _expected(windows[k:k + 16_384], model)
-                total[:symbols] += found.emit
-                total[symbols:symbols + states] += found.move
-                total[-1] += found.start
+        for batch in slices(batches, "symbols"):
+            found = _expected([np.frombuffer(s, "<u4") for s in batch.column("symbols").to_pylist()], model)
+            total[:symbols] += found.emit
+            total[symbols:symbols + states] += found.move
+            total[-1] += found.start
         values = np.rint(total * _SCALE).astype(np.int64)
         used = np.flatnonzero(values.any(1))
         yield pa.RecordBatch.from_arrays(
@@ -298,13 +336,21 @@ def _forward(sequences: list[np.ndarray], before: np.ndarray, model: Model) -> t
     return logs[back], last[back]
 
 
+def _transfers(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For each stretch and first state: log10 probability, and the distribution of the last state."""
+    states = len(model.start)
+    each = max(1, _AT_ONCE // (states * max(map(len, parts))))
+    found = []
+    for k in range(0, len(parts), each):
+        some = parts[k:k + each]
+        found.append(_forward([p for p in some for _ in range(states)], np.tile(np.eye(states), (len(some), 1)), model))
+    logs, ends = (np.concatenate(f) for f in zip(*found, strict=True))
+    return logs.reshape(-1, states), ends.reshape(-1, states, states)
+
+
 def _long(sequence: np.ndarray, model: Model) -> float:
     """The same for one long sequence, by the transfer matrices of its stretches."""
-    states = len(model.start)
-    parts = [sequence[k:k + _STRETCH] for k in range(0, len(sequence), _STRETCH)]
-    logs, ends = _forward(
-        [p for p in parts for _ in range(states)], np.tile(np.eye(states), (len(parts), 1)), model)
-    logs, ends = logs.reshape(-1, states), ends.reshape(-1, states, states)
+    logs, ends = _transfers([sequence[k:k + _STRETCH] for k in range(0, len(sequence), _STRETCH)], model)
     total, state = 0.0, model.start
     for k, (log, end) in enumerate(zip(logs, ends, strict=True)):
         weights = state if k == 0 else state @ model.move
@@ -325,7 +371,7 @@ def score(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare"]
         for batch in slices(batches, "symbols"):
-            sequences = [np.frombuffer(s, "<u2") for s in batch.column("symbols").to_pylist()]
+            sequences = [np.frombuffer(s, "<u4") for s in batch.column("symbols").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept), pa.array(log_likelihoods(sequences, model))], names=[*kept, "path"])
 
