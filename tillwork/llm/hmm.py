@@ -197,12 +197,17 @@ def _stretches(texts: list[np.ndarray], model: Model) -> tuple[list[np.ndarray],
     the weight of each last state by what is behind, and whether a text starts there."""
     parts, before, behind, first = [], [], [], []
     states = len(model.start)
-    for text in texts:
-        cut = [text[k:k + TRAINED] for k in range(0, len(text), TRAINED)]
+    cuts = [[text[k:k + TRAINED] for k in range(0, len(text), TRAINED)] for text in texts]
+    # The stretches of all long texts side by side.
+    several = [part for cut in cuts if len(cut) > 1 for part in cut]
+    all_logs, all_reached = _transfers(several, model) if several else (np.zeros((0, states)),) * 2
+    at = 0
+    for cut in cuts:
         ends = [model.start]
         weights = [np.ones(states)]
         if len(cut) > 1:
-            logs, reached = _transfers(cut, model)
+            logs, reached = all_logs[at:at + len(cut)], all_reached[at:at + len(cut)]
+            at += len(cut)
             power = 10 ** (logs - logs.max(1, keepdims=True))
             for k in range(len(cut) - 1):
                 ahead = ends[-1] @ model.move if k else ends[-1]
