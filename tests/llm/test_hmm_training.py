@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from tillwork.llm import hmm
-from tillwork.llm.hmm import Model, _expected, vocabulary
+from tillwork.llm.hmm import Model, _expected, score, vocabulary
 
 
 def random_model(states: int, symbols: int, seed: int) -> Model:
@@ -79,3 +80,61 @@ def test_vocabulary_takes_whole_classes_of_counts(spark, monkeypatch):
     assert every.counts[len(some.words)] < some.counts[-1]
     monkeypatch.setattr(hmm, "SENT", 0)
     assert vocabulary(counts).words == ()
+
+
+def test_words_beyond_those_sent_have_emissions_of_their_own(spark, monkeypatch):
+    """Every word seen often enough, the sent ones or not, against a model worked out by hand."""
+    monkeypatch.setattr(hmm, "SENT", 4)
+    monkeypatch.setattr(hmm, "LEAST_SEEN", 3)
+    draw = np.random.default_rng(3)
+    names = [f"w{k}" for k in range(12)] + ["long" * 30] * 2 + [f"once{k}" for k in range(8)]
+    weight = np.r_[1 / np.arange(1, 13), 0.3, 0.3, [0.04] * 8]
+    texts = [" ".join(draw.choice(names, draw.integers(1, 9), p=weight / weight.sum())) for _ in range(60)] + ["", "unseen w0"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in score(docs, states=3, passes=2).collect()}
+
+    words = [t.split() for t in texts]
+    training = [w for k, w in enumerate(words) if not rows[k]["held_out"]]
+    counts = Counter(w for text in training for w in text)
+    stored = spark.createDataFrame(
+        [(bytearray(w.encode()), n) for w, n in counts.items()] + [(bytearray(), len(training))], "word binary, n long")
+    vocabulary_ = vocabulary(stored)
+    sent = [w.decode() for w in vocabulary_.words]
+    outer = sorted(w for w, n in counts.items() if n >= 3 and w not in sent)
+    assert len(sent) <= 4 and "long" * 30 in outer and len(outer) == vocabulary_.outer_words > 4
+    assert all(counts[w] >= 3 for w in sent)
+
+    known = len(sent) + 2
+    number = {w: k + 2 for k, w in enumerate(sent)} | {w: known + k for k, w in enumerate(outer)}
+    coded = [np.array([number.get(w, 1) for w in text] + [0]) for text in training]
+    model = hmm.first_model(vocabulary_, 3)
+    for _ in range(2):
+        wide = Model(model.start, model.move, np.r_[model.emit, [model.emit[1]] * len(outer)])
+        found = _expected(coded, wide)
+        rare = found.emit[1] + found.emit[known:].sum(0)
+        emit = np.r_[found.emit[:1], [rare], found.emit[2:known]]
+        emit = emit + (hmm._PRIOR + hmm._SHARED * emit.sum(0)) * vocabulary_.shares()[:, None]
+        start, move = found.start + 1, found.move + 1
+        model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    seldom = [n for w, n in counts.items() if w not in sent and w not in outer]
+    every = sum(n + 0.5 for w, n in counts.items() if w not in sent) + 0.5
+    prior = hmm._PRIOR + hmm._SHARED * rare
+    part = [(found.emit[known + k] + prior * (counts[w] + 0.5) / every) / (rare + prior) for k, w in enumerate(outer)]
+    left = sum(n + 0.5 for n in seldom) + 0.5
+    rest = (found.emit[1] + prior * left / every) / (rare + prior)
+    np.testing.assert_allclose(np.sum(part, 0) + rest, 1)
+
+    emission = {w: model.emit[number[w]] for w in sent} | {w: model.emit[1] * p for w, p in zip(outer, part, strict=True)}
+    for k, text in enumerate(words):
+        state = model.start
+        for place, w in enumerate([*text, None]):
+            state = state if place == 0 else state @ model.move
+            one = model.emit[1] * rest * (counts[w] + 0.5) / left
+            state = state * (model.emit[0] if w is None else emission.get(w, one))
+        assert rows[k]["score"] == pytest.approx(np.log10(state.sum()), rel=1e-5)
+        assert rows[k]["n_known"] == 1 + sum(counts[w] > 0 for w in text)
+
+
+def test_there_must_be_a_pass(spark):
+    with pytest.raises(ValueError, match="a pass"):
+        score(spark.createDataFrame([(1, "a")], "doc_id long, text string"), passes=0).count()

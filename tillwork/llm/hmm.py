@@ -1,17 +1,19 @@
 """Scoring of whole texts with a hidden Markov language model.
 
-Words are counted over all training texts. Those seen ``LEAST_SEEN`` times, as far as
-their counts go to the tasks, have an emission probability in each latent state; the rest
-share the symbol ``rare`` there and are told apart by their smoothed share of the rare
-words, so the model covers every word. Baum-Welch trains the states: each task sums
-expected counts over its whole texts, Spark adds the tasks' sums, and the new model
+Words are counted over all training texts. Each word seen ``LEAST_SEEN`` times has an
+emission probability in each latent state; all others share one there and are told apart
+by their smoothed share, so the model covers every word. Baum-Welch trains the states: each
+task sums expected counts over its whole texts, Spark adds the tasks' sums, and the new model
 goes out with the next pass. Training and scoring are exact; texts too long to step through
 are cut into stretches whose transfer matrices are computed side by side and
 then multiplied, which gives each stretch what comes before and behind it.
 
-The counts of frequent words go to all tasks: of as many classes of counts, ``CLASSES`` to
-a doubling, as hold ``SENT`` words at most. All other words are looked up by a join, in
-which no word is frequent.
+The counts and emissions of frequent words go to all tasks: of as many classes of counts,
+``CLASSES`` to a doubling, as hold ``SENT`` words at most. All other words are looked up by a
+join, in which no word is frequent, and their emissions stay in a table that grows with the
+corpus. During the passes these outer words share the symbol ``rare`` with the seldom ones. The
+last pass also sums what each of them is expected to count in each state, which divides the
+emission of ``rare`` among them.
 
 Defined cases: a null or empty text is its end alone. Without training texts all
 counts are zero and every word has probability 1 in the base score. Repeated rows
@@ -26,11 +28,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.llm.text import RowKeys, documents_of, slices, split_number
+from tillwork.llm.wanted import marked, marks
 from tillwork.sources.scratch import materialise, new_path
 
 STATES = 8
@@ -44,8 +48,10 @@ LONGEST_SENT = 64
 LONG = 65_536
 _STRETCH = 4096
 # Texts of more words are trained on in stretches; as many symbols are worked on at a time.
-TRAINED = 1024
+TRAINED = 4096
 _AT_ONCE = 1 << 20
+# Steps of the recursions from one scaling to the next.
+_STEPS = 8
 _HELD_WORDS = 400_000
 _END, _RARE = 0, 1
 _SCALE = 1 << 16
@@ -91,6 +97,10 @@ class Vocabulary:
     ends: int
     total: int
     distinct: int
+    # The least class of counts that is sent, and the words seen often enough that are not.
+    least: int | None = None
+    outer_words: int = 0
+    outer_total: int = 0
 
     @property
     def named(self) -> int:
@@ -110,29 +120,47 @@ class Vocabulary:
         rare_words = self.distinct - (self.ends > 0) - self.named
         return self.rare_total + 0.5 * (rare_words + 1)
 
+    @property
+    def seldom_denominator(self) -> float:
+        """The part of ``rare_denominator`` of words without an emission of their own."""
+        return self.rare_denominator - self.outer_total - 0.5 * self.outer_words
+
     def shares(self) -> np.ndarray:
         """Smoothed share of each symbol."""
         counts = np.r_[self.ends, self.rare_total, self.counts[:self.named]] + 0.5
         return counts / counts.sum()
 
 
+def _size() -> Column:
+    return F.floor(F.log2("n") * CLASSES)
+
+
+def _is_sent(least: int | None) -> Column:
+    if least is None:
+        return F.lit(False)
+    return F.octet_length("word").between(1, LONGEST_SENT) & (_size() >= least)
+
+
+def _is_outer(least: int | None) -> Column:
+    return (F.octet_length("word") > 0) & (F.col("n") >= LEAST_SEEN) & ~_is_sent(least)
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     ends = counts.where(F.octet_length("word") == 0).first()
-    size = F.floor(F.log2("n") * CLASSES)
     short = counts.where(F.octet_length("word").between(1, LONGEST_SENT))
     sent, least = 0, None
-    for row in sorted(short.groupBy(size.alias("size")).count().collect(), reverse=True):
+    for row in sorted(short.groupBy(_size().alias("size")).count().collect(), reverse=True):
         sent += row["count"]
         if sent > SENT:
             break
         least = row["size"]
     # At most SENT rows.
-    frequent = short.where(F.lit(False) if least is None else size >= least)
-    table = frequent.toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    table = counts.where(_is_sent(least)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    outer_total, outer_words = counts.where(_is_outer(least)).agg(F.sum("n"), F.count("*")).first()
     return Vocabulary(
         tuple(table.column("word").to_pylist()), table.column("n").to_numpy().astype(np.int64),
-        ends["n"] if ends else 0, total or 0, distinct)
+        ends["n"] if ends else 0, total or 0, distinct, least, outer_words, outer_total or 0)
 
 
 ENCODED = (
@@ -141,12 +169,15 @@ ENCODED = (
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Texts as symbols, with what the words in the vocabulary add to the scores."""
+    """Texts as symbols, with what the words in the vocabulary add to the scores.
+
+    Symbols beyond those of the vocabulary stand for the text's ``others``, in their order.
+    """
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {word: place for place, word in enumerate(vocabulary.words)}
         base = np.log10((vocabulary.counts + 0.5) / vocabulary.base_denominator)
-        rare = np.log10((vocabulary.counts + 0.5) / vocabulary.rare_denominator)
+        rare = np.log10((vocabulary.counts + 0.5) / vocabulary.seldom_denominator)
         rare[:vocabulary.named] = 0
         end = float(np.log10((vocabulary.ends + 0.5) / vocabulary.base_denominator))
         keys = RowKeys()
@@ -157,12 +188,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 words = _words(text)
                 places = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
                 known = places[places >= 0]
-                symbols = np.where((places >= 0) & (places < vocabulary.named), places + 2, _RARE)
-                others = Counter(words[i] for i in np.flatnonzero(places < 0).tolist())
+                symbols = np.where(places < vocabulary.named, places + 2, _RARE)
+                unknown = np.flatnonzero(places < 0)
+                others: dict[bytes, int] = {}
+                codes = [others.setdefault(words[i], len(others)) for i in unknown.tolist()]
+                symbols[unknown] = np.array(codes, np.int64) + vocabulary.named + 2
                 rows.append((
                     len(words) + 1, len(known) + (vocabulary.ends > 0), float(base[known].sum()) + end,
                     float(rare[known].sum()), np.r_[symbols, _END].astype("<u4").tobytes(),
-                    [{"word": w, "n": n} for w, n in others.items()]))
+                    [{"word": w, "n": n} for w, n in zip(others, np.bincount(codes).tolist(), strict=True)]
+                    if others else []))
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), kind)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.take(len(rows))), batch.column("doc_id"), batch.column("held_out"),
@@ -234,6 +269,12 @@ def _expected(texts: list[np.ndarray], model: Model) -> Model:
     return found
 
 
+def _even(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions over their mean in all states, and log10 of that mean, by symbol."""
+    mean = model.emit.mean(1)
+    return model.emit / mean[:, None], np.log10(mean)
+
+
 def _add_expected(parts, before, behind, first, model: Model, found: Model) -> None:
     """Add what stretches side by side, the longest first, are expected to count."""
     lengths = np.array([len(p) for p in parts], np.int64)
@@ -242,68 +283,153 @@ def _add_expected(parts, before, behind, first, model: Model, found: Model) -> N
     flat = np.concatenate(parts).astype(np.int64)
     before, first = before[order], first[order]
     active = np.searchsorted(-lengths[order], -np.arange(1, lengths.max() + 1), "right").tolist()
-    symbols = [flat[starts[:count] + t] for t, count in enumerate(active)]
-    forward, scales = [], []
-    state = np.where(first[:, None], before, before @ model.move)
+    # Symbols, emissions and states of one step after another.
+    seen = np.concatenate([flat[starts[:count] + t] for t, count in enumerate(active)])
+    ahead = _even(model)[0][seen]
+    forward = np.empty_like(ahead)
+    at = np.r_[0, np.cumsum(active)].tolist()
+    scales: dict[int, np.ndarray] = {}
     for t, count in enumerate(active):
-        state = (state if t == 0 else state[:count] @ model.move) * model.emit[symbols[t]]
-        scales.append(state.sum(1, keepdims=True))
-        state /= scales[-1]
-        forward.append(state)
-    weight = behind[order]
+        state = forward[at[t]:at[t + 1]]
+        if t:
+            np.matmul(forward[at[t - 1]:at[t - 1] + count], model.move, out=state)
+        else:
+            state[:] = np.where(first[:, None], before, before @ model.move)
+        state *= ahead[at[t]:at[t + 1]]
+        if t % _STEPS == _STEPS - 1:
+            scales[t] = state.sum(1, keepdims=True)
+            state /= scales[t]
+    weights, back, moved = behind[order], np.ascontiguousarray(model.move.T), np.zeros_like(model.move)
     for t in range(len(active) - 1, -1, -1):
         count, over = active[t], active[t + 1] if t + 1 < len(active) else 0
+        state, weight, after = forward[at[t]:at[t + 1]], weights[:count], ahead[at[t]:at[t + 1]]
         # Stretches that end here start their way back.
-        weight[over:count] /= (forward[t][over:] * weight[over:count]).sum(1, keepdims=True)
-        ahead = model.emit[symbols[t]] * weight[:count] / scales[t]
+        if over < count:
+            weight[over:] /= (state[over:] * weight[over:]).sum(1, keepdims=True)
+        after *= weight
+        if t in scales:
+            after /= scales[t]
         if t:
-            found.move[:] += forward[t - 1][:count].T @ ahead * model.move
+            moved += forward[at[t - 1]:at[t - 1] + count].T @ after
         else:
-            found.start[:] += (forward[0] * weight)[first].sum(0)
-            found.move[:] += before[~first].T @ ahead[~first] * model.move
-        forward[t] = forward[t] * weight[:count]
-        weight[:count] = ahead @ model.move.T
-    posterior, seen = np.concatenate(forward), np.concatenate(symbols)
+            found.start[:] += (state * weight)[first].sum(0)
+            moved += before[~first].T @ after[~first]
+        state *= weight
+        np.matmul(after, back, out=weight)
+    found.move[:] += moved * model.move
+    posterior = np.ascontiguousarray(forward.T)
     for k in range(len(model.start)):
-        found.emit[:, k] += np.bincount(seen, posterior[:, k], len(model.emit))
+        found.emit[:, k] += np.bincount(seen, posterior[k], len(model.emit))
+
+
+def _own_symbols(batch: pa.RecordBatch, counts: np.ndarray, symbol_of: np.ndarray, known: int) -> list[np.ndarray]:
+    """The texts of a batch with a symbol for each of their others, ``counts`` of them to a text,
+    in place of the numbers from ``known`` on."""
+    texts = [np.frombuffer(s, "<u4").astype(np.int64) for s in batch.column("symbols").to_pylist()]
+    for text, start in zip(texts, (np.cumsum(counts) - counts).tolist(), strict=True):
+        beyond = np.flatnonzero(text >= known)
+        text[beyond] = symbol_of[start + text[beyond] - known]
+    return texts
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of the lists of a column, a null one 0, and all their elements."""
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64), column.flatten()
 
 
-def train(encoded: DataFrame, vocabulary: Vocabulary, states: int = STATES, passes: int = PASSES) -> Model:
-    """Baum-Welch over all training texts."""
+def train(
+    encoded: DataFrame, counts: DataFrame, vocabulary: Vocabulary, states: int = STATES, passes: int = PASSES,
+) -> tuple[Model, DataFrame]:
+    """Baum-Welch over all training texts, in one pass at least: the model, and ``word, emission`` of the outer words."""
+    if passes < 1:
+        raise ValueError("there must be a pass")
     context = encoded.sparkSession.sparkContext
     model = first_model(vocabulary, states)
     shares = vocabulary.shares()
+    outer = counts.where(_is_outer(vocabulary.least))
+    keys = outer.select(F.xxhash64("word").alias("key"))
+    wanted = marks(keys, "key", vocabulary.outer_words)
     # Sums leave a task once, so fewer and longer tasks send less.
-    training = encoded.where(~F.col("held_out")).select("symbols").coalesce(4 * context.defaultParallelism)
+    training = encoded.where(~F.col("held_out")).coalesce(4 * context.defaultParallelism)
     columns = [f"s{k}" for k in range(states)]
-    for _ in range(passes):
-        expected = training.mapInArrow(_summing(model), ", ".join(["symbol long", *(f"{c} long" for c in columns)]))
-        table = expected.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
-        counts = np.zeros((len(model.emit) + states + 1, states))
-        counts[table.column("symbol").to_numpy()] = np.stack(
+    sums = [F.sum(c).alias(c) for c in columns]
+    schema = ", ".join(["symbol long", "word binary", *(f"{c} long" for c in columns)])
+    for done in range(1, passes + 1):
+        if done < passes:
+            expected = training.select("symbols").mapInArrow(_summing(model), schema).groupBy("symbol").agg(*sums)
+        else:
+            last = training.select("symbols", "others").mapInArrow(_summing(model, wanted), schema)
+            everything = materialise(last.groupBy("symbol", "word").agg(*sums), "expected")
+            expected = everything.where("word IS NULL").drop("word")
+        table = expected.toArrow()
+        found = np.zeros((len(model.emit) + states + 1, states))
+        found[table.column("symbol").to_numpy()] = np.stack(
             [table.column(c).to_numpy() for c in columns], axis=1) / _SCALE
-        emit, move, start = np.split(counts, [len(model.emit), len(model.emit) + states])
+        emit, move, start = np.split(found, [len(model.emit), len(model.emit) + states])
+        rare = emit[_RARE]
         emit = emit + (_PRIOR + _SHARED * emit.sum(0)) * shares[:, None]
         move, start = move + 1, start[0] + 1
         model = Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-    return model
-
-
-def _summing(model: Model):
+    # Words the filter let pass by chance are in no row of the join.
+    named = materialise(everything.join(outer, "word").select("word", "n", *columns), "outer")
+    return divided(model, vocabulary, rare, named, columns)
+
+
+def divided(
+    model: Model, vocabulary: Vocabulary, rare: np.ndarray, named: DataFrame, columns: list[str],
+) -> tuple[Model, DataFrame]:
+    """The emission of ``rare``, expected ``rare`` times in each state, divided among the outer words and the rest."""
+    outer = np.array([x or 0 for x in named.agg(*(F.sum(c) for c in columns)).first()]) / _SCALE
+    prior = _PRIOR + _SHARED * rare
+    each = model.emit[_RARE] / (rare + prior)
+    share = (F.col("n") + F.lit(0.5)) / F.lit(vocabulary.rare_denominator)
+    emission = F.array(*(
+        (F.lit(float(e)) * (F.col(c) / F.lit(_SCALE) + F.lit(float(p)) * share)).cast("float")
+        for e, p, c in zip(each, prior, columns, strict=True)))
+    emit = model.emit.copy()
+    seldom = vocabulary.seldom_denominator / vocabulary.rare_denominator
+    emit[_RARE] = each * (np.maximum(rare - outer, 0) + prior * seldom)
+    return Model(model.start, model.move, emit), named.select("word", emission.alias("emission"))
+
+
+def _summing(model: Model, wanted: np.ndarray | None = None):
+    """Sums of expected counts; with the filter ``wanted`` also those of the words it lets pass."""
     symbols, states = model.emit.shape
 
+    def rows(numbers: np.ndarray, words: list[bytes] | None, values: np.ndarray) -> pa.RecordBatch:
+        values = np.rint(values * _SCALE).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(numbers), pa.array(words or [None] * len(numbers), pa.binary()),
+             *(pa.array(np.ascontiguousarray(values[:, k])) for k in range(states))],
+            names=["symbol", "word", *(f"s{k}" for k in range(states))])
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((symbols + states + 1, states))
         for batch in slices(batches, "symbols"):
-            found = _expected([np.frombuffer(s, "<u4") for s in batch.column("symbols").to_pylist()], model)
-            total[:symbols] += found.emit
+            words: list[bytes] = []
+            if wanted is None:
+                texts = [np.frombuffer(s, "<u4") for s in batch.column("symbols").to_pylist()]
+                texts = [np.where(text < symbols, text, _RARE) for text in texts]
+            else:
+                counts, others = _lists(batch.column("others"))
+                distinct = pc.dictionary_encode(others.field("word"))
+                named = distinct.dictionary.to_pylist()
+                keys = np.array([xxhash.xxh64_intdigest(w, 42) for w in named], np.uint64).view(np.int64)
+                passed = np.flatnonzero(marked(keys, wanted))
+                words = [named[i] for i in passed.tolist()]
+                symbol_of = np.full(len(named), _RARE)
+                symbol_of[passed] = symbols + np.arange(len(passed))
+                texts = _own_symbols(batch, counts, symbol_of[distinct.indices.to_numpy()], symbols)
+            wide = Model(model.start, model.move, np.r_[model.emit, np.repeat(model.emit[_RARE:_RARE + 1], len(words), 0)])
+            found = _expected(texts, wide)
+            total[:symbols] += found.emit[:symbols]
             total[symbols:symbols + states] += found.move
             total[-1] += found.start
-        values = np.rint(total * _SCALE).astype(np.int64)
-        used = np.flatnonzero(values.any(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used), *(pa.array(values[used, k]) for k in range(states))],
-            names=["symbol", *(f"s{k}" for k in range(states))])
+            if words:
+                total[_RARE] += found.emit[symbols:].sum(0)
+                yield rows(np.full(len(words), -1), words, found.emit[symbols:])
+        used = np.flatnonzero(np.rint(total * _SCALE).any(1))
+        yield rows(used, None, total[used])
 
     return add
 
@@ -326,16 +452,25 @@ def _forward(sequences: list[np.ndarray], before: np.ndarray, model: Model) -> t
     starts = (np.cumsum(lengths) - lengths)[order]
     flat = np.concatenate([np.zeros(0, np.int64), *sequences]).astype(np.int64)
     ordered = lengths[order]
+    emit, log_mean = _even(model)
     logs, last = np.zeros(len(sequences)), np.array(before)[order]
-    active = np.searchsorted(-ordered, -np.arange(1, (ordered[0] if len(ordered) else 0) + 1), "right")
+    filled = np.flatnonzero(lengths)
+    logs[filled] = np.add.reduceat(log_mean[flat], (np.cumsum(lengths) - lengths)[filled]) if len(filled) else 0
+    logs = logs[order]
+    active = np.searchsorted(-ordered, -np.arange(1, (ordered[0] if len(ordered) else 0) + 1), "right").tolist()
     state = last.copy()
-    for t, count in enumerate(active.tolist()):
+    for t, count in enumerate(active):
+        over = active[t + 1] if t + 1 < len(active) else 0
         ahead = state[:count] if t == 0 else state[:count] @ model.move
-        state = ahead * model.emit[flat[starts[:count] + t]]
-        scale = state.sum(1)
-        state /= scale[:, None]
-        logs[:count] += np.log10(scale)
-        last[:count] = state
+        state = ahead * emit[flat[starts[:count] + t]]
+        if t % _STEPS == _STEPS - 1:
+            scale = state.sum(1)
+            state /= scale[:, None]
+            logs[:count] += np.log10(scale)
+        if over < count:
+            scale = state[over:].sum(1)
+            last[over:count] = state[over:] / scale[:, None]
+            logs[over:count] += np.log10(scale)
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     return logs[back], last[back]
@@ -371,25 +506,39 @@ def score(docs: DataFrame, states: int = STATES, passes: int = PASSES) -> DataFr
     counts = count_words(docs)
     words = vocabulary(counts)
     encoded = encode(docs, words)
-    model = train(encoded, words, states, passes)
+    model, emissions = train(encoded, counts, words, states, passes)
+    kept = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "more", "more_base", "more_rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare"]
         for batch in slices(batches, "symbols"):
-            sequences = [np.frombuffer(s, "<u4") for s in batch.column("symbols").to_pylist()]
+            counted, found = _lists(batch.column("outer"))
+            others = batch.column("others").to_numpy().astype(np.int64)
+            # A symbol for each outer word of each text.
+            own = found.field("emission").flatten().to_numpy().reshape(-1, states)
+            symbol_of = np.full(others.sum(), _RARE)
+            start = np.repeat(np.cumsum(others) - others, counted)
+            symbol_of[start + found.field("at").to_numpy()] = len(model.emit) + np.arange(len(own))
+            texts = _own_symbols(batch, others, symbol_of, len(model.emit))
+            wide = Model(model.start, model.move, np.r_[model.emit, own])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(log_likelihoods(sequences, model))], names=[*kept, "path"])
+                [*(batch.column(c) for c in kept), pa.array(log_likelihoods(texts, wide))], names=[*kept, "path"])
 
-    scored = encoded.drop("others").mapInArrow(
-        run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare double, path double")
-    others = encoded.select("row", F.inline("others")).join(counts.withColumnRenamed("n", "c"), "word", "left")
+    of_text = encoded.select("row", F.posexplode("others").alias("at", "other")).select("row", "at", "other.*")
+    # Outer words without an emission in the training texts are none: all are seen there.
+    looked_up = counts.withColumnRenamed("n", "c").join(emissions, "word", "left")
     share = F.coalesce("c", F.lit(0)) + F.lit(0.5)
-    looked_up = others.groupBy("row").agg(
+    own = F.col("emission").isNotNull()
+    by_text = of_text.join(looked_up, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"),
         F.sum(F.col("n") * F.log10(share / words.base_denominator)).alias("more_base"),
-        F.sum(F.col("n") * F.log10(share / words.rare_denominator)).alias("more_rare"))
+        F.sum(F.when(own, 0.0).otherwise(F.col("n") * F.log10(share / words.seldom_denominator))).alias("more_rare"),
+        F.collect_list(F.when(own, F.struct("at", "emission"))).alias("outer"))
+    schema = (
+        "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, rare double, "
+        "more long, more_base double, more_rare double, path double")
+    scored = encoded.withColumn("others", F.size("others")).join(by_text, "row", "left").mapInArrow(run, schema)
     zero = F.lit(0.0)
-    return scored.join(looked_up, "row", "left").select(
+    return scored.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(words.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"),
