@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ LONGEST_SENT = 64
 LONG = 65_536
 _STRETCH = 4096
 # Texts of more words are trained on in stretches; as many symbols are worked on at a time.
-TRAINED = 4096
+TRAINED = 16_384
 _AT_ONCE = 1 << 20
 # Steps of the recursions from one scaling to the next.
 _STEPS = 8
@@ -168,6 +169,18 @@ ENCODED = (
     "symbols binary, others array<struct<word binary, n long>>")
 
 
+def _others(words: list[bytes], text_of: np.ndarray, texts: int) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of each text with their counts, and the place of each word among its text's."""
+    distinct = pa.array(words, pa.binary()).dictionary_encode()
+    size = len(distinct.dictionary) + 1
+    pairs, place, counts = np.unique(
+        text_of * size + distinct.indices.to_numpy(), return_inverse=True, return_counts=True)
+    offsets = np.searchsorted(pairs, np.arange(texts + 1) * size)
+    kept = pa.StructArray.from_arrays(
+        [distinct.dictionary.take(pa.array(pairs % size)), pa.array(counts.astype(np.int64))], names=["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), kept), place - offsets[text_of]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Texts as symbols, with what the words in the vocabulary add to the scores.
 
@@ -176,32 +189,32 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {word: place for place, word in enumerate(vocabulary.words)}
-        base = np.log10((vocabulary.counts + 0.5) / vocabulary.base_denominator)
-        rare = np.log10((vocabulary.counts + 0.5) / vocabulary.seldom_denominator)
+        base = np.r_[np.log10((vocabulary.counts + 0.5) / vocabulary.base_denominator), 0]
+        rare = np.r_[np.log10((vocabulary.counts + 0.5) / vocabulary.seldom_denominator), 0]
         rare[:vocabulary.named] = 0
         end = float(np.log10((vocabulary.ends + 0.5) / vocabulary.base_denominator))
         keys = RowKeys()
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         for batch in slices(batches, "text"):
-            rows = []
-            for text in batch.column("text").to_pylist():
-                words = _words(text)
-                places = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-                known = places[places >= 0]
-                symbols = np.where(places < vocabulary.named, places + 2, _RARE)
-                unknown = np.flatnonzero(places < 0)
-                others: dict[bytes, int] = {}
-                codes = [others.setdefault(words[i], len(others)) for i in unknown.tolist()]
-                symbols[unknown] = np.array(codes, np.int64) + vocabulary.named + 2
-                rows.append((
-                    len(words) + 1, len(known) + (vocabulary.ends > 0), float(base[known].sum()) + end,
-                    float(rare[known].sum()), np.r_[symbols, _END].astype("<u4").tobytes(),
-                    [{"word": w, "n": n} for w, n in zip(others, np.bincount(codes).tolist(), strict=True)]
-                    if others else []))
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), kind)
+            split = [_words(text) for text in batch.column("text").to_pylist()]
+            words = list(chain.from_iterable(split))
+            lengths = np.fromiter(map(len, split), np.int64, len(split))
+            text_of = np.repeat(np.arange(len(split)), lengths)
+            places = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+            symbols = np.where(places < vocabulary.named, places + 2, _RARE)
+            unknown = np.flatnonzero(places < 0)
+            others, codes = _others([words[i] for i in unknown.tolist()], text_of[unknown], len(split))
+            symbols[unknown] = codes + vocabulary.named + 2
+            ends = np.cumsum(lengths)
+            data = np.insert(symbols, ends, _END).astype("<u4")
+            offsets = np.r_[0, 4 * (ends + np.arange(1, len(split) + 1))].astype(np.int32)
+            known = np.bincount(text_of[places >= 0], minlength=len(split)) + (vocabulary.ends > 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.take(len(rows))), batch.column("doc_id"), batch.column("held_out"),
-                 *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))],
+                [pa.array(keys.take(len(split))), batch.column("doc_id"), batch.column("held_out"),
+                 pa.array(lengths + 1), pa.array(known.astype(np.int64)),
+                 pa.array(np.bincount(text_of, base[places], len(split)) + end),
+                 pa.array(np.bincount(text_of, rare[places], len(split))),
+                 pa.BinaryArray.from_buffers(pa.binary(), len(split), [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
+                 others],
                 names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "symbols", "others"])
 
     path = new_path(docs.sparkSession, "encoded")
