@@ -11,6 +11,8 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +156,36 @@ def test_shards_round_trip_and_resume(spark, docs, empty):
     assert read_shards(spark.read.parquet(again)).count() == 0
 
 
+def test_order_holds_however_files_are_split(spark, docs, tmp_path):
+    texts = pa.table({
+        "doc_id": pa.array([k % 150 for k in range(400)]), "text": [f"text {k} " + "word " * (k % 90) for k in range(400)]})
+    for k in range(3):
+        pq.write_table(texts.slice(130 * k, 130), tmp_path / f"part-{2 - k}.parquet", row_group_size=10)
+    found, tasks = [], []
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in ("128m", "12000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        table = spark.read.parquet(str(tmp_path))
+        tasks.append(table.rdd.getNumPartitions())
+        path = new_path(spark, "shards")
+        count = write_shards(table, path, size=16, per_block=4, per_shard=16)
+        rows = read_shards(spark.read.parquet(path), 16, per_shard=16, per_block=4).drop("byte_offset").collect()
+        assert sorted(r["slot"] for r in rows) == list(range(count))
+        found.append(sorted(rows))
+        for r in spark.read.parquet(path).withColumn("file", F.input_file_name()).groupBy("shard").agg(
+                F.countDistinct("file").alias("files")).collect():
+            assert r["files"] == 1
+    for k, value in kept.items():
+        spark.conf.set(k, value)
+    assert tasks[0] < tasks[1] and found[0] == found[1]
+    # A shuffled frame still numbers every piece once, though its rows come from files.
+    path = new_path(spark, "shards")
+    count = write_shards(table.repartition(5), path, size=16, per_block=4, per_shard=16)
+    rows = read_shards(spark.read.parquet(path), 16, per_shard=16, per_block=4).collect()
+    assert count == len(found[0]) and sorted(r["slot"] for r in rows) == list(range(count))
+
+
 # Licences and secrets
 
 def test_license_base_and_fuzzy(docs, empty):

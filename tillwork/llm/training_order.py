@@ -1,12 +1,12 @@
 """Token sequences in a keyed random order, in shards of fixed stride.
 
-Every piece of every document gets a number: those of its task before it, and
-those of the tasks before. A keyed Feistel network permutes the numbers below the
-next power of four; a number that lands outside is sent through again until it is
-inside (cycle walking). So each piece has its own slot below the count of pieces,
-found without a sort, a table or a random number. The same key gives the same
-order again for the same files read in the same splits; another split numbers the
-pieces anew.
+Every piece of every document gets a number: the pieces before it in its split of a
+file, and those of the splits before, in order of file and place. A keyed Feistel
+network permutes the numbers below the next power of four; a number that lands
+outside is sent through again until it is inside (cycle walking). So each piece has
+its own slot below the count of pieces, found without a sort, a table or a random
+number. The same key gives the same order again for the same files, however they are
+split. Rows that are read from no file are numbered by the tasks they are in.
 
 Slot ``s`` lies in shard ``s // per_shard``. Shards are range partitions of the
 slots; a row is a block of ``per_block`` records of ``stride`` bytes each: length,
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +66,37 @@ def permuted(numbers: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
     return slots.astype(np.int64)
 
 
-PIECES = "task long, place long, doc_id long, piece int, length int, ids binary"
+RUN = ("file", "block", "task")
+PIECES = "file string, block long, task long, place long, doc_id long, piece int, length int, ids binary"
+
+
+def _with_places(docs: DataFrame) -> DataFrame:
+    """The documents with the file and the start of the split that each is read from."""
+    try:
+        return documents_of(
+            docs, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    except AnalysisException:  # no rows of files
+        return documents_of(docs, F.lit("").alias("file"), F.lit(0).cast("long").alias("block"))
+
+
+def _places(files: pa.Array, blocks: np.ndarray, pieces: np.ndarray, placed: dict[tuple[str, int], int]) -> np.ndarray:
+    """The place of each piece in its run; ``placed`` counts what the runs have so far."""
+    codes = files.dictionary_encode()
+    of_file, names = codes.indices.to_numpy(), codes.dictionary.to_pylist()
+    starts = np.flatnonzero(np.r_[True, (np.diff(of_file) != 0) | (np.diff(blocks) != 0)])
+    sizes = np.add.reduceat(pieces, starts)
+    before = []
+    for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+        run = names[of_file[start]], int(blocks[start])
+        before.append(placed.get(run, 0))
+        placed[run] = before[-1] + size
+    return np.arange(sizes.sum()) + np.repeat(np.array(before) - np.cumsum(sizes) + sizes, sizes)
 
 
 def _pieces(docs: DataFrame, size: int, vocabulary: str, id_type: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(vocabulary)
-        placed = 0
+        placed: dict[tuple[str, int], int] = {}
         for batch in slices(batches, "text", 2_000_000):
             ids, ends = with_ends(*known.encode(batch.column("text").to_pylist()), 0)
             sizes = np.diff(ends, prepend=0)
@@ -82,17 +107,17 @@ def _pieces(docs: DataFrame, size: int, vocabulary: str, id_type: str) -> DataFr
             begin = np.r_[0, ends[:-1]][owner] + number * size
             data = ids.astype(id_type)
             yield pa.RecordBatch.from_arrays([
+                batch.column("file").take(pa.array(owner)), batch.column("block").take(pa.array(owner)),
                 pa.array(np.full(len(owner), task_number()), pa.int64()),
-                pa.array(np.arange(placed, placed + len(owner)), pa.int64()),
+                pa.array(_places(batch.column("file"), batch.column("block").to_numpy(), pieces, placed), pa.int64()),
                 batch.column("doc_id").take(pa.array(owner)), pa.array(number, pa.int32()),
                 pa.array(length, pa.int32()),
                 pa.array([data[b:b + n].tobytes() for b, n in zip(begin.tolist(), length.tolist(), strict=True)], pa.binary()),
-            ], names=["task", "place", "doc_id", "piece", "length", "ids"])
-            placed += len(owner)
+            ], names=[*RUN, "place", "doc_id", "piece", "length", "ids"])
 
     spark = docs.sparkSession
     path = new_path(spark, "sequences")
-    documents_of(docs).mapInArrow(tidy(cut), PIECES).write.option("compression", "zstd").parquet(path)
+    _with_places(docs).mapInArrow(tidy(cut), PIECES).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(PIECES).parquet(path)
 
 
@@ -108,12 +133,12 @@ def write_shards(
         raise ValueError(f"the ids of {vocabulary} do not fit {id_type}")
     spark = docs.sparkSession
     pieces = _pieces(docs, size, vocabulary, id_type)
-    # One row for each task that read documents.
-    totals = pieces.groupBy("task").count()
-    earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("task", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    # One row for each split of the documents' files.
+    totals = pieces.groupBy(*RUN).count()
+    earlier = Window.orderBy(*RUN).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*RUN, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     count = totals.agg(F.sum("count")).first()[0] or 0
-    numbered = pieces.join(F.broadcast(before), "task")
+    numbered = pieces.join(F.broadcast(before), list(RUN)).select("before", "place", "doc_id", "piece", "length", "ids")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,8 +166,10 @@ def write_shards(
             yield _blocks(slots, rows, np.array([len(slots)]), per_block, per_shard)
 
     slotted = numbered.mapInArrow(tidy(place), "shard long, slot long, doc_id long, piece int, length int, ids binary")
-    parts = max(1, -(-count // per_shard))
-    dealt = slotted.repartitionByRange(min(parts, 20_000), "shard").sortWithinPartitions("slot")
+    shards = max(1, -(-count // per_shard))
+    # Ranges of shards, known without a sample of the rows.
+    parts = min(shards, 20_000)
+    dealt = slotted.repartitionById(parts, F.expr(f"int(shard * {parts} div {shards})")).sortWithinPartitions("slot")
     dealt.mapInArrow(tidy(blocks), "shard long, block long, first_slot long, records int, payload binary").write.option(
         "compression", "zstd").parquet(path)
     return count
