@@ -163,7 +163,8 @@ def test_order_holds_however_files_are_split(spark, docs, tmp_path):
         pq.write_table(texts.slice(130 * k, 130), tmp_path / f"part-{2 - k}.parquet", row_group_size=10)
     found, tasks = [], []
     kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    for size in ("128m", "12000"):
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    for size in ("128m", "8000"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
         table = spark.read.parquet(str(tmp_path))
@@ -176,6 +177,7 @@ def test_order_holds_however_files_are_split(spark, docs, tmp_path):
         for r in spark.read.parquet(path).withColumn("file", F.input_file_name()).groupBy("shard").agg(
                 F.countDistinct("file").alias("files")).collect():
             assert r["files"] == 1
+    spark.conf.unset("spark.sql.files.minPartitionNum")
     for k, value in kept.items():
         spark.conf.set(k, value)
     assert tasks[0] < tasks[1] and found[0] == found[1]
