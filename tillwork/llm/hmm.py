@@ -211,8 +211,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.take(len(split))), batch.column("doc_id"), batch.column("held_out"),
                  pa.array(lengths + 1), pa.array(known.astype(np.int64)),
-                 pa.array(np.bincount(text_of, base[places], len(split)) + end),
-                 pa.array(np.bincount(text_of, rare[places], len(split))),
+                 pa.array(np.bincount(text_of, base[places], len(split)) + end, pa.float64()),
+                 pa.array(np.bincount(text_of, rare[places], len(split)), pa.float64()),
                  pa.BinaryArray.from_buffers(pa.binary(), len(split), [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
                  others],
                 names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "symbols", "others"])
