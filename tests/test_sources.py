@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pytest
@@ -258,3 +259,16 @@ def test_settled_results_leave_no_tables_on_the_way(spark):
     result = scratch.settled(build, "result")
     assert result.count() == 7 and kept.count() == 3
     assert [path.name.split("-")[0] for path in set(folder.iterdir()) - before] == ["result"]
+
+
+def test_itemsets_of_any_size_with_alike_baskets_counted_together(spark):
+    baskets = ["abcd", "abcd", "abcd", "dcba", "abc", "ab", "ad", "e", "cd", "ef"]
+    rows = [(k, item) for k, items in enumerate(baskets) for item in items] * 2 + [(None, "a"), (1, None)]
+    df = spark.createDataFrame(rows, "order_id BIGINT, product_name STRING")
+    got = basket.frequent_itemsets(basket.frequent_sets(df, "order_id", "product_name", 0.4)).collect()
+    holds = lambda items: sum(set(items) <= set(b) for b in baskets)
+    expected = {
+        items: holds(items) for size in range(1, 5) for items in itertools.combinations("abcdef", size) if holds(items) >= 4}
+    assert len(got) == len(expected) and ("a", "b", "c", "d") in expected
+    assert {tuple(r["items"]): r["times"] for r in got} == expected
+    assert basket.market_basket_rules(df.limit(0)).count() == 0
