@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SMALL, in_order
-from tillwork.llm import queries
+from tillwork.llm import hyperminhash, queries
 from tillwork.llm.components import components
 from tillwork.llm.decontamination import contamination, matches
 from tillwork.llm.embedding_join import similar_vectors
@@ -498,3 +498,30 @@ def test_audit_of_a_replica_with_its_own_numbers(spark):
 
 def test_words_are_those_of_the_contract():
     assert alnum_words("Été-ABC_9 déjà\x00x".encode()) == ["Été".encode(), b"abc", b"9", "déjà".encode(), b"x"]
+
+
+def test_leaders_are_compared_where_sizes_and_two_bands_allow(spark):
+    """Texts that share a line are no candidates for it; near copies are, and results are those of all pairs."""
+    line = " ".join(f"line{i}" for i in range(12))
+    texts = {k: line + " " + " ".join(f"t{k}x{i}" for i in range(8 + 9 * (k % 5))) for k in range(60)}
+    texts |= {100 + k: " ".join(f"base{i}" for i in range(90 + k)) for k in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    classes = hyperminhash.sketches(docs, 4).withColumnRenamed("doc_id", "id")
+    bands = hyperminhash._bands(classes)
+    pairs = {(r["a"], r["b"]) for r in hyperminhash._leader_pairs(bands, 80).collect()}
+    met = {r["id"]: r["n_shingles"] for r in classes.select("id", "n_shingles").collect()}
+    places = {k: set() for k in texts}
+    for r in bands.collect():
+        places[r["id"]].add(r["band"])
+    assert pairs and all(100 * min(met[a], met[b]) >= 80 * max(met[a], met[b]) for a, b in pairs)
+    assert all(len(places[a] & places[b]) > 1 for a, b in pairs)
+
+    sets = {k: {tuple(w[i:i + 4]) for i in range(len(w) - 3)} for k, w in ((k, t.split()) for k, t in texts.items())}
+    first = {k: k for k in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    first[a] = min(first[a], first[b])
+    got = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(docs, words=4).collect()}
+    assert got == first

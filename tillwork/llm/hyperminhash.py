@@ -12,7 +12,8 @@ Only links that change a component are looked for:
 
 1. Documents with the same set are one class, whatever their number.
 2. Each class is compared with three leaders of every band value it has: the
-   smallest id and two by hash. That joins nearly all that belongs together.
+   smallest id and two by hash; of these, the ones its size allows and with which it
+   agrees in two bands. That joins nearly all that belongs together.
 3. Where a band value still holds several components, classes of different ones
    are compared in blocks of bounded size; only pairs whose fine sketches allow a
    link leave the block.
@@ -158,18 +159,20 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """``band, place, id``: a row for each band value of a class that is not empty."""
+    """``band, place, id, n_shingles``: a row for each band value of a class that is not empty."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = _band_values(_matrix(batch.column("coarse"), COARSE))
             row, place = np.nonzero(values)
-            ids = batch.column("id").to_numpy()
+            ids, sizes = (batch.column(c).to_numpy() for c in ("id", "n_shingles"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(values[values != 0].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(ids[row])],
-                names=["band", "place", "id"])
+                [pa.array(values[values != 0].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(ids[row]),
+                 pa.array(sizes[row])],
+                names=["band", "place", "id", "n_shingles"])
 
-    return classes.select("id", "coarse").mapInArrow(tidy(emit), "band long, place int, id long")
+    return classes.select("id", "n_shingles", "coarse").mapInArrow(
+        tidy(emit), "band long, place int, id long, n_shingles long")
 
 
 def _band_values(sketch: np.ndarray) -> np.ndarray:
@@ -178,6 +181,24 @@ def _band_values(sketch: np.ndarray) -> np.ndarray:
     return np.where(values != 0, np.maximum(_mixed(values ^ place), np.uint64(1)), np.uint64(0))
 
 
+def _leader_pairs(bands: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a class and a leader that sizes allow and that agree in two bands or more.
+
+    A pair that agrees in one band only is left to the comparison across components.
+    """
+    member = F.struct("id", "n_shingles")
+    leaders = [F.min(member).alias("smallest"), *(
+        F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("rank"), member.alias("of")))["of"].alias(f"by_hash_{k}")
+        for k in (1, 2))]
+    values = materialise(bands.groupBy("band").agg(F.count("*").alias("n"), *leaders).where("n > 1"), "leaders")
+    met = bands.join(values, "band").select(
+        "place", "id", "n_shingles", F.explode(F.array("smallest", "by_hash_1", "by_hash_2")).alias("leader"))
+    smaller, larger = F.least("n_shingles", "leader.n_shingles"), F.greatest("n_shingles", "leader.n_shingles")
+    return met.where("id <> leader.id").where(100 * smaller >= percent * larger).groupBy(
+        F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b")).agg(
+        F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("a", "b")
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches allow a link."""
     def side(name: str) -> DataFrame:
@@ -323,14 +344,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         F.col("id").alias("a"), F.col("doc_id").alias("b"))
     
     bands = materialise(_bands(classes), "bands")
-    leaders = [F.min("id").alias("smallest"), *(
-        F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("rank"), F.col("id").alias("id")))["id"].alias(f"by_hash_{k}")
-        for k in (1, 2))]
-    values = materialise(bands.groupBy("band").agg(F.count("*").alias("n"), *leaders).where("n > 1"), "leaders")
-    shared = bands.join(values, "band")
-    near = shared.select(
-        "id", F.explode(F.array("smallest", "by_hash_1", "by_hash_2")).alias("leader")).where("id <> leader").select(
-        F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    near = _leader_pairs(bands, percent)
     links = _confirmed(_estimated(near, classes, percent), docs, words, percent)
     known = components(links)
 
