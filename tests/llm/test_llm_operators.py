@@ -525,3 +525,39 @@ def test_leaders_are_compared_where_sizes_and_two_bands_allow(spark):
                     first[a] = min(first[a], first[b])
     got = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(docs, words=4).collect()}
     assert got == first
+
+
+def test_pairs_near_the_threshold_make_no_rows(spark, monkeypatch):
+    """A group of near copies of which few link: no table grows with its pairs, links are those of all pairs."""
+    random = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(240)]
+    texts = []
+    for k in range(280):
+        # Ends of their own leave pairs a similarity of 0.74 to 0.81.
+        texts.append(" ".join(base[:240] + [f"own{k}x{i}" for i in range(random.integers(29, 43))]))
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    label = list(range(280))
+    for _ in range(3):
+        for a in range(280):
+            for b in range(a):
+                if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    low = min(label[a], label[b])
+                    label = [low if x in (label[a], label[b]) else x for x in label]
+    assert 30 < len(set(label)) < 280
+    made = []
+    write = hyperminhash.materialise
+    monkeypatch.setattr(hyperminhash, "materialise", lambda df, name: (made.append(write(df, name)), made[-1])[1])
+    rows = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r["component_id"] for r in sorted(rows, key=lambda r: r["doc_id"])] == label
+    # 32 bands for each of the texts, and each of them in up to two cells of a band.
+    assert max(table.count() for table in made) <= 280 * 32 * 2
+
+
+def test_cells_are_bounded_by_shingles(spark):
+    rest = spark.range(64).selectExpr(
+        "1L AS band", "0 AS place", "id", "id AS component", "200000L AS n_shingles", "CAST('' AS BINARY) AS coarse",
+        "CAST('' AS BINARY) AS fine", "64L AS n", "64L * 200000 AS shingles")
+    cells = hyperminhash._cells(rest).groupBy("i", "j").sum("n_shingles").collect()
+    assert len(cells) > 60 and max(r[2] for r in cells) <= 6 * hyperminhash._BLOCK_SHINGLES
+    met = hyperminhash._cells(rest.drop("n", "shingles").selectExpr("*", "64L AS n", "64L AS shingles")).count()
+    assert met == 64

@@ -15,8 +15,9 @@ Only links that change a component are looked for:
    smallest id and two by hash; of these, the ones its size allows and with which it
    agrees in two bands. That joins nearly all that belongs together.
 3. Where a band value still holds several components, classes of different ones
-   are compared in blocks of bounded size; only pairs whose fine sketches allow a
-   link leave the block.
+   are compared in blocks of bounded size. Members of a pair that the sketches allow
+   get their full sets; the pairs are confirmed inside the block, which gives only
+   links that join components. So no table has a row for each pair.
 
 Chance of missing a pair: a pair of similarity 0.8 agrees in a band of four
 registers with 0.41 and so in none of 32 with 5e-8; the estimates may be five
@@ -51,6 +52,7 @@ BAND = 4
 WORDS = 5
 PERCENT = 80
 _BLOCK = 256
+_BLOCK_SHINGLES = 1 << 20
 _CACHE_WORDS = 200_000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -232,6 +234,15 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return materialise(chosen.mapInArrow(tidy(sets), "id long, shingles binary"), "shingle-sets")
 
 
+def _set_of(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
+def _linked(first: np.ndarray, second: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(first, second, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(first) + len(second) - common)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
@@ -239,10 +250,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
         for batch in batches:
             good = []
             for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
-                first, second = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(first, second, assume_unique=True))
-                union = len(first) + len(second) - common
-                good.append(100 * common >= percent * union and common > 0)
+                good.append(_linked(_set_of(x), _set_of(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     pairs = materialise(pairs.distinct(), "pairs")
@@ -253,17 +261,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return materialise(tested.mapInArrow(tidy(test), "a long, b long"), "links")
 
 
-def _across(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a band value, compared block by block.
+MEMBERS = "band long, place int, i int, j int, part int, id long, component long"
 
-    A value's classes are dealt into parts of about 256; two parts meet in one
-    cell, so a cell's rows are bounded however many classes the value has. A pair
-    that shares several values is given by the first of them only.
+
+def _cells(rest: DataFrame) -> DataFrame:
+    """The classes of each band value dealt into parts; a row for each cell that a class is in.
+
+    A part has about 256 classes or a million shingles; two parts meet in one cell, so a
+    cell's rows and their full sets are bounded however many classes the value has.
     """
-    parts = F.ceil(F.col("n") / _BLOCK).cast("int")
+    parts = F.ceil(F.greatest(F.col("n") / _BLOCK, F.col("shingles") / _BLOCK_SHINGLES)).cast("int")
     part = F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
     others = F.sequence(F.lit(0), F.col("parts") - 1)
-    cells = (
+    return (
         rest.withColumn("parts", parts).withColumn("part", part)
         .withColumn("other", F.explode(others))
         .select(
@@ -271,13 +281,79 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
             "part", "id", "component", "n_shingles", "coarse", "fine")
     )
 
+
+def _near_members(cells: DataFrame, percent: int) -> DataFrame:
+    """The rows of each cell that sketches allow a link to another component's, each id once."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _groups(batches, ["band", "i", "j"]):
+            near = np.zeros(cell.num_rows, bool)
+            for x, y in _cell_pairs(cell, percent):
+                near[x] = True
+                near[y] = True
+            rows = np.flatnonzero(near)
+            if len(rows):
+                rows = rows[np.unique(cell.column("id").to_numpy()[rows], return_index=True)[1]]
+                yield from cell.select(part_names).take(rows).combine_chunks().to_batches()
+
+    part_names = [part.split()[0] for part in MEMBERS.split(", ")]
+    return _by_cell(cells).mapInArrow(tidy(compare), MEMBERS)
+
+
+def _across(rest: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a band value, as many as join them.
+
+    Pairs are compared and confirmed cell by cell; a pair that shares several values is
+    confirmed in the first of them only.
+    """
+    members = materialise(_near_members(_cells(rest), percent), "near-members")
+    ids = materialise(members.select(F.col("id").alias("doc_id")).distinct(), "near-ids")
+    # Rows that repeat an id and its text are one set.
+    sets = _shingle_sets(docs, ids, words).repartition("id").dropDuplicates(["id", "shingles"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _groups(batches, ["band", "i", "j"]):
+            links = _joining(_sketched(cell), percent)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in _cell_pairs(cell, percent)], names=["a", "b"])
+                [pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = _by_cell(members.join(sets, "id").select(*members.columns, "shingles"))
+    return materialise(dealt.mapInArrow(tidy(confirm), "a long, b long"), "links")
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
 
-    dealt = cells.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return dealt.mapInArrow(tidy(compare), "a long, b long")
+def _sketched(cell: pa.Table) -> pa.Table:
+    """The cell with sizes and sketches of its full sets."""
+    sets = [_set_of(x) for x in cell.column("shingles")]
+    cell = cell.append_column("n_shingles", pa.array([len(x) for x in sets], pa.int64()))
+    for name, bits in (("coarse", COARSE), ("fine", FINE)):
+        cell = cell.append_column(name, pa.array([registers(x, bits).tobytes() for x in sets], pa.binary()))
+    return cell
+
+
+def _joining(cell: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links of the cell, less those between what others of it have joined."""
+    ids, component = (cell.column(c).to_pylist() for c in ("id", "component"))
+    sets = [_set_of(x) for x in cell.column("shingles")]
+    above: dict[int, int] = {}
+
+    def top(of: int) -> int:
+        while (over := above.get(of, of)) != of:
+            above[of] = above.get(over, over)
+            of = over
+        return of
+
+    links = []
+    for x, others in _cell_pairs(cell, percent):
+        for y in others.tolist():
+            p, q = top(component[x]), top(component[y])
+            if p != q and _linked(sets[x], sets[y], percent):
+                above[max(p, q)] = min(p, q)
+                links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+    return links
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -301,33 +377,29 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield held
 
 
-def _cell_pairs(cell: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _cell_pairs(cell: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A row of the cell's first part and the rows of the second that its sketches allow a link with."""
     ids, component, part, size = (
         cell.column(c).to_numpy() for c in ("id", "component", "part", "n_shingles"))
     i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
     if len(ids) < 2 or (component == component[0]).all():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     coarse = _matrix(cell.column("coarse").combine_chunks(), COARSE)
     fine = _matrix(cell.column("fine").combine_chunks(), FINE)
     values = np.ascontiguousarray(coarse).view("<u8")
     place = cell.column("place")[0].as_py()
     earlier = values[:, :place]
     left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-    found_a, found_b = [], []
-    for x in left:
+    for x in left.tolist():
         y = right[(component[right] != component[x]) & ((ids[right] > ids[x]) if i == j else True)]
         y = y[_sizes_allow(size[x], size[y], percent)]
         if len(y) and place:
             y = y[~((earlier[y] == earlier[x]) & (earlier[x] != 0)).any(1)]
-        if len(y):
-            for sketch in (coarse, fine):
+        for sketch in (coarse, fine):
+            if len(y):
                 y = y[_may_link(sketch[x], sketch[y], size[x], size[y], percent)]
-            found_a.append(np.full(len(y), ids[x]))
-            found_b.append(ids[y])
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    return np.minimum(a, b), np.maximum(a, b)
+        if len(y):
+            yield x, y
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -349,12 +421,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     known = components(links)
 
     labelled = bands.join(known, "id", "left").select(
-        "band", "place", "id", F.coalesce("component", "id").alias("component"))
+        "band", "place", "id", F.coalesce("component", "id").alias("component"), "n_shingles")
     open_ = labelled.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
-    ).where("low < high").select("band", "n")
-    rest = labelled.join(open_, "band").join(classes.select("id", "n_shingles", "coarse", "fine"), "id")
-    more = _confirmed(_across(rest, percent), docs, words, percent)
+        F.sum("n_shingles").alias("shingles"),
+    ).where("low < high").select("band", "n", "shingles")
+    rest = labelled.drop("n_shingles").join(open_, "band").join(classes.select("id", "n_shingles", "coarse", "fine"), "id")
+    more = _across(rest, docs, words, percent)
 
     found = components(links.union(more).union(alike))
     labels = rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
