@@ -59,6 +59,19 @@ def test_encoder_is_the_library_on_odd_texts(library):
             assert back == library.decode_batch([e.ids for e in expected], skip_special_tokens=False)
 
 
+def test_runs_without_a_new_word(library):
+    """A batch whose only new runs are special tokens, blanks or nothing; blanks are the ASCII ones."""
+    encoder = rank_bpe.Encoder(vocabulary_path(), kept_runs=2)
+    texts = ["<|endoftext|>", "", " \t\n\x0b\x0c\r ", "\x1c\x1d a\x1fb \x00 c", "\u2003Été\x85 x\u3000<|endoftext|>A\u0300 ", "a a  b"]
+    for batch in ([], [""], texts[:1], texts[1:3], texts, texts[::-1]):
+        ids, ends = encoder.encode([t.encode() for t in batch])
+        parts = np.split(ids, ends)[:-1]
+        assert [p.tolist() for p in parts] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+    ids, ends = encoder.encode([b"a\xff b", b"\xfe"])
+    assert [p.tolist() for p in np.split(ids, ends)[:-1]] == [
+        library.encode(t, add_special_tokens=False).ids for t in ("a\ufffd b", "\ufffd")]
+
+
 def test_short_and_long_words_merge_alike(library):
     merges = rank_bpe.Encoder(vocabulary_path())._merges
     chance = random.Random(2)

@@ -160,6 +160,8 @@ def merge_long(word: bytes, merges: Merges) -> list[int]:
 def merge_words(words: list[bytes], merges: Merges) -> list[bytes]:
     """Ids of each word, as little-endian 32-bit numbers."""
     found: list[bytes] = [b""] * len(words)
+    if not words:
+        return found
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(lengths, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(lengths[order]) > 0, True])
@@ -215,11 +217,11 @@ class Encoder:
         marks: list[int] = []
         others: list[tuple[bytes, list[int]]] = []
         for run in runs:
+            if run.isalpha():  # of bytes: A-Z and a-z only
+                words.append(run)
+                continue
             core = run.rstrip(_MARKS)
-            if core.isalpha():  # of bytes: A-Z and a-z only
-                if len(core) == len(run):
-                    words.append(run)
-                    continue
+            if core.isalpha():
                 marked.append(run)
                 cores.append(number.setdefault(core.lower(), len(number)))
                 marks.append(number.setdefault(run[len(core):], len(number)))
@@ -248,17 +250,25 @@ class Encoder:
         """All ids of the texts one after another, and where each text's ids end."""
         if len(self._runs) > self._kept_runs:
             self._older, self._runs = self._runs, {}
-        split = [text.split() if _keeps_case(text) else text.lower().split() for text in texts]
+        whole = pa.array([text if _keeps_case(text) else text.lower() for text in texts], pa.large_binary())
+        # As bytes: nothing here looks at characters beyond ASCII.
+        split = pc.ascii_split_whitespace(whole.view(pa.large_string()))
+        coded = split.flatten().view(pa.large_binary()).dictionary_encode()
+        met = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known, older = self._runs, self._older
-        new = set().union(*split).difference(known)
-        for run in [run for run in new if run in older]:
-            known[run] = older[run]
-            new.remove(run)
-        if new:
-            self._learn(new)
-        joined = [b"".join(map(known.__getitem__, runs)) for runs in split]
-        ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined))) // 4
-        return np.frombuffer(b"".join(joined), "<i4"), ends
+        found = list(map(known.get, met))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            runs = [met[k] for k in missing]
+            known.update((run, older[run]) for run in runs if run in older)
+            self._learn([run for run in runs if run not in known])
+            for k, run in zip(missing, runs, strict=True):
+                found[k] = known[run]
+        ids = pa.array(found, pa.large_binary())
+        joined = ids.take(coded.indices)
+        starts = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1) // 4
+        ends = starts[split.offsets.to_numpy()[1:]]
+        return np.frombuffer(joined.buffers()[2] or b"", "<i4", starts[-1]), ends
 
 
 def _keeps_case(text: bytes) -> bool:
