@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import base64
+import contextlib
+import glob
 import gzip
 import hashlib
 import math
+import os
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -443,6 +447,86 @@ def test_vectors_of_several_lengths_link_within_their_own(spark):
     assert sum(map(len, links.values())) >= 30 and got[50]["n_links"] == got[51]["n_links"] == 0
 
 
+@contextlib.contextmanager
+def watched_shuffles(spark):
+    """A list that ends with the most bytes that files of shuffles had at a time."""
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    most, done = [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.05):
+            held = 0
+            for path in (p for folder in folders for p in glob.glob(f"{folder}/*/shuffle_*.data")):
+                with contextlib.suppress(FileNotFoundError):
+                    held += os.path.getsize(path)
+            most.append(max(held, most[-1]))
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        yield most
+    finally:
+        done.set()
+        thread.join()
+
+
+def linked_by_hand(vectors, cosine=0.9):
+    """Counts of links and smallest linked rows of unit vectors, all pairs compared."""
+    counts, lowest = np.zeros(len(vectors), int), np.arange(len(vectors))
+    pairs = []
+    for start in range(0, len(vectors), 1000):
+        i, j = np.nonzero(vectors[start:start + 1000] @ vectors.T >= cosine)
+        counts[start:start + 1000] = np.bincount(i, minlength=min(1000, len(vectors) - start)) - 1
+        pairs.append(np.c_[i + start, j])
+    a, b = np.concatenate(pairs).T
+    while True:
+        before = lowest.copy()
+        np.minimum.at(lowest, a, lowest[b])
+        if (lowest == before).all():
+            return counts.tolist(), lowest.tolist()
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_vectors_are_not_shuffled_for_each_pair_of_blocks(spark, tmp_path, no_broadcast):
+    """Vectors without structure, of which all blocks are compared, with near copies and 3,000 equal ones."""
+    chance = np.random.default_rng(11)
+    vectors = chance.normal(size=(36_000, 64))
+    vectors[1000:4000] = vectors[17]
+    vectors[30_000:] = vectors[chance.integers(4000, 8000, 6000)] + 0.25 * chance.normal(size=(6000, 64))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    order = chance.permutation(len(vectors))
+    pq.write_table(pa.table({
+        "vec_id": pa.array(order), "embedding": pa.array(list(vectors[order]), pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    with watched_shuffles(spark) as written:
+        got = {r["vec_id"]: r for r in similar_vectors(spark.read.parquet(str(tmp_path / "v.parquet"))).collect()}
+    counts, lowest = linked_by_hand(vectors.astype(np.float64))
+    assert [got[i]["n_links"] for i in range(len(vectors))] == counts
+    assert [got[i]["component_id"] for i in range(len(vectors))] == lowest
+    assert counts[17] >= 3000 and sum(c > 0 for c in counts[4000:8000]) > 2000
+    assert 0 < written[-1] - written[1] < 4 * vectors.nbytes
+
+
+@pytest.mark.parametrize("length", [40, 300])
+def test_vectors_near_the_limit_in_many_numbers(spark, length):
+    chance = np.random.default_rng(length)
+    base = chance.normal(size=(150, length)) * np.linspace(3, 0.1, length)
+    near = [v + s * np.linalg.norm(v) / math.sqrt(length) * chance.normal(size=length)
+            for v in base for s in (0.1, 0.44, 0.48, 0.52)]
+    vectors = np.concatenate([base, near, -base, base[:20], [0.0 * base[0] + 1e-30, 1e150 * base[0]]])
+    got = {r["vec_id"]: r for r in similar_vectors(spark.createDataFrame(
+        [(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")).collect()}
+    counts, lowest = linked_by_hand(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+    assert [got[i]["n_links"] for i in range(len(vectors))] == counts
+    assert [got[i]["component_id"] for i in range(len(vectors))] == lowest
+    assert 0 < sum(c == 0 for c in counts) < len(vectors) / 2 < sum(counts)
+
+
 def test_audit_finds_all_kinds_of_fault(spark):
     pages = spark.createDataFrame(
         [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(3000)] + [(5, None, None), (None, "u", "h"), (5, None, None)],
