@@ -182,8 +182,8 @@ def _blocks(rows: DataFrame, axes: np.ndarray, epsilon: float, kind: str, count:
 
     blocks = -(-count // each)
     tasks = min(max(min(blocks, 2 * BLOCKS_PER_TASK), -(-blocks // BLOCKS_PER_TASK)), MOST_TASKS)
-    # Rows that are equal up to here have numbers to be dealt out by.
-    order = ["cell", "along", "same", "row"]
+    # Rows of one vector and id are alike; only their numbers let them be dealt out.
+    order = ["cell", "along", "same", "vec_id", "row"]
     dealt = rows.mapInArrow(place, PLACED).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     return materialise(dealt.coalesce(tasks).mapInArrow(cut, BLOCKS), "blocks")
 
